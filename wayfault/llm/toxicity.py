@@ -1,0 +1,394 @@
+"""Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
+
+A word enters as a vector of two halves: an embedding of the word, for words that the training rows tell apart, and the mean of the
+embeddings of its character 3- and 4-grams, so that unseen inflections of a word are recognised.  Both start from
+smoothed log-odds and are trained with the rest.  Two GRUs read a window of ``WINDOW`` words in either direction; attention
+weighs their states into one vector, which a logistic unit scores.  A text's score is the largest of all its
+windows, which overlap by half and cover it whole.
+
+Training sees at most ``PER_CLASS`` toxic rows and twice as many others, those with the smallest hash of the id; a positive text is learned from
+the window that scores highest at the time, negatives from several of theirs.  The model is some hundred kB, whatever
+the corpus.  Scoring is one pass without a shuffle; a window's words are looked up in a bounded cache of
+projected word vectors.
+
+Defined results: a null or empty text is one window of padding and gets its score; a null label is no label; an id with several labels
+counts as toxic if one of them is; rows without an id are scored, and are never held out; repeated rows score alike; without labels
+of both classes every score is 0; an empty table gives no rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wayfault.llm.common import as_bytes, map_arrow, nullable
+
+PER_CLASS = 1500
+WINDOW = 32
+STRIDE = 16
+HIDDEN = 8
+DIM = 6  # of each half
+GRAM_BUCKETS = 1 << 14
+WORDS = 4096
+EPOCHS = 8
+BATCH = 256
+BLOCK = 2048  # windows scored at once
+CACHE_WORDS = 150_000
+FOLDS = 5
+
+
+def held_out(id_col: Column) -> Column:
+    """Whether crc32 of the id as text leaves 0 when divided by 5; such rows are never learned from."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character 3- and 4-grams of the words, with marks at both ends, word by word; and how many each has."""
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    data = np.frombuffer(b"".join([b"\x02%b\x03" % w for w in words]), np.uint8).astype(np.uint32)
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(data))  # characters from here to the word's end
+    found, owner = [], []
+    of = np.repeat(np.arange(len(words)), lengths)
+    for k in (3, 4):
+        if len(data) < k:
+            continue
+        h = np.full(len(data) - k + 1, k, np.uint32)
+        for j in range(k):
+            h = (h ^ data[j : j + len(h)]) * np.uint32(0x01000193)
+        h = (h ^ (h >> np.uint32(15))) % np.uint32(GRAM_BUCKETS)
+        ok = left[: len(h)] >= k
+        found.append(h[ok])
+        owner.append(of[: len(h)][ok])
+    buckets, owners = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(owners, kind="stable")
+    return buckets[order].astype(np.int64), np.bincount(owners, minlength=len(words))
+
+
+def means(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return np.add.reduceat(table[buckets], starts, axis=0) / counts[:, None].astype(np.float32)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def window_starts(n: int) -> np.ndarray:
+    """Starts of the windows of a text of n words: every ``STRIDE`` words, the last one ending with the text."""
+    return np.minimum(np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE), max(0, n - WINDOW))
+
+
+@dataclass
+class Model:
+    words: dict[bytes, int] = field(default_factory=dict)
+    p: dict[str, np.ndarray] = field(default_factory=dict)
+    trained: bool = False
+
+    # -- inputs
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """Input vectors of words, both halves."""
+        if not words:
+            return np.zeros((0, 2 * DIM), np.float32)
+        ids = np.array([self.words.get(w, 0) for w in words])
+        return np.concatenate([self.p["word"][ids], means(self.p["gram"], *grams(words))], axis=1).astype(np.float32)
+
+    # -- network, on input vectors ``x`` of the distinct words and ``at`` (windows x words) numbers into them
+    def run(self, x: np.ndarray, at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
+        return self.run_projected([x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"], at, keep)
+
+    def run_projected(self, projected: list[np.ndarray], at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
+        p, h2 = self.p, 2 * HIDDEN
+        n, length = at.shape
+        states, trace = np.empty((length, n, h2), np.float32), {}
+        for d, a in zip("fb", projected, strict=True):
+            u, c, h = p[f"u{d}"], p[f"c{d}"], np.zeros((n, HIDDEN), np.float32)
+            part = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, h2)
+            steps = []
+            for t in range(length) if d == "f" else range(length - 1, -1, -1):
+                row, g = a[at[:, t]], h @ u + c
+                zr = 1 / (1 + np.exp(-(row[:, :h2] + g[:, :h2])))
+                z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+                new = np.tanh(row[:, h2:] + r * g[:, h2:])
+                if keep:
+                    steps.append((t, h, z, r, new, g[:, h2:]))
+                h = new + z * (h - new)
+                states[t, :, part] = h
+            trace[d] = steps
+        e = np.tanh(states @ p["wa"] + p["ba"])
+        score = e @ p["va"]
+        weight = np.exp(score - score.max(axis=0))
+        weight /= weight.sum(axis=0)
+        pooled = np.einsum("tn,tnh->nh", weight, states)
+        if keep:
+            trace |= {"states": states, "e": e, "weight": weight, "pooled": pooled}
+        return pooled @ p["wo"] + p["bo"][0], trace
+
+    def gradients(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Loss, gradients of the weights, and of the input vectors."""
+        p, h2 = self.p, 2 * HIDDEN
+        logit, s = self.run(x, at, keep=True)
+        prob = sigmoid(logit)
+        n = len(y)
+        loss = float(-np.mean(y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7)))
+        dl = ((prob - y) / n).astype(np.float32)
+        states, e, weight = s["states"], s["e"], s["weight"]
+        g = {"wo": s["pooled"].T @ dl, "bo": np.array([dl.sum()], np.float32)}
+        dpooled = dl[:, None] * p["wo"]
+        dstates = weight[:, :, None] * dpooled[None]
+        dw = np.einsum("nh,tnh->tn", dpooled, states)
+        dscore = weight * (dw - (weight * dw).sum(axis=0))
+        g["va"] = np.einsum("tn,tna->a", dscore, e)
+        de = dscore[:, :, None] * p["va"] * (1 - e * e)
+        g["wa"], g["ba"] = np.einsum("tnh,tna->ha", states, de), de.sum(axis=(0, 1))
+        dstates += de @ p["wa"].T
+        dx = np.zeros_like(x)
+        for d in "fb":
+            u, w = p[f"u{d}"], p[f"w{d}"]
+            part = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, h2)
+            dh = np.zeros((n, HIDDEN), np.float32)
+            gu, gc, gw, gb = np.zeros_like(u), np.zeros_like(p[f"c{d}"]), np.zeros_like(w), np.zeros_like(p[f"b{d}"])
+            for t, h, z, r, new, gn in reversed(s[d]):
+                dh = dh + dstates[t, :, part]
+                dn = dh * (1 - z) * (1 - new * new)
+                gates = np.concatenate([dh * (h - new) * z * (1 - z), dn * gn * r * (1 - r)], axis=1)
+                dg, da = np.concatenate([gates, dn * r], axis=1), np.concatenate([gates, dn], axis=1)
+                dh = dh * z + dg @ u.T
+                gu += h.T @ dg
+                gc += dg.sum(axis=0)
+                gw += x[at[:, t]].T @ da
+                gb += da.sum(axis=0)
+                np.add.at(dx, at[:, t], da @ w.T)
+            g |= {f"u{d}": gu, f"c{d}": gc, f"w{d}": gw, f"b{d}": gb}
+        return loss, g, dx
+
+
+class Scorer:
+    """Scores texts with a model; keeps the projected vectors of up to ``CACHE_WORDS`` words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {b"": 0}  # padding
+        self.tables = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in "fb"]
+        if self.model.trained:
+            for table, d in zip(self.tables, "fb", strict=True):
+                table[0] = self.model.p[f"b{d}"]
+
+    def add(self, words: list[bytes]) -> None:
+        n, first = len(self.numbers), len(self.numbers) - len(words)
+        x = self.model.vectors(words)
+        for i, d in enumerate("fb"):
+            if n > len(self.tables[i]):
+                self.tables[i] = np.concatenate([self.tables[i], np.zeros((max(n - len(self.tables[i]), len(self.tables[i])), 3 * HIDDEN), np.float32)])
+            self.tables[i][first:n] = x @ self.model.p[f"w{d}"] + self.model.p[f"b{d}"]
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        numbers = self.numbers
+        try:
+            return np.array([numbers[w] for w in words], np.int32)
+        except KeyError:
+            fresh = list(dict.fromkeys(w for w in words if w not in numbers))
+            for at in range(0, len(fresh), CACHE_WORDS):
+                part = fresh[at : at + CACHE_WORDS]
+                for w in part:
+                    numbers[w] = len(numbers)
+                self.add(part)
+            return np.array([numbers[w] for w in words], np.int32)
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """The largest score of the windows of each text."""
+        return sigmoid(self.logits(texts)) if self.model.trained else np.zeros(len(texts))
+
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        best = np.full(len(texts), -np.inf)
+        if len(self.numbers) > CACHE_WORDS:
+            self.clear()
+        held: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> None:
+            if held:
+                at, owner = np.concatenate(held), np.concatenate(owners)
+                for b in range(0, len(at), BLOCK):
+                    logit, _ = self.model.run_projected(self.tables, at[b : b + BLOCK])
+                    np.maximum.at(best, owner[b : b + BLOCK], logit)
+                held.clear()
+                owners.clear()
+
+        for i, text in enumerate(texts):
+            ids = self.numbered(text.lower().split())
+            starts = window_starts(len(ids))
+            if len(ids) < WINDOW:
+                ids = np.concatenate([ids, np.zeros(WINDOW - len(ids), np.int32)])
+            for b in range(0, len(starts), BLOCK):
+                part = starts[b : b + BLOCK]
+                held.append(ids[part[:, None] + np.arange(WINDOW)])
+                owners.append(np.full(len(part), i))
+                size += len(part)
+                if size >= BLOCK:
+                    flush()
+                    size = 0
+        flush()
+        return best
+
+
+def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Smoothed log-odds of being in a positive row, from the numbers of rows of each class."""
+    return np.log((pos + 3 * n_pos / (n_pos + n_neg)) / (neg + 3 * n_neg / (n_pos + n_neg)) * n_neg / n_pos).astype(np.float32)
+
+
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
+    """A model from texts and 0/1 labels: learned from four fifths of them, its threshold set on the others."""
+    y, rng = np.asarray(labels, bool), np.random.default_rng(seed)
+    apart = rng.random(len(y)) < 0.2
+    if not (y[~apart].any() and y[apart].any() and not y[~apart].all() and not y[apart].all()):
+        return _learn(texts, y, rng)
+    model = _learn([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], rng)
+    scores = Scorer(model).logits([t for t, a in zip(texts, apart, strict=True) if a])
+    model.p["bo"] -= np.float32(threshold(scores[y[apart]], scores[~y[apart]]))
+    return model
+
+
+def threshold(positive: np.ndarray, negative: np.ndarray) -> float:
+    """The middle of the best thresholds, a share of false alarms costing as much as three of misses."""
+    values = np.unique(np.concatenate([positive, negative]))
+    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
+    worth = (positive[None] >= cuts[:, None]).mean(axis=1) - 3 * (negative[None] >= cuts[:, None]).mean(axis=1)
+    best = int(np.argmax(worth))
+    low, high = values[max(0, best - 1)], values[min(best, len(values) - 1)]
+    return float(low + high) / 2
+
+
+def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model:
+    model = Model()
+    if not y.any() or y.all():
+        return model
+    docs = [t.lower().split() for t in texts]
+    n_pos, n_neg = int(y.sum()), int((~y).sum())
+    seen = (Counter(), Counter())
+    for d, label in zip(docs, y, strict=True):
+        seen[int(label)].update(set(d))
+    vocab = sorted(set(seen[0]) | set(seen[1]))
+    numbers = {w: i + 1 for i, w in enumerate(vocab)}
+    odds = log_odds(np.array([seen[1][w] for w in vocab]), np.array([seen[0][w] for w in vocab]), n_pos, n_neg)
+    chosen = sorted(np.argsort(-np.abs(odds), kind="stable")[:WORDS].tolist())
+    model.words = {vocab[i]: k + 1 for k, i in enumerate(chosen)}
+    small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    p = model.p
+    p["word"] = small(len(chosen) + 1, DIM)
+    p["word"][0] = 0
+    p["word"][1:, 0] = odds[chosen] / 3
+    buckets, counts = grams(vocab)
+    ends = np.cumsum(counts)
+    in_rows = np.zeros((2, GRAM_BUCKETS))
+    for d, label in zip(docs, y, strict=True):
+        own = {numbers[w] - 1 for w in d}
+        if own:
+            in_rows[int(label), np.unique(np.concatenate([buckets[ends[i] - counts[i] : ends[i]] for i in own]))] += 1
+    p["gram"] = small(GRAM_BUCKETS, DIM)
+    p["gram"][:, 0] = log_odds(in_rows[1], in_rows[0], n_pos, n_neg) / 1.5
+    for d in "fb":
+        p[f"w{d}"], p[f"u{d}"] = small(2 * DIM, 3 * HIDDEN) * 3, small(HIDDEN, 3 * HIDDEN) * 2
+        p[f"b{d}"], p[f"c{d}"] = np.zeros(3 * HIDDEN, np.float32), np.zeros(3 * HIDDEN, np.float32)
+    p["wa"], p["ba"], p["va"] = small(2 * HIDDEN, HIDDEN) * 3, np.zeros(HIDDEN, np.float32), small(HIDDEN) * 3
+    p["wo"], p["bo"] = small(2 * HIDDEN) * 3, np.zeros(1, np.float32)
+    model.trained = True
+    # windows: those with the largest single log-odds, and some others
+    word_ids = np.concatenate([[0], [model.words.get(w, 0) for w in vocab]])
+    peak = np.concatenate([[0], means(p["gram"], buckets, counts)[:, 0] + p["word"][word_ids[1:], 0]])
+    windows, owner = [], []
+    for i, d in enumerate(docs):
+        ids = np.array([numbers[w] for w in d] + [0] * max(0, WINDOW - len(d)))
+        at = ids[window_starts(len(d))[:, None] + np.arange(WINDOW)]
+        strength = peak[at].max(axis=1)
+        pick = np.argsort(-strength, kind="stable")[:3]
+        other = rng.choice(len(at), min(2, len(at)), replace=False)
+        pick = np.unique(np.concatenate([pick, other]))
+        windows.append(at[pick])
+        owner.append(np.full(len(pick), i))
+    windows, owner = np.concatenate(windows), np.concatenate(owner)
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    step = 0
+
+    def batch_inputs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        used, local = np.unique(at, return_inverse=True)
+        x = np.zeros((len(used), 2 * DIM), np.float32)
+        real = used > 0
+        x[real] = model.vectors([vocab[i - 1] for i in used[real]])
+        return used, local.reshape(at.shape), x
+
+    for epoch in range(EPOCHS):
+        use = ~y[owner]
+        strength = np.array(peak[windows].max(axis=1))
+        if epoch:
+            for b in range(0, len(windows), BLOCK):
+                _, local, x = batch_inputs(windows[b : b + BLOCK])
+                strength[b : b + BLOCK], _ = model.run(x, local)
+        order = np.lexsort((-strength, owner))
+        first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+        use[first] = True  # of a positive text the window that scores highest
+        rows = rng.permutation(np.flatnonzero(use))
+        rate = 0.01 * 0.7**epoch
+        for b in range(0, len(rows), BATCH):
+            part = rows[b : b + BATCH]
+            used, local, x = batch_inputs(windows[part])
+            _, g, dx = model.gradients(x, local, y[owner[part]].astype(np.float32))
+            real = np.flatnonzero(used > 0)
+            g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
+            np.add.at(g["word"], word_ids[used[real]], dx[real, :DIM])
+            g["word"][0] = 0
+            own, n = grams([vocab[i - 1] for i in used[real]])
+            np.add.at(g["gram"], own, np.repeat(dx[real, DIM:] / n[:, None], n, axis=0))
+            step += 1
+            for k, v in g.items():
+                m, s = moments[k]
+                m *= 0.9
+                m += 0.1 * v
+                s *= 0.999
+                s += 0.001 * v * v
+                p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return model
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[list[bytes], np.ndarray]:
+    """At most ``per_class`` toxic rows and twice as many others, labelled and not held out."""
+    named = labels.select(F.col(id_col).cast("long").alias("_wf_key"), F.col(label_col).cast("int").alias("y")).where("_wf_key is not null and y is not null")
+    one = named.where(~held_out(F.col("_wf_key"))).groupBy("_wf_key").agg(F.max("y").alias("y"))
+    rank = lambda v, n: one.where(F.col("y") == v).orderBy(F.xxhash64("_wf_key"), "_wf_key").limit(n)
+    picked = rank(1, per_class).unionByName(rank(0, 2 * per_class))
+    source = docs.select(F.col(id_col).cast("long").alias("_wf_key"), F.col(text_col).cast("string").alias("text"))
+    got = source.join(F.broadcast(picked), "_wf_key").dropDuplicates(["_wf_key"]).orderBy("_wf_key").select("text", "y").toArrow()
+    return as_bytes(got.column("text").combine_chunks()), got.column("y").to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+    return train(*sample_rows(docs, labels, id_col, text_col, label_col, per_class))
+
+
+def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` and the score of the text as ``_wf_score``."""
+    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            scores = scorer.score(as_bytes(batch.column(at).cast(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "_wf_score"])
+
+    return map_arrow(docs, run, T.StructType([*nullable(docs.schema).fields, T.StructField("_wf_score", T.DoubleType())]))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    return with_score(docs, model, text_col).where(F.col("_wf_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
