@@ -39,9 +39,12 @@ GRAM_BUCKETS = 1 << 14
 WORDS = 4096
 EPOCHS = 8
 BATCH = 256
+MIN_STEPS = 800
 BLOCK = 2048  # windows scored at once
 CACHE_WORDS = 150_000
 FOLDS = 5
+SMOOTHING = 3
+MIN_ROWS = 3
 
 
 def held_out(id_col: Column) -> Column:
@@ -244,8 +247,10 @@ class Scorer:
 
 
 def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Smoothed log-odds of being in a positive row, from the numbers of rows of each class."""
-    return np.log((pos + 3 * n_pos / (n_pos + n_neg)) / (neg + 3 * n_neg / (n_pos + n_neg)) * n_neg / n_pos).astype(np.float32)
+    """Smoothed log-odds of being in a positive row, from the numbers of rows of each class; 0 for what is in few rows."""
+    share = n_pos / (n_pos + n_neg)
+    odds = np.log((pos + SMOOTHING * share) / (neg + SMOOTHING * (1 - share)) * n_neg / n_pos)
+    return np.where(pos + neg >= MIN_ROWS, odds, 0).astype(np.float32)
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
@@ -282,7 +287,7 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
     vocab = sorted(set(seen[0]) | set(seen[1]))
     numbers = {w: i + 1 for i, w in enumerate(vocab)}
     odds = log_odds(np.array([seen[1][w] for w in vocab]), np.array([seen[0][w] for w in vocab]), n_pos, n_neg)
-    chosen = sorted(np.argsort(-np.abs(odds), kind="stable")[:WORDS].tolist())
+    chosen = sorted(i for i in np.argsort(-np.abs(odds), kind="stable")[:WORDS].tolist() if odds[i])
     model.words = {vocab[i]: k + 1 for k, i in enumerate(chosen)}
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     p = model.p
@@ -328,7 +333,9 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
         x[real] = model.vectors([vocab[i - 1] for i in used[real]])
         return used, local.reshape(at.shape), x
 
-    for epoch in range(EPOCHS):
+    size = int(np.clip(len(windows) // 64, 32, BATCH))
+    epochs = max(EPOCHS, -(-MIN_STEPS * size // len(windows)))
+    for epoch in range(epochs):
         use = ~y[owner]
         strength = np.array(peak[windows].max(axis=1))
         if epoch:
@@ -339,9 +346,9 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
         first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
         use[first] = True  # of a positive text the window that scores highest
         rows = rng.permutation(np.flatnonzero(use))
-        rate = 0.01 * 0.7**epoch
-        for b in range(0, len(rows), BATCH):
-            part = rows[b : b + BATCH]
+        rate = 0.01 * 0.7 ** (EPOCHS * epoch / epochs)
+        for b in range(0, len(rows), size):
+            part = rows[b : b + size]
             used, local, x = batch_inputs(windows[part])
             _, g, dx = model.gradients(x, local, y[owner[part]].astype(np.float32))
             real = np.flatnonzero(used > 0)
