@@ -22,11 +22,12 @@ from wayfault.llm.common import lookup, materialise
 
 RATIO = 0.3
 MIN_PAGES = 5
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def visible_lines(html: Column) -> Column:
     """Text of a page with scripts, styles, comments and tags as line ends."""
-    return F.regexp_replace(html, r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>", "\n")
+    return F.regexp_replace(html, r"(?s)<(?:!--.*?-->|script.*?</script>|style.*?</style>|[^>]*>)", "\n")
 
 
 def line_key(line: Column) -> Column:
@@ -34,17 +35,18 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def stripped(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+def line_keys(text: Column) -> Column:
+    """Array of structs ``line, key`` of the lines of a text; the key is null for a blank line."""
+    bare = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(BLANK)).alias("bare")))
+    return F.transform(bare, lambda x: F.struct(x["line"].alias("line"), F.when(x["bare"] != "", line_key(x["bare"])).alias("key")))
 
 
 def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", host: str | Column = "host", text: str | Column = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``page_id, host, n_lines, n_dropped, text`` of every row."""
     at = lambda c: F.col(c) if isinstance(c, str) else c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(at(host).cast("string"), F.lit("")).alias("host"), at(text).cast("string").alias("text"))
-    rows = rows.withColumn("lines", F.split("text", "\n"))
-    full = F.filter(F.transform("lines", stripped), lambda x: x != "")
-    hashed = rows.select("host", F.array_distinct(F.transform(full, line_key)).alias("keys"))
+    rows = rows.withColumn("lines", line_keys(F.col("text")))
+    hashed = rows.select("host", F.array_distinct(F.filter("lines.key", lambda k: k.isNotNull())).alias("keys"))
     totals = materialise(hashed.groupBy("host").agg(F.count(F.lit(1)).alias("total")), "hosts")
     counted = hashed.where("host <> ''").select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     often = counted.where(F.col("n") > ratio * min_pages)  # no less is above the ratio of a host that is large enough
@@ -54,10 +56,11 @@ def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", host: str | Colu
     n_rows = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     found = lookup(rows, sites, "host", "total", n_rows)
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    bad = lambda x: (x != "") & F.array_contains(F.coalesce("boilerplate", none), line_key(x))
-    kept = F.filter("lines", lambda x: ~bad(stripped(x)))
+    found = found.withColumn("boilerplate", F.coalesce("boilerplate", none))
+    found = found.withColumn("kept", F.filter("lines", lambda x: x["key"].isNull() | ~F.array_contains("boilerplate", x["key"])))
+    full = F.filter("lines", lambda x: x["key"].isNotNull())
     return found.select(
         "page_id", "host", F.coalesce(F.size(full), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lines") - F.size(kept), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.size(F.coalesce("boilerplate", none)) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.size("boilerplate") == 0, F.col("text")).otherwise(F.array_join(F.col("kept.line"), "\n")).alias("text"),
     )

@@ -101,7 +101,7 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
     "op8_line_dedup": r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END, '^([^/?#]*)', 1),
                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                  regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>', chr(10), 'g') AS text FROM pages),
+                  regexp_replace(html, '(?s)<(?:!--.*?-->|script.*?</script>|style.*?</style>|[^>]*>)', chr(10), 'g') AS text FROM pages),
 l AS (SELECT page_id, host, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
       FROM (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM p)),
 t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
