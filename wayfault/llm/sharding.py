@@ -7,8 +7,8 @@ that most of their neighbours, and they themselves, are in.  Moves between each
 by quotas: as many as go back the other way, and a part of the room that the receiving shard still has.
 Documents without links come last and fill the shards up, so row counts differ by one at most (law ``rows``).
 
-What the driver sees are matrices of shards by shards.  Ranks are counted within tasks and shifted by the
-counts of earlier tasks; no shard, group or pair of shards is gathered anywhere.
+What the driver sees are matrices of shards by shards.  Ranks are counted within blocks of rows and shifted by the
+counts of earlier blocks; no shard, group or pair of shards is gathered anywhere.
 
 Defined results: a null text has no bytes and equals other null texts only; rows without an id and repeated rows are documents
 of their own; an empty table gives no rows; other columns are ignored.
@@ -24,12 +24,13 @@ from wayfault.llm.common import lookup, materialise
 
 SHARDS = 24
 ROUNDS = 8
+BLOCK_BITS = 10  # rows of a task are ranked in blocks of 1024
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
-    """``rows`` (of a written table with ``part``, ``at``: its task and place there) with ``rank``, from 0 in each value of ``by``.
+    """``rows`` (of a written table with ``part``, ``at``: its block and place there) with ``rank``, from 0 in each value of ``by``.
 
-    Places are ranked within tasks, and earlier tasks' counts added.
+    Places are ranked within blocks, and earlier blocks' counts added.
     """
     local = F.row_number().over(Window.partitionBy(by, "part").orderBy("at")) - 1
     counts = rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +101,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2(text, 256), F.lit("null")).alias("grp"), F.monotonically_increasing_id().alias("row"),
     )
-    rows = materialise(rows.withColumn("part", F.shiftright("row", 33).cast("int")).withColumn("at", F.col("row")), "rows")
+    rows = materialise(rows.withColumn("part", F.shiftright("row", BLOCK_BITS)).withColumn("at", F.col("row")), "rows")
     sizes = materialise(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     n_rows = rows.count()
     room = capacities(n_rows, shards)
