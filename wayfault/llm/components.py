@@ -60,7 +60,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``u, root`` for every node of ``edges`` (columns ``u, v``, longs) that is not its component's smallest."""
     edges = edges.where("u is not null and v is not null and u <> v")
-    stars = materialise(map_arrow(edges.select("u", "v"), _contract, "u long, v long").distinct(), "stars")
+    stars = materialise(map_arrow(edges.select("u", "v"), _contract, "u long, v long", 50_000).distinct(), "stars")
     before = None
     while True:
         print_ = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -152,4 +152,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     columns = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number")).alias("number"))
-    return columns.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(columns, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", 20_000)

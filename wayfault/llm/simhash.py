@@ -34,7 +34,8 @@ from wayfault.llm.components import components, roots
 SEED = 42
 BITS = 2
 BUCKET = 2048
-SLICE = 4 << 20  # bytes of text whose shingles are held at once
+LINK_ROWS = 50_000
+SLICE = 1 << 20  # bytes of text whose shingles are held at once
 
 
 def shingle_hashes(text: bytes, size: int) -> bytes:
@@ -203,16 +204,14 @@ def _link(last: bool, bits: int):
 
 def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Rows ``u, v`` that connect exactly the fingerprints (distinct, column ``fp``) that links connect."""
-    spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     schema = "bucket long, u long, v long, deferred boolean"
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp")
 
-    first = materialise(dealt(variants(fps)).mapInArrow(_link(False, bits), schema), "links")
+    first = materialise(map_arrow(dealt(variants(fps)), _link(False, bits), schema, LINK_ROWS), "links")
     deferred = first.where("deferred").select("bucket", F.col("u").alias("fp"))
-    second = dealt(sub_variants(deferred)).mapInArrow(_link(True, bits), schema)
+    second = map_arrow(dealt(sub_variants(deferred)), _link(True, bits), schema, LINK_ROWS)
     return first.where("not deferred").select("u", "v").unionByName(second.select("u", "v")).distinct()
 
 
