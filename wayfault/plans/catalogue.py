@@ -2,3 +2,4 @@
 
 from wayfault.plans import events_queries  # noqa: F401
 from wayfault.plans import lrs_queries  # noqa: F401
+from wayfault.plans import network_queries, scalar_queries  # noqa: F401
