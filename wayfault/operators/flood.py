@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfault.functions.scalars import flood_frequency
 from wayfault.operators.components import components, outside_largest
-from wayfault.operators.paths import cut
+from wayfault.operators.scratch import cut
 
 EDGE = ["u", "v", "key"]
 #: Flood zones with their subtype (None: without), 1 being the worst.
@@ -101,7 +101,9 @@ def impacts(edges: DataFrame, surface_spans: DataFrame, bridge_spans: DataFrame,
         surface = cut(surface.join(flooded, EDGE, "left_anti"))
         pruned, bridges = prune_bridges(flooded, surface, bridges)
         now = flooded.withColumn("reason", F.lit("FLOODED")).unionByName(pruned.select(*EDGE).withColumn("reason", F.lit("BRIDGE_FUNCTIONALLY_DISCONNECTED"))).withColumn("level", F.lit(level))
-        reasons = cut(now if reasons is None else reasons.join(now, EDGE, "left_anti").unionByName(now))  # the later level stands
+        now = cut(now)
+        both = now if reasons is None else reasons.unionByName(now)  # the later level stands
+        reasons = cut(both.groupBy(*EDGE).agg(F.max(F.struct("level", "reason")).alias("_r")).select(*EDGE, "_r.reason", "_r.level"))
         graph = cut(graph.join(_undirected(now).select("u", "v", "key"), EDGE, "left_anti"))
         apart = outside_largest(components(nodes, graph)).select(F.col("node_id").alias("u"))
         new = surface.unionByName(bridges.select(*EDGE)).join(apart, "u", "left_semi").join(isolated, EDGE, "left_anti").select(*EDGE).withColumn("level", F.lit(level))

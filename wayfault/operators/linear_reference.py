@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfault.functions import scalars as S
+from wayfault.operators.scratch import cut
 from wayfault.operators.validation import require_key
 
 EDGE = ["u", "v", "key"]
@@ -161,7 +162,7 @@ def with_sequence(df: DataFrame, order: list[str], name: str, start: int = 0) ->
     """A gapless number in global order, without gathering the rows: ranges are sorted apart and shifted by the sizes of those before."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     keyed = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
-    keyed = keyed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else keyed.persist()
+    keyed = cut(keyed)
     sizes = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")
     return keyed.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") + start).drop("_p", "_i", "_before")

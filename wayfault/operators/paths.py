@@ -10,22 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfault.functions import scalars as S
+from wayfault.operators.scratch import cut
 
 EDGE = ["u", "v", "key"]
 BARRICADE = 1_000_000.0
 HOPS = 3
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Shorten the lineage: a checkpoint in the shared folder, where one is configured."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfault-"))
-    return df.checkpoint()
-
-
 def street_names(edges: DataFrame) -> DataFrame:
     """``u, v, key, road_name, from_name, to_name``; needs the columns of ``best_name``."""
     road = S.best_name(edges, ["u", "v"]).withColumnRenamed("best_name", "road_name")

@@ -1,14 +1,17 @@
-"""Small road networks derived from the order tables; whole numbers as costs, so sums are exact."""
+"""Small road networks derived from the order tables; whole numbers as costs, so sums are exact.
+
+``edges`` is sparse, with several components; ``mesh`` is dense enough for detours."""
 
 from __future__ import annotations
 
-from wayfault.plans.registry import adapter
+from wayfault.plans.registry import ADAPTERS, adapter
 
 adapter(
     "edges",
     """SELECT u, v, CAST(0 AS BIGINT) AS key, min(tt) AS travel_time, min(len) AS length FROM (SELECT l_partkey % 200 AS u, (l_suppkey * 3 + l_linenumber * 17) % 200 AS v,
        CAST(floor(l_extendedprice) AS BIGINT) AS tt, CAST(l_quantity AS BIGINT) AS len FROM lineitem WHERE l_orderkey % 331 = 0) WHERE u <> v GROUP BY u, v""",
 )
+adapter("mesh", ADAPTERS["edges"].replace("% 200", "% 60"))
 adapter(
     "edge_tags",
     """SELECT u, v, key, travel_time, length,
@@ -21,3 +24,4 @@ adapter(
        CASE u % 4 WHEN 0 THEN '50' WHEN 1 THEN '30 mph' WHEN 2 THEN 'signals' ELSE NULL END AS maxspeed
        FROM edges""",
 )
+adapter("mesh_tags", ADAPTERS["edge_tags"].replace("FROM edges", "FROM mesh"))

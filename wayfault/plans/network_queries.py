@@ -194,18 +194,18 @@ TARGETS = "(u + v) % 6 = 0"
 
 @query(
     "n7_detours",
-    f"""WITH RECURSIVE d(bu, bv, node, cost) USING KEY (bu, bv, node) AS (SELECT u, v, u, CAST(0 AS BIGINT) FROM edges WHERE {TARGETS}
-UNION SELECT d.bu, d.bv, e.v, min(d.cost + CASE WHEN e.u = d.bu AND e.v = d.bv THEN 1000000 ELSE e.travel_time END) FROM d JOIN edges e ON d.node = e.u LEFT JOIN recurring.d r ON r.bu = d.bu AND r.bv = d.bv AND r.node = e.v
+    f"""WITH RECURSIVE d(bu, bv, node, cost) USING KEY (bu, bv, node) AS (SELECT u, v, u, CAST(0 AS BIGINT) FROM mesh WHERE {TARGETS}
+UNION SELECT d.bu, d.bv, e.v, min(d.cost + CASE WHEN e.u = d.bu AND e.v = d.bv THEN 1000000 ELSE e.travel_time END) FROM d JOIN mesh e ON d.node = e.u LEFT JOIN recurring.d r ON r.bu = d.bu AND r.bv = d.bv AND r.node = e.v
 WHERE r.cost IS NULL OR d.cost + CASE WHEN e.u = d.bu AND e.v = d.bv THEN 1000000 ELSE e.travel_time END < r.cost GROUP BY d.bu, d.bv, e.v)
 SELECT bu AS u, bv AS v, CAST(cost AS DOUBLE) AS detour_sec FROM d WHERE node = bv""",
 )
 def detours(t):
-    q = t.edges.where(TARGETS).select(F.concat_ws(">", "u", "v").alias("query"), F.col("u").alias("origin"), F.col("v").alias("destination"), F.col("u").alias("bu"), F.col("v").alias("bv"), F.col("key").alias("bkey"))
-    return P.shortest_paths(t.edges, q).join(q, "query").select(F.col("bu").alias("u"), F.col("bv").alias("v"), F.col("cost").alias("detour_sec"))
+    q = t.mesh.where(TARGETS).select(F.concat_ws(">", "u", "v").alias("query"), F.col("u").alias("origin"), F.col("v").alias("destination"), F.col("u").alias("bu"), F.col("v").alias("bv"), F.col("key").alias("bkey"))
+    return P.shortest_paths(t.mesh, q).join(q, "query").select(F.col("bu").alias("u"), F.col("bv").alias("v"), F.col("cost").alias("detour_sec"))
 
 
 def info(t):
-    e = t.edge_tags.withColumn("length_mi", F.col("length").cast("double"))
+    e = t.mesh_tags.withColumn("length_mi", F.col("length").cast("double"))
     return P.redundancy(e, e.where(TARGETS), paved_only=False)
 
 
@@ -221,7 +221,7 @@ def path_table(t):
 
 @query("j3_path_geometries")
 def path_geometries(t):
-    return P.path_geometries(P.path_table(info(t), "detour"), t.edges)
+    return P.path_geometries(P.path_table(info(t), "detour"), t.mesh)
 
 
 @query("j4_detours_with_roads", "SELECT u, v, key, travel_time, ref, name FROM edges JOIN (SELECT u, v, key, ref, name FROM edge_tags WHERE u % 2 = 0) USING (u, v, key)")
