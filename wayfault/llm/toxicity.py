@@ -18,7 +18,6 @@ of both classes every score is 0; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfault.llm.common import as_bytes, map_arrow, nullable
+from wayfault.llm.common import as_bytes, map_arrow, nullable, release
 
 PER_CLASS = 1500
 WINDOW = 32
@@ -41,7 +40,7 @@ EPOCHS = 8
 BATCH = 256
 MIN_STEPS = 800
 BLOCK = 2048  # windows scored at once
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 FOLDS = 5
 SMOOTHING = 3
 MIN_ROWS = 3
@@ -72,7 +71,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         owner.append(of[: len(h)][ok])
     buckets, owners = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owners, kind="stable")
-    return buckets[order].astype(np.int64), np.bincount(owners, minlength=len(words))
+    return buckets[order].astype(np.int32), np.bincount(owners, minlength=len(words))
 
 
 def means(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -182,7 +181,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.numbers: dict[bytes, int] = {b"": 0}  # padding
-        self.tables = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in "fb"]
+        self.tables = [np.zeros((CACHE_WORDS // 4, 3 * HIDDEN), np.float32) for _ in "fb"]
         if self.model.trained:
             for table, d in zip(self.tables, "fb", strict=True):
                 table[0] = self.model.p[f"b{d}"]
@@ -279,14 +278,15 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
     model = Model()
     if not y.any() or y.all():
         return model
-    docs = [t.lower().split() for t in texts]
+    numbers: dict[bytes, int] = {b"": 0}  # padding
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in t.lower().split()], np.int32) for t in texts]
+    vocab = list(numbers)[1:]
+    del numbers
     n_pos, n_neg = int(y.sum()), int((~y).sum())
-    seen = (Counter(), Counter())
+    seen = np.zeros((2, len(vocab) + 1), np.int64)
     for d, label in zip(docs, y, strict=True):
-        seen[int(label)].update(set(d))
-    vocab = sorted(set(seen[0]) | set(seen[1]))
-    numbers = {w: i + 1 for i, w in enumerate(vocab)}
-    odds = log_odds(np.array([seen[1][w] for w in vocab]), np.array([seen[0][w] for w in vocab]), n_pos, n_neg)
+        seen[int(label), np.unique(d)] += 1
+    odds = log_odds(seen[1, 1:], seen[0, 1:], n_pos, n_neg)
     chosen = sorted(i for i in np.argsort(-np.abs(odds), kind="stable")[:WORDS].tolist() if odds[i])
     model.words = {vocab[i]: k + 1 for k, i in enumerate(chosen)}
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
@@ -298,9 +298,8 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
     ends = np.cumsum(counts)
     in_rows = np.zeros((2, GRAM_BUCKETS))
     for d, label in zip(docs, y, strict=True):
-        own = {numbers[w] - 1 for w in d}
-        if own:
-            in_rows[int(label), np.unique(np.concatenate([buckets[ends[i] - counts[i] : ends[i]] for i in own]))] += 1
+        if len(d):
+            in_rows[int(label), np.unique(np.concatenate([buckets[ends[i] - counts[i] : ends[i]] for i in (np.unique(d) - 1).tolist()]))] += 1
     p["gram"] = small(GRAM_BUCKETS, DIM)
     p["gram"][:, 0] = log_odds(in_rows[1], in_rows[0], n_pos, n_neg) / 1.5
     for d in "fb":
@@ -311,10 +310,11 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
     model.trained = True
     # windows: those with the largest single log-odds, and some others
     word_ids = np.concatenate([[0], [model.words.get(w, 0) for w in vocab]])
-    peak = np.concatenate([[0], means(p["gram"], buckets, counts)[:, 0] + p["word"][word_ids[1:], 0]])
+    peak = np.concatenate([[0], means(p["gram"][:, :1], buckets, counts)[:, 0] + p["word"][word_ids[1:], 0]]).astype(np.float32)
+    del buckets
     windows, owner = [], []
     for i, d in enumerate(docs):
-        ids = np.array([numbers[w] for w in d] + [0] * max(0, WINDOW - len(d)))
+        ids = np.concatenate([d, np.zeros(max(0, WINDOW - len(d)), np.int32)])
         at = ids[window_starts(len(d))[:, None] + np.arange(WINDOW)]
         strength = peak[at].max(axis=1)
         pick = np.argsort(-strength, kind="stable")[:3]
@@ -380,7 +380,9 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    return train(*sample_rows(docs, labels, id_col, text_col, label_col, per_class))
+    model = train(*sample_rows(docs, labels, id_col, text_col, label_col, per_class))
+    release()
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
