@@ -125,7 +125,7 @@ def sphere_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Great-circle distance in metres of two points in degrees."""
     a, b = F.radians(y1), F.radians(y2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.when(h.isNotNull(), 2 * RADIUS * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
 
 
 def sphere_length(line: Column) -> Column:

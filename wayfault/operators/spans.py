@@ -6,6 +6,7 @@ osm_nodes``, in order along the edge.  Runs are folded within the array, so an e
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,6 @@ def _meet_beyond(a, b, c, d) -> bool:
 
 def split_simple(edges: DataFrame) -> DataFrame:
     """``u, v, key, part_idx, start_idx, end_idx, geometry`` of the simple parts of each edge's line."""
-    import pandas as pd
-
     def ranges(lines: pd.Series) -> pd.Series:
         return lines.map(lambda line: [{"start_idx": a, "end_idx": b} for a, b in simple_ranges([(p["x"], p["y"]) for p in line])] if line is not None else None)
 
