@@ -420,3 +420,21 @@ def test_load_tables(spark):
     assert written == {"roadways": 2, "detours_info": 1, "base_paths": 1, "detour_paths": 1}
     with pytest.raises(validation.ValidationError, match="parent"):
         sinks.load_tables(e, e, p.withColumn("path_v", F.lit(9).cast("long")), p, lambda *_: None)
+
+
+def test_ellipsoid_and_clipping(spark):
+    import numpy as np
+
+    from wayfault.functions import exact_geometry as X
+
+    d = X.vincenty(*np.array([[0.0, 0, 0, 1], [0, 0, 1, 0], [5, 5, 5, 5], [-73.9, 42.6, -73.8, 42.7], [0, 0, 179.9, 0.1]]).T)
+    assert d[0] == pytest.approx(110574.389, abs=0.01) and d[1] == pytest.approx(111319.491, abs=0.01) and d[2] == 0
+    assert d[3] == pytest.approx(13799, abs=30) and 19.9e6 < d[4] < 20.1e6
+    line = F.array(G.point(F.lit(0), F.lit(0)), G.point(F.lit(0), F.lit(1)), G.point(F.lit(1), F.lit(1)))
+    assert one(spark, X.ellipsoid_length(line)) == pytest.approx(110574.389 + 111302.649, abs=0.01)
+    square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    assert X.clip_line([(-1, 2), (5, 2)], [square, [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)]]) == [[(0, 2), (1, 2)], [(3, 2), (4, 2)]]
+    assert X.clip_line([(-1, 0), (5, 0)], [square]) == [[(0, 0), (4, 0)]] and X.clip_line([(5, 5), (6, 6)], [square]) == []
+    for mask in ([(2, 2), (6, 2), (6, 6), (2, 6), (2, 2)], [(2, 2), (2, 6), (6, 6), (6, 2), (2, 2)]):
+        assert sorted(X.clip_ring(square, mask)[:-1]) == [(2, 2), (2, 4), (4, 2), (4, 4)]
+    assert X.clip_ring(square, [(5, 5), (6, 5), (6, 6), (5, 5)]) == []

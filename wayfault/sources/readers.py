@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfault.functions import geometry as G
+from wayfault.functions.exact_geometry import ellipsoid_distance
 from wayfault.functions.scalars import county_code
 from wayfault.operators.flood import require_ranks
 
@@ -31,18 +32,17 @@ def network(spark: SparkSession, folder: str, box: tuple[float, float, float, fl
     return nodes, edges
 
 
-def base_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Directed edges between consecutive nodes of ways (``osmid, node_ids, oneway`` and tags), with spherical lengths."""
+def base_edges(ways: DataFrame, nodes: DataFrame, ellipsoid: bool = False) -> DataFrame:
+    """Directed edges between consecutive nodes of ways (``osmid, node_ids, oneway`` and tags), with spherical or ellipsoidal lengths."""
     n = F.size("node_ids")
     pairs = F.transform(F.slice("node_ids", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, i: F.struct(a.alias("u"), F.get("node_ids", i + 1).alias("v")))
     rows = ways.select(*[c for c in ways.columns if c not in ("node_ids", "oneway")], F.coalesce("oneway", F.lit(False)).alias("_one"), F.explode(pairs).alias("_p"))
     both = rows.select(*[c for c in rows.columns if c not in ("_p", "_one")], F.explode(F.when(F.col("_one"), F.array("_p")).otherwise(F.array(F.col("_p"), F.struct(F.col("_p.v").alias("u"), F.col("_p.u").alias("v"))))).alias("_p")).select("*", "_p.*").drop("_p")
     at = lambda s: nodes.select(F.col("node_id").alias(s), F.col("x").alias(f"_{s}x"), F.col("y").alias(f"_{s}y"))
     out = both.join(at("u"), "u").join(at("v"), "v")
-    from pyspark.sql import Window
-
+    distance = ellipsoid_distance if ellipsoid else G.sphere_distance
     key = F.row_number().over(Window.partitionBy("u", "v").orderBy("osmid")).cast("long") - 1
-    return out.withColumn("length", G.sphere_distance(F.col("_ux"), F.col("_uy"), F.col("_vx"), F.col("_vy"))).drop("_ux", "_uy", "_vx", "_vy").withColumn("key", key)
+    return out.withColumn("length", distance(F.col("_ux"), F.col("_uy"), F.col("_vx"), F.col("_vy"))).drop("_ux", "_uy", "_vx", "_vy").withColumn("key", key)
 
 
 def extract(ways: DataFrame, nodes: DataFrame, region: Column, major_only: bool = False) -> tuple[DataFrame, DataFrame]:
