@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 #: A lookup key is hot when it holds at least this share of the rows, so at most 256 keys are.
 HOT_SHARE = 1 / 256
+FILES_PER_CORE = 2
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,9 +34,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wayfault-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, label: str, keys_only: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Tables of keys and numbers (``keys_only``) are small beside the texts, and are written in a few files per core, not one per shuffle partition.
+    """
     path = scratch_path(df.sparkSession, label)
+    if keys_only:
+        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 

@@ -60,7 +60,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``u, root`` for every node of ``edges`` (columns ``u, v``, longs) that is not its component's smallest."""
     edges = edges.where("u is not null and v is not null and u <> v")
-    stars = materialise(map_arrow(edges.select("u", "v"), _contract, "u long, v long", 50_000).distinct(), "stars")
+    stars = materialise(map_arrow(edges.select("u", "v"), _contract, "u long, v long", 50_000).distinct(), "stars", keys_only=True)
     before = None
     while True:
         print_ = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -70,7 +70,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = materialise(large, "large")
+        down = materialise(large, "large", keys_only=True)
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        stars = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars", keys_only=True)

@@ -200,7 +200,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if historical is None:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         historical = F.col("doc_id") <= F.lit((low + high) // 2 if low is not None else 0)
-    table = materialise(groups(rows, historical, n_rows), "groups")
+    table = materialise(groups(rows, historical, n_rows), "groups", keys_only=True)
     found = lookup(rows, table, "digest", "group_size", n_rows)
     return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
 
@@ -213,7 +213,7 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialise(digests(docs, id_col, text_col), "digests")
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first() or (None, None)
     table = groups(rows, F.col("doc_id") <= F.lit((low + high) // 2 if low is not None else 0), rows.count())
-    winners = materialise(table.select(F.col("digest").alias("_wf_digest"), F.coalesce("keep_id", F.lit(-(2**63))).alias("_wf_id")), "winners")
+    winners = materialise(table.select(F.col("digest").alias("_wf_digest"), F.coalesce("keep_id", F.lit(-(2**63))).alias("_wf_id")), "winners", keys_only=True)
     tagged = with_digest(docs, text_col).withColumn("_wf_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
     kept = tagged.join(winners, ["_wf_digest", "_wf_id"], "left_semi")
     repeats = rows.groupBy("digest", "doc_id").count().where("count > 1").limit(1).count()

@@ -47,12 +47,12 @@ def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", host: str | Colu
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(at(host).cast("string"), F.lit("")).alias("host"), at(text).cast("string").alias("text"))
     rows = rows.withColumn("lines", line_keys(F.col("text")))
     hashed = rows.select("host", F.array_distinct(F.filter("lines.key", lambda k: k.isNotNull())).alias("keys"))
-    totals = materialise(hashed.groupBy("host").agg(F.count(F.lit(1)).alias("total")), "hosts")
+    totals = materialise(hashed.groupBy("host").agg(F.count(F.lit(1)).alias("total")), "hosts", keys_only=True)
     counted = hashed.where("host <> ''").select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     often = counted.where(F.col("n") > ratio * min_pages)  # no less is above the ratio of a host that is large enough
     over = often.join(totals, "host").where((F.col("total") >= min_pages) & (F.col("n") > ratio * F.col("total")))
     lists = over.groupBy("host").agg(F.collect_list("key").alias("boilerplate"))
-    sites = materialise(totals.join(lists, "host", "left"), "sites")
+    sites = materialise(totals.join(lists, "host", "left"), "sites", keys_only=True)
     n_rows = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     found = lookup(rows, sites, "host", "total", n_rows)
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")

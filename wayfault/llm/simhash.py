@@ -209,7 +209,7 @@ def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp")
 
-    first = materialise(map_arrow(dealt(variants(fps)), _link(False, bits), schema, LINK_ROWS), "links")
+    first = materialise(map_arrow(dealt(variants(fps)), _link(False, bits), schema, LINK_ROWS), "links", keys_only=True)
     deferred = first.where("deferred").select("bucket", F.col("u").alias("fp"))
     second = map_arrow(dealt(sub_variants(deferred)), _link(True, bits), schema, LINK_ROWS)
     return first.where("not deferred").select("u", "v").unionByName(second.select("u", "v")).distinct()
@@ -220,12 +220,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= bits <= 2:
         raise ValueError("cut into two halves, one of which may differ by one bit, fingerprints can link at 0 to 2 bits")
     rows = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes", keys_only=True)
     stars = components(link(classes.select("fp"), bits))
     rooted = classes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialise(rooted, "rooted")
+    rooted = materialise(rooted, "rooted", keys_only=True)
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(names, "root").select("fp", "component_id", "n"), "named")
+    named = materialise(rooted.join(names, "root").select("fp", "component_id", "n"), "named", keys_only=True)
     return lookup(rows, named, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
 
 

@@ -114,7 +114,7 @@ def with_responses(captures: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = captures.withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(payload))
     groups = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
-    equal = materialise(groups.where("n > 1").select(F.col("digest").alias("equal"), F.col("best.page_id").alias("response_id"), F.col("best.row").alias("response_row"), "n"), "equal")
+    equal = materialise(groups.where("n > 1").select(F.col("digest").alias("equal"), F.col("best.page_id").alias("response_id"), F.col("best.row").alias("response_row"), "n"), "equal", keys_only=True)
     total = equal.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     large = F.col("n") >= max(1000, total * HOT_SHARE)  # at most 256 groups
     few = equal.where(large).select(F.col("equal").alias("hot"), F.col("response_id").alias("hot_id"), F.col("response_row").alias("hot_row"))
