@@ -51,7 +51,7 @@ def outage_hours(t):
     return got.withColumn("ids", F.array_join("ids", ","))
 
 
-@query("w4_islands", f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, isl AS island_id, count(*) AS n, min(s) AS first_start, max(rm) AS last_end FROM x_i GROUP BY ALL")
+@query("w4_islands", f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, CAST(isl AS BIGINT) AS island_id, count(*) AS n, min(s) AS first_start, max(rm) AS last_end FROM x_i GROUP BY ALL")
 def island_table(t):
     rows = I.islands(collected(t).select(*I.EDGE, "event_id", "start_ts", "end_ts").distinct(), I.EDGE, "start_ts", "end_ts")
     return rows.groupBy(*I.EDGE, "island_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_ts").alias("first_start"), F.max("end_ts").alias("last_end"))
@@ -75,7 +75,7 @@ def previous_end(t):
 
 @query(
     "a1_merged_intervals",
-    f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, isl AS island_id, array_to_string(list_sort(ids), ',') AS ids, ms AS merged_start, me AS merged_end FROM x_m",
+    f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, CAST(isl AS BIGINT) AS island_id, array_to_string(list_sort(ids), ',') AS ids, ms AS merged_start, me AS merged_end FROM x_m",
 )
 def merged(t):
     got = I.merged_intervals(collected(t).select(*I.EDGE, "event_id", "start_ts", "end_ts").distinct(), I.EDGE, "start_ts", "end_ts", "event_id")

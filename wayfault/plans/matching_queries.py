@@ -189,7 +189,7 @@ def locate(t):
     return t.supplier.select("s_suppkey", at.alias("along"), G.interpolate(line, at / 10)["x"].alias("x"))
 
 
-@query("g6_shortest_line", "SELECT s_suppkey, CAST(least(s_suppkey % 12, 10) AS DOUBLE) AS fx, 4.0 AS metres FROM supplier WHERE s_suppkey % 12 <= 10")
+@query("g6_shortest_line", "SELECT s_suppkey, CAST(least(s_suppkey % 12, 10) AS DOUBLE) AS fx, CAST(4 AS DOUBLE) AS metres FROM supplier WHERE s_suppkey % 12 <= 10")
 def shortest_line(t):
     line = F.array(G.point(F.lit(0), F.lit(1)), G.point(F.lit(10), F.lit(1)))
     x = (F.col("s_suppkey") % 12).cast("double")

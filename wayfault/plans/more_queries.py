@@ -120,7 +120,7 @@ def union_of_lines(t):
     return t.edges.groupBy("u").agg(F.size(F.collect_set(part)).alias("n"))
 
 
-@query("w3_island_flags", f"WITH {E.COLLECTED}, {E._hours('x', 'true')} SELECT u, v, key, sum(CASE WHEN s > pe THEN 1 ELSE 0 END) AS islands FROM x_l GROUP BY u, v, key")
+@query("w3_island_flags", f"WITH {E.COLLECTED}, {E._hours('x', 'true')} SELECT u, v, key, CAST(sum(CASE WHEN s > pe THEN 1 ELSE 0 END) AS BIGINT) AS islands FROM x_l GROUP BY u, v, key")
 def island_flags(t):
     from wayfault.operators.intervals import EDGE, islands
 
@@ -128,7 +128,7 @@ def island_flags(t):
     return rows.groupBy(*EDGE).agg(F.max("island_id").alias("islands"))
 
 
-@query("w5_row_numbers", "SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS n FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("w5_row_numbers", "SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS INT) AS n FROM lineitem WHERE l_orderkey % 50 = 0")
 def row_numbers(t):
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
     return t.lineitem.where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("n"))
@@ -184,7 +184,7 @@ def boundary_geometry(t):
     return Q.boxes(t).where("box_id = 3").select("box_id", b["min_x"].alias("min_x"), b["max_y"].alias("max_y"))
 
 
-@query("n17_graph_and_tables", "SELECT u, count(*) AS n, sum(travel_time) AS seconds FROM edges GROUP BY u")
+@query("n17_graph_and_tables", "SELECT u, count(*) AS n, CAST(sum(travel_time) AS BIGINT) AS seconds FROM edges GROUP BY u")
 def graph_and_tables(t):
     out = t.edges.groupBy("u").agg(F.collect_list(F.struct("v", "key", "travel_time")).alias("adjacent"))  # a node's edges, and back
     return out.select("u", F.explode("adjacent").alias("e")).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("e.travel_time").alias("seconds"))

@@ -78,12 +78,12 @@ def components(t):
     return labels(t)
 
 
-@query("o4_ranked_components", f"WITH RECURSIVE {COMPONENTS} SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS rank FROM comp GROUP BY component")
+@query("o4_ranked_components", f"WITH RECURSIVE {COMPONENTS} SELECT component, count(*) AS size, CAST(row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS INT) AS rank FROM comp GROUP BY component")
 def ranked(t):
     return K.ranked_components(labels(t))
 
 
-@query("a17_largest_share", f"WITH RECURSIVE {COMPONENTS} SELECT max(n) AS largest, sum(n) AS total, max(n) / sum(n) AS ratio FROM (SELECT count(*) AS n FROM comp GROUP BY component)")
+@query("a17_largest_share", f"WITH RECURSIVE {COMPONENTS} SELECT max(n) AS largest, CAST(sum(n) AS BIGINT) AS total, max(n) / sum(n) AS ratio FROM (SELECT count(*) AS n FROM comp GROUP BY component)")
 def share(t):
     return K.largest_share(labels(t))
 

@@ -152,7 +152,7 @@ def numbered(t):
     return U.numbered(fused(t))
 
 
-@query("k7_simplified", f"WITH {PARTS} SELECT u, v, key, NULL AS openlr_roadclass, redundancy_difference_sec AS redundancy_detour_seconds_diff, NULL AS road_network_edge_betweenness_centrality, events_all_incidents_count AS flood_related_events_count, CASE WHEN flood_nonfunctional_reason = 'FLOODED' THEN flood_nonfunctional_frequency END AS flooding_vulnerability_frequency FROM fused")
+@query("k7_simplified", f"WITH {PARTS} SELECT u, v, key, CAST(NULL AS VARCHAR) AS openlr_roadclass, redundancy_difference_sec AS redundancy_detour_seconds_diff, CAST(NULL AS VARCHAR) AS road_network_edge_betweenness_centrality, events_all_incidents_count AS flood_related_events_count, CASE WHEN flood_nonfunctional_reason = 'FLOODED' THEN flood_nonfunctional_frequency END AS flooding_vulnerability_frequency FROM fused")
 def simplified(t):
     return U.simplified(fused(t))
 

@@ -163,7 +163,7 @@ def speeds(t):
     return s.select("u", "v", "key", F.round("speed_kph", 6).alias("speed_kph"), F.round(S.travel_time(F.col("length"), F.col("speed_kph")), 6).alias("travel_time"))
 
 
-@query("f4_length_mi", "SELECT u, v, key, round(length * 0.0006213712, 6) AS length_mi FROM edges")
+@query("f4_length_mi", "SELECT u, v, key, round(CAST(length AS DOUBLE) * 0.0006213712, 6) AS length_mi FROM edges")
 def length_mi(t):
     return t.edges.select("u", "v", "key", S.length_mi(F.col("length")).alias("length_mi"))
 
@@ -171,13 +171,13 @@ def length_mi(t):
 UNIT = "CASE p_size % 6 WHEN 0 THEN 'FT' WHEN 1 THEN 'Miles' WHEN 2 THEN 'NP' WHEN 3 THEN 'm' WHEN 4 THEN 'u.s. survey feet' ELSE NULL END"
 
 
-@query("f15_length_units", f"SELECT p_partkey, CASE WHEN val = -9999 THEN NULL ELSE round(val * CASE unit WHEN 'FT' THEN 0.3048 WHEN 'Miles' THEN 1609.344 WHEN 'm' THEN 1 WHEN 'u.s. survey feet' THEN 0.3048006096 END, 6) END AS metres FROM (SELECT p_partkey, {UNIT} AS unit, CASE WHEN p_partkey % 10 = 0 THEN -9999 ELSE p_size END AS val FROM part)")
+@query("f15_length_units", f"SELECT p_partkey, CASE WHEN val = -9999 THEN NULL ELSE round(CAST(val AS DOUBLE) * CASE unit WHEN 'FT' THEN 0.3048 WHEN 'Miles' THEN 1609.344 WHEN 'm' THEN 1 WHEN 'u.s. survey feet' THEN 0.3048006096 END, 6) END AS metres FROM (SELECT p_partkey, {UNIT} AS unit, CASE WHEN p_partkey % 10 = 0 THEN -9999 ELSE p_size END AS val FROM part)")
 def lengths(t):
     v = F.when(F.col("p_partkey") % 10 == 0, -9999.0).otherwise(F.col("p_size").cast("double"))
     return t.part.select("p_partkey", F.round(S.length_to_meters(v, F.expr(UNIT)), 6).alias("metres"))
 
 
-@query("f16_velocity_units", "SELECT p_partkey, CASE WHEN val IN (-9999, -8888) THEN NULL ELSE round(val * CASE p_size % 3 WHEN 0 THEN 0.3048 WHEN 1 THEN 1 END, 6) END AS mps FROM (SELECT *, CASE p_partkey % 9 WHEN 0 THEN -9999 WHEN 1 THEN -8888 ELSE p_size END AS val FROM part)")
+@query("f16_velocity_units", "SELECT p_partkey, CASE WHEN val IN (-9999, -8888) THEN NULL ELSE round(CAST(val AS DOUBLE) * CASE p_size % 3 WHEN 0 THEN 0.3048 WHEN 1 THEN 1 END, 6) END AS mps FROM (SELECT *, CASE p_partkey % 9 WHEN 0 THEN -9999 WHEN 1 THEN -8888 ELSE p_size END AS val FROM part)")
 def velocities(t):
     v = F.when(F.col("p_partkey") % 9 == 0, -9999.0).when(F.col("p_partkey") % 9 == 1, -8888.0).otherwise(F.col("p_size").cast("double"))
     unit = F.when(F.col("p_size") % 3 == 0, "FPS").when(F.col("p_size") % 3 == 1, "Meters per Second").otherwise("NP")
@@ -231,7 +231,7 @@ def literal_list(t):
     return t.part.select("p_partkey", F.aggregate(parsed, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query("f25_detour_differences", "SELECT u, v, CASE WHEN u % 3 > 0 THEN round(travel_time * 2 - travel_time, 3) END AS difference_sec, CASE WHEN u % 3 > 0 THEN round(length * 0.5, 3) END AS difference_miles, CASE WHEN u % 3 > 0 AND travel_time > 0 THEN 2.0 END AS ratio FROM edges")
+@query("f25_detour_differences", "SELECT u, v, CASE WHEN u % 3 > 0 THEN CAST(travel_time AS DOUBLE) END AS difference_sec, CASE WHEN u % 3 > 0 THEN CAST(length AS DOUBLE) * 0.5 END AS difference_miles, CASE WHEN u % 3 > 0 AND travel_time > 0 THEN CAST(2 AS DOUBLE) END AS ratio FROM edges")
 def differences(t):
     base, detour = F.col("travel_time").cast("double"), F.when(F.col("u") % 3 > 0, F.col("travel_time") * 2.0)
     return t.edges.select("u", "v", S.detour_differences(base, detour, F.col("length").cast("double"), F.col("length") * 1.5).alias("d")).select("u", "v", "d.*")
@@ -258,7 +258,7 @@ def index_sort(t):
     return t.edges.select("u", "v", "key", "travel_time").orderBy("u", "v", "key")
 
 
-@query("o3_first_by_penalty", f"WITH {CLASSES}, {CAND} SELECT v, min(penalty) AS penalty FROM cand GROUP BY v")
+@query("o3_first_by_penalty", f"WITH {CLASSES}, {CAND} SELECT v, CAST(min(penalty) AS DOUBLE) AS penalty FROM cand GROUP BY v")
 def first_by_penalty(t):
     c = S.name_candidate(F.col("edge_min_roadclass"), F.col("ref"), F.col("name"), F.col("edge_highest_highway_type"))
     return named(t).groupBy("v").agg(F.min(c).alias("b")).select("v", "b.penalty")
