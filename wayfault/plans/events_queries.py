@@ -131,13 +131,13 @@ def ordered(t):
 # -- pairing of events with two kinds of spans
 adapter(
     "event_points",
-    "SELECT event_id, CAST(event_id * 37 % 1009 AS DOUBLE) AS x, CAST(event_id * 53 % 997 AS DOUBLE) AS y FROM events WHERE event_id % 4 <> 3",
+    "SELECT event_id, CAST(event_id * 37 % 1009 AS DOUBLE) AS x, CAST(event_id * 53 % 997 AS DOUBLE) AS y FROM events",
 )
 adapter(
     "span_lines",
     """SELECT p_partkey AS u, p_partkey + 1 AS v, CAST(0 AS BIGINT) AS key, CAST(p_size % 3 AS INT) AS span_idx, p_size % 4 = 0 AS bridge,
        CAST(p_partkey * 41 % 1000 AS DOUBLE) AS x1, CAST(p_partkey * 59 % 980 AS DOUBLE) AS y1,
-       CAST(p_partkey * 41 % 1000 + p_size AS DOUBLE) AS x2, CAST(p_partkey * 59 % 980 + 50 - p_size AS DOUBLE) AS y2 FROM part WHERE p_partkey % 5 < 2""",
+       CAST(p_partkey * 41 % 1000 + p_size AS DOUBLE) AS x2, CAST(p_partkey * 59 % 980 + 50 - p_size AS DOUBLE) AS y2 FROM part""",
 )
 #: Squared distance of a point to a segment, exact in whole numbers up to the projection's quotient.
 SEGMENT = """CASE WHEN (x - x1) * (x2 - x1) + (y - y1) * (y2 - y1) <= 0 THEN (x - x1) * (x - x1) + (y - y1) * (y - y1)

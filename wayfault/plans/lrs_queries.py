@@ -10,20 +10,20 @@ from wayfault.plans.registry import adapter, query
 
 adapter(
     "lrs_events",
-    """SELECT DISTINCT CAST(l_partkey % 1000 AS BIGINT) AS event_route_id, CAST(l_linenumber * 10 AS DOUBLE) AS from_measure, CAST(l_linenumber * 10 + l_quantity AS DOUBLE) AS to_measure,
+    """SELECT DISTINCT l_partkey AS event_route_id, CAST(l_linenumber * 10 AS DOUBLE) AS from_measure, CAST(l_linenumber * 10 + l_quantity AS DOUBLE) AS to_measure,
        l_suppkey % 5 AS code, l_suppkey % 100 * 10 + l_suppkey % 10 AS functional_class, l_suppkey AS structure, CASE WHEN l_returnflag = 'R' THEN 'retired' ELSE NULL END AS to_date,
        l_linenumber % 2 AS dd_id, CAST(floor(l_extendedprice) AS BIGINT) AS from_date FROM lineitem""",
 )
-adapter("culvert_points", "SELECT DISTINCT CAST(l_partkey % 1000 AS BIGINT) AS event_route_id, CAST(l_linenumber * 10 + l_suppkey % 7 AS DOUBLE) AS measure, l_suppkey AS structure, CASE WHEN l_returnflag = 'R' THEN 'retired' ELSE NULL END AS to_date FROM lineitem WHERE l_orderkey % 3 = 0")
+adapter("culvert_points", "SELECT DISTINCT l_partkey AS event_route_id, CAST(l_linenumber * 10 + l_suppkey % 7 AS DOUBLE) AS measure, l_suppkey AS structure, CASE WHEN l_returnflag = 'R' THEN 'retired' ELSE NULL END AS to_date FROM lineitem")
 adapter(
     "lrs_matches",
-    """SELECT o_orderkey AS _idx_, o_custkey % 200 AS u, o_orderkey % 211 AS v, o_orderkey AS key, o_custkey % 1000 AS route_id, CAST(o_orderkey % 50 AS DOUBLE) AS min_from_mi, CAST(o_orderkey % 50 + o_custkey % 30 - 10 AS DOUBLE) AS max_to_mi
-       FROM orders WHERE o_orderkey % 5 = 0""",
+    """SELECT o_orderkey AS _idx_, o_custkey % 200 AS u, o_orderkey % 211 AS v, o_orderkey AS key, o_custkey AS route_id, CAST(o_orderkey % 50 AS DOUBLE) AS min_from_mi, CAST(o_orderkey % 50 + o_custkey % 30 - 10 AS DOUBLE) AS max_to_mi
+       FROM orders""",
 )
-adapter("class_types", "SELECT DISTINCT s_suppkey % 100 * 10 + s_suppkey % 10 AS type_id, CAST(s_suppkey % 100 * 10 + s_suppkey % 10 AS STRING) AS type_functional_class, CASE WHEN s_suppkey % 3 = 0 THEN 'Y' ELSE 'N' END AS federal_aid_flag, s_suppkey % 4 AS class_hierarchy FROM supplier WHERE s_suppkey % 7 <> 0")
+adapter("class_types", "SELECT DISTINCT CASE WHEN s_suppkey % 7 = 0 THEN -1 - s_suppkey ELSE s_suppkey % 100 * 10 + s_suppkey % 10 END AS type_id, CAST(s_suppkey % 100 * 10 + s_suppkey % 10 AS STRING) AS type_functional_class, CASE WHEN s_suppkey % 3 = 0 THEN 'Y' ELSE 'N' END AS federal_aid_flag, s_suppkey % 4 AS class_hierarchy FROM supplier")
 adapter("domains", "SELECT CAST(r_regionkey AS BIGINT) AS domain_type_id, r_name AS domain_index FROM region")
 adapter("domain_entries", "SELECT CAST(n_regionkey AS BIGINT) AS entry_type_id, CAST(n_nationkey % 5 AS BIGINT) AS entry_id, min(n_name) AS description FROM nation GROUP BY 1, 2")
-adapter("structures", "SELECT s_suppkey AS structure, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_suppkey % 10 END AS rating, s_name AS structure_name FROM supplier WHERE s_suppkey % 9 <> 0")
+adapter("structures", "SELECT CASE WHEN s_suppkey % 9 = 0 THEN -1 - s_suppkey ELSE s_suppkey END AS structure, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_suppkey % 10 END AS rating, s_name AS structure_name FROM supplier")
 
 ON = "a.route_id = b.event_route_id AND greatest(a.min_from_mi, a.max_to_mi) > least(b.from_measure, b.to_measure) AND least(a.min_from_mi, a.max_to_mi) < greatest(b.from_measure, b.to_measure) AND b.to_date IS NULL"
 MI = "least(greatest(a.min_from_mi, a.max_to_mi), greatest(b.from_measure, b.to_measure)) - greatest(least(a.min_from_mi, a.max_to_mi), least(b.from_measure, b.to_measure))"
@@ -129,7 +129,7 @@ def enriched(t):
 adapter(
     "match_rows",
     """SELECT l_partkey % 60 AS osm_u, l_suppkey % 60 AS osm_v, l_orderkey % 40 AS route_id, CAST(l_linenumber AS DOUBLE) AS start_dist_along_mi, CAST(l_linenumber + l_quantity / 100 AS DOUBLE) AS end_dist_along_mi,
-       CAST(l_orderkey % 4 AS INT) AS direction, l_linenumber % 2 = 0 AS reversed_input, CAST(l_linenumber AS DOUBLE) / 8 AS matching_confidence FROM lineitem WHERE l_orderkey % 23 = 0""",
+       CAST(l_orderkey % 4 AS INT) AS direction, l_linenumber % 2 = 0 AS reversed_input, CAST(l_linenumber AS DOUBLE) / 8 AS matching_confidence FROM lineitem""",
 )
 adapter("match_edges", "SELECT CAST(a AS BIGINT) AS u, CAST((a * 7 + 1) % 60 AS BIGINT) AS v, CAST(0 AS BIGINT) AS key, CAST(0.5 AS DOUBLE) AS length_mi FROM (SELECT DISTINCT p_partkey % 60 AS a FROM part) WHERE a <> (a * 7 + 1) % 60 UNION SELECT CAST((a * 7 + 1) % 60 AS BIGINT), CAST(a AS BIGINT), CAST(0 AS BIGINT), CAST(0.5 AS DOUBLE) FROM (SELECT DISTINCT p_partkey % 30 AS a FROM part) WHERE a <> (a * 7 + 1) % 60")
 EDGE_MATCHES = """em AS (SELECT e.u, e.v, e.key, m.route_id, m.reversed_input, least(start_dist_along_mi, end_dist_along_mi) AS from_mi, greatest(start_dist_along_mi, end_dist_along_mi) AS to_mi,

@@ -147,7 +147,7 @@ def lattice(t):
 
 
 def lattice_traces(t):
-    c = t.customer.where("c_custkey % 25 = 0").select(F.col("c_custkey").alias("trace_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("idx"))
+    c = t.customer.select(F.col("c_custkey").alias("trace_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("idx"))
     r = F.col("trace_id") * 7 % 15
     turn = F.when(F.col("idx") < 5, F.col("idx")).otherwise(5)
     return c.select("trace_id", "idx", (r * 100.0 + 30 + turn * 80 + F.col("trace_id") % 5).alias("x"), ((F.col("trace_id") % 12) * 100.0 + F.when(F.col("idx") > 5, (F.col("idx") - 5) * 80).otherwise(0) + F.col("idx") % 3).alias("y"))
@@ -155,7 +155,7 @@ def lattice_traces(t):
 
 @query("m0_map_match")
 def map_match(t):
-    return M.match(lattice_traces(t), lattice(t))
+    return M.match(lattice_traces(t), lattice(t), reach=300.0)
 
 
 @query("m0_candidates", "SELECT count(*) > 0 AS any FROM customer")
@@ -189,11 +189,11 @@ def locate(t):
     return t.supplier.select("s_suppkey", at.alias("along"), G.interpolate(line, at / 10)["x"].alias("x"))
 
 
-@query("g6_shortest_line", "SELECT s_suppkey, CAST(least(s_suppkey % 12, 10) AS DOUBLE) AS fx, CAST(4 AS DOUBLE) AS metres FROM supplier WHERE s_suppkey % 12 <= 10")
+@query("g6_shortest_line", "SELECT s_suppkey, CAST(least(s_suppkey % 12, 10) AS DOUBLE) AS fx, CAST(4 AS DOUBLE) AS metres FROM supplier")
 def shortest_line(t):
     line = F.array(G.point(F.lit(0), F.lit(1)), G.point(F.lit(10), F.lit(1)))
-    x = (F.col("s_suppkey") % 12).cast("double")
-    return t.supplier.where("s_suppkey % 12 <= 10").select("s_suppkey", G.shortest_line(x, F.lit(5.0), line)[0]["x"].alias("fx"), G.distance(x, F.lit(5.0), line).alias("metres"))
+    x = F.least(F.col("s_suppkey") % 12, F.lit(10)).cast("double")
+    return t.supplier.select("s_suppkey", G.shortest_line(x, F.lit(5.0), line)[0]["x"].alias("fx"), G.distance(x, F.lit(5.0), line).alias("metres"))
 
 
 @query("g3_buffered_region", "SELECT s_suppkey, (s_suppkey % 10) * 1000.0 <= 3218.688 AS inside FROM supplier")

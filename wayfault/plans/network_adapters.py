@@ -1,6 +1,6 @@
-"""Small road networks derived from the order tables; whole numbers as costs, so sums are exact.
+"""Small road networks derived from the suppliers; whole numbers as costs, so sums are exact.
 
-``edges`` is sparse, with several components; ``mesh`` is dense enough for detours."""
+Every supplier has streets within its block of ten and one to the next block; four blocks make a component."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from wayfault.plans.registry import ADAPTERS, adapter
 
 adapter(
     "edges",
-    """SELECT u, v, CAST(0 AS BIGINT) AS key, min(tt) AS travel_time, min(len) AS length FROM (SELECT l_partkey % 200 AS u, (l_suppkey * 3 + l_linenumber * 17) % 200 AS v,
-       CAST(floor(l_extendedprice) AS BIGINT) AS tt, CAST(l_quantity AS BIGINT) AS len FROM lineitem WHERE l_orderkey % 331 = 0) WHERE u <> v GROUP BY u, v""",
+    """SELECT u, v, CAST(0 AS BIGINT) AS key, min(tt) AS travel_time, min(len) AS length FROM (
+       SELECT s_suppkey AS u, s_suppkey - s_suppkey % 10 + (s_suppkey * 7 + 3) % 10 AS v, 100 + s_suppkey * 37 % 91 AS tt, CAST(1 + s_nationkey AS BIGINT) AS len FROM supplier
+       UNION ALL SELECT s_suppkey - s_suppkey % 10 + (s_suppkey * 3 + 1) % 10, s_suppkey, 100 + s_suppkey * 53 % 97, CAST(2 + s_nationkey AS BIGINT) FROM supplier
+       UNION ALL SELECT s_suppkey, CASE WHEN CAST(floor(s_suppkey / 10) AS BIGINT) % 4 = 3 THEN s_suppkey ELSE s_suppkey + 10 END, 300 + s_suppkey % 83, CAST(9 AS BIGINT) FROM supplier
+       ) WHERE u <> v GROUP BY u, v""",
 )
-adapter("mesh", ADAPTERS["edges"].replace("% 200", "% 60"))
+adapter("mesh", ADAPTERS["edges"])
 adapter(
     "edge_tags",
     """SELECT u, v, key, travel_time, length,

@@ -73,9 +73,9 @@ def add_prefix(df, prefix: str, keys: list[str], drop: tuple[str, ...] = ()):
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
-@query("p8_rounded", "SELECT u, v, key, round(length / 7.0, 3) AS length, round(travel_time / 1000.0, 3) AS travel_time FROM edges WHERE length % 7 <> 0")
+@query("p8_rounded", "SELECT u, v, key, round(length / 7.0, 3) AS length, round(travel_time / 1000.0, 3) AS travel_time FROM edges")
 def rounded(t):
-    return t.edges.where("length % 7 <> 0").select("u", "v", "key", F.round(F.col("length") / 7.0, 3).alias("length"), F.round(F.col("travel_time") / 1000.0, 3).alias("travel_time"))
+    return t.edges.select("u", "v", "key", F.round(F.col("length") / 7.0, 3).alias("length"), F.round(F.col("travel_time") / 1000.0, 3).alias("travel_time"))
 
 
 @query("p9_search_text", "SELECT u, v, key, concat_ws(' ', name, ref, u || ',' || v) AS search_text FROM edge_tags")
