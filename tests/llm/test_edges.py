@@ -325,6 +325,14 @@ def test_sharding_hot_group_and_cut(spark):
     assert sum(len(set(v)) == 1 for t, v in groups.items() if t[0] == "g") >= 75
 
 
+def test_sharding_of_a_table_united_with_itself(spark):
+    """The even start fills all shards and no row is without a copy, so groups can only meet by swaps."""
+    rows = [(i, f"t{i % 600}") for i in range(1200)]
+    got = {r.doc_id: r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), shards=6).collect()}
+    assert set(Counter(got.values()).values()) == {200}
+    assert sum(got[i] == got[i + 600] for i in range(600)) >= 480
+
+
 def test_line_dedup(spark):
     menu = ["Home | About", "  (c) site  "]
     rows = [(i, "a.com", "\n".join([menu[0], f"body {i}", "", menu[1] if i % 2 else "other", f"x{i}"])) for i in range(10)]

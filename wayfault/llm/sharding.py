@@ -66,14 +66,13 @@ def propagate(members: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> tup
         loads = np.zeros(k, np.int64)
         for r in labels.groupBy("label").count().collect():  # at most k rows
             loads[r["label"]] = r["count"]
-        open_ = [bool(x) for x in room > loads]
         placed = members.select("row", "grp", "n").join(labels.select("row", "label"), "row")
         histogram = placed.groupBy("grp").agg(F.first("n").alias("n"), F.array(*[F.sum((F.col("label") == s).cast("long")) for s in range(k)]).alias("counts"))
         near = lookup(placed.select("row", "grp"), materialise(histogram, "histograms", keys_only=True), "grp", "n", n_members)
         weight = 1 / (F.col("n") - 1)
         scores = near.groupBy("row").agg(F.array(*[F.sum(F.col("counts")[s] * weight) for s in range(k)]).alias("scores"), F.min("grp").alias("grp"))
-        # the best shard with room, or the present one; ties by a hash of the group, so that members agree
-        choice = [F.when(F.lit(open_[s]) | (F.col("label") == s), F.struct(F.round(F.col("scores")[s], 9).alias("score"), F.xxhash64(F.lit(s), "grp").alias("tie"), F.lit(s).alias("to"))) for s in range(k)]
+        # the best shard, full ones too, as quotas allow swaps; ties by a hash of the group, so that members agree
+        choice = [F.struct(F.round(F.col("scores")[s], 9).alias("score"), F.xxhash64(F.lit(s), "grp").alias("tie"), F.lit(s).alias("to")) for s in range(k)]
         wants = scores.join(labels, "row").withColumn("best", F.greatest(*choice))
         wants = wants.where((F.col("best.to") != F.col("label")) & (F.col("best.score") > 0))
         moves = materialise(wants.select("row", "part", "at", "label", F.col("best.to").alias("to"), (F.col("label") * k + F.col("best.to")).alias("pair")), "moves", keys_only=True)
