@@ -163,6 +163,21 @@ def any_candidates(t):
     return M.candidates(lattice_traces(t), lattice(t)).agg((F.count(F.lit(1)) > 0).alias("any"))
 
 
+@query(
+    "m0_candidate_rows",
+    """WITH n AS (SELECT range AS i FROM range(20)), s(a, b) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
+e AS (SELECT p.i * 100 + q.i AS u, (p.i + a) * 100 + q.i + b AS v, CAST(p.i * 100 AS DOUBLE) AS x1, CAST(q.i * 100 AS DOUBLE) AS y1, a, b FROM n p, n q, s WHERE p.i + a BETWEEN 0 AND 19 AND q.i + b BETWEEN 0 AND 19),
+p AS (SELECT c_custkey AS trace_id, CAST(range AS INT) AS idx, CAST(c_custkey * 7 % 15 * 100 + 30 + least(range, 5) * 80 + c_custkey % 5 AS DOUBLE) AS x,
+      CAST(c_custkey % 12 * 100 + CASE WHEN range > 5 THEN (range - 5) * 80 ELSE 0 END + range % 3 AS DOUBLE) AS y FROM customer, range(10)),
+c AS (SELECT *, least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), ((x - x1) * a + (y - y1) * b) / 100)) AS t FROM p, e),
+d AS (SELECT *, sqrt(pow(x - x1 - 100 * a * t, 2) + pow(y - y1 - 100 * b * t, 2)) AS distance FROM c)
+SELECT trace_id, idx, u, v, CAST(0 AS BIGINT) AS key, round(distance, 6) AS distance, round(t, 6) AS t FROM d WHERE distance <= 15""",
+)
+def candidate_rows(t):
+    found = M.candidates(lattice_traces(t), lattice(t))
+    return found.select("trace_id", "idx", "u", "v", "key", F.round("distance", 6).alias("distance"), F.round("t", 6).alias("t"))
+
+
 @query("g17_frechet")
 def frechet(t):
     line = lambda d: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.cast("double").alias("x"), (F.col("s_suppkey") % 5 * i * d).cast("double").alias("y")))
