@@ -11,7 +11,9 @@ the window that scores highest at the time, negatives from several of theirs.  T
 the corpus.  Scoring is one pass without a shuffle; a window's words are looked up in a bounded cache of
 projected word vectors.
 
-Defined results: a null or empty text is one window of padding and gets its score; a null label is no label; an id with several labels
+Padding of short windows leaves the states as they are and has no weight in the attention.
+
+Defined results: a null text and one without words get the share of toxic rows among those learned from, at most ``EMPTY``; a null label is no label; an id with several labels
 counts as toxic if one of them is; rows without an id are scored, and are never held out; repeated rows score alike; without labels
 of both classes every score is 0; an empty table gives no rows; other columns are ignored.
 """
@@ -23,13 +25,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfault.llm.common import as_bytes, map_arrow, nullable, release
+from wayfault.llm.common import as_bytes, id_and_text, map_arrow, nullable, place, positional, release, restored
 
 PER_CLASS = 1500
+SAMPLE_BYTES = 64 << 20  # of text of each class
 WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
@@ -44,6 +47,8 @@ CACHE_WORDS = 60_000
 FOLDS = 5
 SMOOTHING = 3
 MIN_ROWS = 3
+FEW = 40
+EMPTY = 0.49
 
 
 def held_out(id_col: Column) -> Column:
@@ -93,6 +98,7 @@ class Model:
     words: dict[bytes, int] = field(default_factory=dict)
     p: dict[str, np.ndarray] = field(default_factory=dict)
     trained: bool = False
+    empty: float = 0.0  # the logit of a text without words
 
     # -- inputs
     def vectors(self, words: list[bytes]) -> np.ndarray:
@@ -102,35 +108,43 @@ class Model:
         ids = np.array([self.words.get(w, 0) for w in words])
         return np.concatenate([self.p["word"][ids], means(self.p["gram"], *grams(words))], axis=1).astype(np.float32)
 
-    # -- network, on input vectors ``x`` of the distinct words and ``at`` (windows x words) numbers into them
+    # -- network, on input vectors ``x`` of the distinct words and ``at`` (windows x words) numbers into them; 0 is padding
     def run(self, x: np.ndarray, at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
-        return self.run_projected([x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in "fb"], at, keep)
+        return self.run_projected(self.project(x), at, keep)
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """What the words add to the gates, in both directions."""
+        return x @ self.p["w"] + self.p["b"][:, None]
 
-    def run_projected(self, projected: list[np.ndarray], at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
+    def run_projected(self, projected: np.ndarray, at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
+        """Logits of the windows.  Padding leaves a state as it is and has no weight; a window of padding has the logit ``bo``."""
         p, h2 = self.p, 2 * HIDDEN
         n, length = at.shape
-        states, trace = np.empty((length, n, h2), np.float32), {}
-        for d, a in zip("fb", projected, strict=True):
-            u, c, h = p[f"u{d}"], p[f"c{d}"], np.zeros((n, HIDDEN), np.float32)
-            part = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, h2)
-            steps = []
-            for t in range(length) if d == "f" else range(length - 1, -1, -1):
-                row, g = a[at[:, t]], h @ u + c
-                zr = 1 / (1 + np.exp(-(row[:, :h2] + g[:, :h2])))
-                z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                new = np.tanh(row[:, h2:] + r * g[:, h2:])
-                if keep:
-                    steps.append((t, h, z, r, new, g[:, h2:]))
-                h = new + z * (h - new)
-                states[t, :, part] = h
-            trace[d] = steps
+        order = np.stack([at.T, at.T[::-1]])  # direction, step, window
+        real = order > 0
+        full = bool(real.all())
+        gates = np.stack([projected[0][order[0]], projected[1][order[1]]])
+        h = np.zeros((2, n, HIDDEN), np.float32)
+        states, steps = np.empty((length, n, h2), np.float32), []
+        for t in range(length):
+            row, g = gates[:, t], h @ p["u"] + p["c"][:, None]
+            zr = 1 / (1 + np.exp(-(row[..., :h2] + g[..., :h2])))
+            r = zr[..., HIDDEN:]
+            new = np.tanh(row[..., h2:] + r * g[..., h2:])
+            move = 1 - zr[..., :HIDDEN]
+            if not full:
+                move = move * real[:, t, :, None]
+            if keep:
+                steps.append((h, zr, new, move, g[..., h2:]))
+            h = h + move * (new - h)
+            states[t, :, :HIDDEN] = h[0]
+            states[length - 1 - t, :, HIDDEN:] = h[1]
         e = np.tanh(states @ p["wa"] + p["ba"])
         score = e @ p["va"]
-        weight = np.exp(score - score.max(axis=0))
-        weight /= weight.sum(axis=0)
+        weight = np.exp(score - score.max(axis=0)) * real[0]
+        weight /= np.maximum(weight.sum(axis=0), 1e-30)
         pooled = np.einsum("tn,tnh->nh", weight, states)
-        if keep:
-            trace |= {"states": states, "e": e, "weight": weight, "pooled": pooled}
+        trace = {"steps": steps, "order": order, "real": real, "states": states, "e": e, "weight": weight, "pooled": pooled} if keep else {}
         return pooled @ p["wo"] + p["bo"][0], trace
 
     def gradients(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
@@ -140,9 +154,9 @@ class Model:
         prob = sigmoid(logit)
         n = len(y)
         loss = float(-np.mean(y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7)))
-        dl = ((prob - y) / n).astype(np.float32)
-        states, e, weight = s["states"], s["e"], s["weight"]
-        g = {"wo": s["pooled"].T @ dl, "bo": np.array([dl.sum()], np.float32)}
+        dl = (prob - y) / n
+        states, e, weight, real = s["states"], s["e"], s["weight"], s["real"]
+        g = {"wo": s["pooled"].T @ dl, "bo": np.array([dl.sum()])}
         dpooled = dl[:, None] * p["wo"]
         dstates = weight[:, :, None] * dpooled[None]
         dw = np.einsum("nh,tnh->tn", dpooled, states)
@@ -151,25 +165,36 @@ class Model:
         de = dscore[:, :, None] * p["va"] * (1 - e * e)
         g["wa"], g["ba"] = np.einsum("tnh,tna->ha", states, de), de.sum(axis=(0, 1))
         dstates += de @ p["wa"].T
-        dx = np.zeros_like(x)
-        for d in "fb":
-            u, w = p[f"u{d}"], p[f"w{d}"]
-            part = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, h2)
-            dh = np.zeros((n, HIDDEN), np.float32)
-            gu, gc, gw, gb = np.zeros_like(u), np.zeros_like(p[f"c{d}"]), np.zeros_like(w), np.zeros_like(p[f"b{d}"])
-            for t, h, z, r, new, gn in reversed(s[d]):
-                dh = dh + dstates[t, :, part]
-                dn = dh * (1 - z) * (1 - new * new)
-                gates = np.concatenate([dh * (h - new) * z * (1 - z), dn * gn * r * (1 - r)], axis=1)
-                dg, da = np.concatenate([gates, dn * r], axis=1), np.concatenate([gates, dn], axis=1)
-                dh = dh * z + dg @ u.T
-                gu += h.T @ dg
-                gc += dg.sum(axis=0)
-                gw += x[at[:, t]].T @ da
-                gb += da.sum(axis=0)
-                np.add.at(dx, at[:, t], da @ w.T)
-            g |= {f"u{d}": gu, f"c{d}": gc, f"w{d}": gw, f"b{d}": gb}
-        return loss, g, dx
+        ds = np.stack([dstates[..., :HIDDEN], dstates[::-1, :, HIDDEN:]])
+        dgates, dinner, before = (np.empty((2, *dstates.shape[:2], w), x.dtype) for w in (3 * HIDDEN, 3 * HIDDEN, HIDDEN))
+        back = p["u"].transpose(0, 2, 1)
+        dh = np.zeros((2, n, HIDDEN), x.dtype)
+        for t in range(len(s["steps"]) - 1, -1, -1):
+            h, zr, new, move, gn = s["steps"][t]
+            z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
+            dh = dh + ds[:, t]
+            dn = dh * move * (1 - new * new)
+            dgates[:, t, :, :HIDDEN] = dh * (h - new) * z * (1 - z) * real[:, t, :, None]
+            dgates[:, t, :, HIDDEN:h2] = dn * gn * r * (1 - r)
+            dgates[:, t, :, h2:] = dn
+            dinner[:, t, :, :h2] = dgates[:, t, :, :h2]
+            dinner[:, t, :, h2:] = dn * r
+            before[:, t] = h
+            dh = dh * (1 - move) + dinner[:, t] @ back
+        flat = lambda v: v.reshape(2, -1, v.shape[-1])
+        g["u"], g["c"] = flat(before).transpose(0, 2, 1) @ flat(dinner), flat(dinner).sum(axis=1)
+        dwords = np.stack([sums_by(s["order"][d].ravel(), flat(dgates)[d], len(x)) for d in (0, 1)])
+        g["w"], g["b"] = x.T @ dwords, dwords.sum(axis=1)
+        return loss, g, (dwords @ p["w"].transpose(0, 2, 1)).sum(axis=0)
+
+
+def sums_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each index."""
+    out, order = np.zeros((n, rows.shape[1]), rows.dtype), np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    out[index[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
 
 
 class Scorer:
@@ -181,18 +206,14 @@ class Scorer:
 
     def clear(self) -> None:
         self.numbers: dict[bytes, int] = {b"": 0}  # padding
-        self.tables = [np.zeros((CACHE_WORDS // 4, 3 * HIDDEN), np.float32) for _ in "fb"]
-        if self.model.trained:
-            for table, d in zip(self.tables, "fb", strict=True):
-                table[0] = self.model.p[f"b{d}"]
+        self.tables = np.zeros((2, CACHE_WORDS // 4, 3 * HIDDEN), np.float32)
 
     def add(self, words: list[bytes]) -> None:
         n, first = len(self.numbers), len(self.numbers) - len(words)
-        x = self.model.vectors(words)
-        for i, d in enumerate("fb"):
-            if n > len(self.tables[i]):
-                self.tables[i] = np.concatenate([self.tables[i], np.zeros((max(n - len(self.tables[i]), len(self.tables[i])), 3 * HIDDEN), np.float32)])
-            self.tables[i][first:n] = x @ self.model.p[f"w{d}"] + self.model.p[f"b{d}"]
+        if n > self.tables.shape[1]:
+            more = np.zeros((2, max(n - self.tables.shape[1], self.tables.shape[1]), 3 * HIDDEN), np.float32)
+            self.tables = np.concatenate([self.tables, more], axis=1)
+        self.tables[:, first:n] = self.model.project(self.model.vectors(words))
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         numbers = self.numbers
@@ -212,7 +233,7 @@ class Scorer:
         return sigmoid(self.logits(texts)) if self.model.trained else np.zeros(len(texts))
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        best = np.full(len(texts), -np.inf)
+        best = np.full(len(texts), -np.inf, np.float64)
         if len(self.numbers) > CACHE_WORDS:
             self.clear()
         held: list[np.ndarray] = []
@@ -230,6 +251,9 @@ class Scorer:
 
         for i, text in enumerate(texts):
             ids = self.numbered(text.lower().split())
+            if not len(ids):
+                best[i] = self.model.empty
+                continue
             starts = window_starts(len(ids))
             if len(ids) < WINDOW:
                 ids = np.concatenate([ids, np.zeros(WINDOW - len(ids), np.int32)])
@@ -253,14 +277,28 @@ def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.nda
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
-    """A model from texts and 0/1 labels: learned from four fifths of them, its threshold set on the others."""
+    """A model from texts and 0/1 labels.
+
+    A fifth of the rows is kept apart to set the threshold.  Where that leaves fewer than ``FEW`` toxic rows apart, each fifth is
+    kept apart from a model of its own, and the last model learns from all rows.
+    """
     y, rng = np.asarray(labels, bool), np.random.default_rng(seed)
-    apart = rng.random(len(y)) < 0.2
-    if not (y[~apart].any() and y[apart].any() and not y[~apart].all() and not y[apart].all()):
-        return _learn(texts, y, rng)
-    model = _learn([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], rng)
-    scores = Scorer(model).logits([t for t, a in zip(texts, apart, strict=True) if a])
-    model.p["bo"] -= np.float32(threshold(scores[y[apart]], scores[~y[apart]]))
+    fold = rng.permutation(len(y)) % 5
+    few = int(y[fold == 0].sum()) < FEW
+    logits, apart = np.zeros(len(y)), np.zeros(len(y), bool)
+    for k in range(5 if few else 1):
+        own = fold == k
+        if own.any() and y[~own].any() and not y[~own].all():
+            model = _learn([t for t, a in zip(texts, own, strict=True) if not a], y[~own], rng)
+            logits[own] = Scorer(model).logits([t for t, a in zip(texts, own, strict=True) if a])
+            apart |= own
+    if few:
+        model = _learn(texts, y, rng)
+    if model.trained and (y & apart).any() and (~y & apart).any():
+        model.p["bo"] -= np.float32(threshold(logits[y & apart], logits[~y & apart]))
+    # nothing speaks for or against a text without words: it gets the share of toxic rows, and is never rejected
+    share = min(float(y.mean()), EMPTY) if len(y) else 0.0
+    model.empty = float(np.log(share / (1 - share))) if share else -30.0
     return model
 
 
@@ -302,18 +340,18 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
             in_rows[int(label), np.unique(np.concatenate([buckets[ends[i] - counts[i] : ends[i]] for i in (np.unique(d) - 1).tolist()]))] += 1
     p["gram"] = small(GRAM_BUCKETS, DIM)
     p["gram"][:, 0] = log_odds(in_rows[1], in_rows[0], n_pos, n_neg) / 1.5
-    for d in "fb":
-        p[f"w{d}"], p[f"u{d}"] = small(2 * DIM, 3 * HIDDEN) * 3, small(HIDDEN, 3 * HIDDEN) * 2
-        p[f"b{d}"], p[f"c{d}"] = np.zeros(3 * HIDDEN, np.float32), np.zeros(3 * HIDDEN, np.float32)
+    p["w"], p["u"] = small(2, 2 * DIM, 3 * HIDDEN) * 3, small(2, HIDDEN, 3 * HIDDEN) * 2
+    p["b"], p["c"] = np.zeros((2, 3 * HIDDEN), np.float32), np.zeros((2, 3 * HIDDEN), np.float32)
     p["wa"], p["ba"], p["va"] = small(2 * HIDDEN, HIDDEN) * 3, np.zeros(HIDDEN, np.float32), small(HIDDEN) * 3
     p["wo"], p["bo"] = small(2 * HIDDEN) * 3, np.zeros(1, np.float32)
     model.trained = True
     # windows: those with the largest single log-odds, and some others
     word_ids = np.concatenate([[0], [model.words.get(w, 0) for w in vocab]])
     peak = np.concatenate([[0], means(p["gram"][:, :1], buckets, counts)[:, 0] + p["word"][word_ids[1:], 0]]).astype(np.float32)
-    del buckets
     windows, owner = [], []
     for i, d in enumerate(docs):
+        if not len(d):
+            continue
         ids = np.concatenate([d, np.zeros(max(0, WINDOW - len(d)), np.int32)])
         at = ids[window_starts(len(d))[:, None] + np.arange(WINDOW)]
         strength = peak[at].max(axis=1)
@@ -323,15 +361,25 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
         windows.append(at[pick])
         owner.append(np.full(len(pick), i))
     windows, owner = np.concatenate(windows), np.concatenate(owner)
+    del docs
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
 
+    starts = ends - counts
+
+    def grams_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of words of the vocabulary, word by word, and how many each has."""
+        n = counts[rows]
+        at = np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return buckets[at], n
+
     def batch_inputs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        used, local = np.unique(at, return_inverse=True)
+        """The words of the windows, the windows as numbers into them (0 stays padding), and their input vectors."""
+        used, local = np.unique(np.concatenate([[0], at.ravel()]), return_inverse=True)
         x = np.zeros((len(used), 2 * DIM), np.float32)
-        real = used > 0
-        x[real] = model.vectors([vocab[i - 1] for i in used[real]])
-        return used, local.reshape(at.shape), x
+        if len(used) > 1:
+            x[1:] = np.concatenate([p["word"][word_ids[used[1:]]], means(p["gram"], *grams_of(used[1:] - 1))], axis=1)
+        return used, local[1:].reshape(at.shape), x
 
     size = int(np.clip(len(windows) // 64, 32, BATCH))
     epochs = max(EPOCHS, -(-MIN_STEPS * size // len(windows)))
@@ -351,12 +399,10 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
             part = rows[b : b + size]
             used, local, x = batch_inputs(windows[part])
             _, g, dx = model.gradients(x, local, y[owner[part]].astype(np.float32))
-            real = np.flatnonzero(used > 0)
-            g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-            np.add.at(g["word"], word_ids[used[real]], dx[real, :DIM])
+            g["word"] = sums_by(word_ids[used], dx[:, :DIM], len(p["word"]))
             g["word"][0] = 0
-            own, n = grams([vocab[i - 1] for i in used[real]])
-            np.add.at(g["gram"], own, np.repeat(dx[real, DIM:] / n[:, None], n, axis=0))
+            own, n = grams_of(used[1:] - 1)
+            g["gram"] = sums_by(own, np.repeat(dx[1:, DIM:] / n[:, None], n, axis=0), GRAM_BUCKETS)
             step += 1
             for k, v in g.items():
                 m, s = moments[k]
@@ -369,13 +415,16 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[list[bytes], np.ndarray]:
-    """At most ``per_class`` toxic rows and twice as many others, labelled and not held out."""
+    """At most ``per_class`` toxic rows and twice as many others, labelled and not held out, of ``SAMPLE_BYTES`` of text each at most."""
     named = labels.select(F.col(id_col).cast("long").alias("_wf_key"), F.col(label_col).cast("int").alias("y")).where("_wf_key is not null and y is not null")
     one = named.where(~held_out(F.col("_wf_key"))).groupBy("_wf_key").agg(F.max("y").alias("y"))
     rank = lambda v, n: one.where(F.col("y") == v).orderBy(F.xxhash64("_wf_key"), "_wf_key").limit(n)
     picked = rank(1, per_class).unionByName(rank(0, 2 * per_class))
-    source = docs.select(F.col(id_col).cast("long").alias("_wf_key"), F.col(text_col).cast("string").alias("text"))
-    got = source.join(F.broadcast(picked), "_wf_key").dropDuplicates(["_wf_key"]).orderBy("_wf_key").select("text", "y").toArrow()
+    source = id_and_text(docs, id_col, text_col).withColumnRenamed("doc_id", "_wf_key")
+    rows = source.join(F.broadcast(picked), "_wf_key").dropDuplicates(["_wf_key"])
+    order = Window.partitionBy("y").orderBy(F.xxhash64("_wf_key"), "_wf_key")  # at most 2 * per_class rows each
+    held = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = rows.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).orderBy("_wf_key").select("text", "y").toArrow()
     return as_bytes(got.column("text").combine_chunks()), got.column("y").to_numpy()
 
 
@@ -400,4 +449,5 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    return with_score(docs, model, text_col).where(F.col("_wf_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = with_score(positional(docs), model, place(docs, text_col))
+    return restored(scored.where(F.col("_wf_score") < threshold), docs)
