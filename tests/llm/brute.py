@@ -121,3 +121,26 @@ def judge_url(url, rules=RULES, default="allow"):
 
 def all_pairs(n):
     return itertools.combinations(range(n), 2)
+
+
+def least_of_near_copies(texts):
+    """The smallest id of each component of texts with a similarity of 0.8 or more of their sets of five-word shingles; pairs by the words that they share."""
+    sets, holders = {}, defaultdict(list)
+    for i in sorted(texts):
+        words = WORD.findall(lower(texts[i]))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        for x in sets[i] or {()}:
+            holders[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    shared = Counter(p for ids in holders.values() for p in itertools.combinations(ids, 2))
+    for (i, j), n in shared.items():
+        if sets[i] == sets[j] or 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i for i in root if find(i) == i}

@@ -5,9 +5,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
-from wayfault.llm import queries
+from wayfault.llm import queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,18 @@ def test_op7(spark, sf, docs):
 def test_op10(spark, sf, docs):
     rows = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run(spark, sf, "op10_bpe").collect()}
     assert rows == dict(zip(docs, brute.token_digests(docs.values()), strict=True))
+
+
+def test_op9(spark, sf, docs):
+    """Every document once; the flag, and predictions from scores; labels of held-out rows have no influence."""
+    rows = run(spark, sf, "op9_toxicity").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    table, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    texts, y = toxicity.sample_rows(table, labels)
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again, same = toxicity.sample_rows(table, turned)
+    assert texts == again and y.tolist() == same.tolist()
+    assert len(y) == sum(zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in labels.collect())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfault.llm.common import as_bytes, map_arrow
+from wayfault.llm.common import as_bytes, id_and_text, map_arrow
 from wayfault.llm.tokenizer import ByteBpe, default_path, load
 
 WINDOW = 16
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             ids = [encoder.encode(t).astype(np.int32) for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids array<int>")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -185,4 +185,4 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 text_sha.append(hashlib.sha256(back if back == text else back.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, RESULT)
+    return map_arrow(id_and_text(docs, id_col, text_col), run, RESULT)

@@ -18,13 +18,19 @@ from pyspark.sql import types as T
 #: A lookup key is hot when it holds at least this share of the rows, so at most 256 keys are.
 HOT_SHARE = 1 / 256
 FILES_PER_CORE = 2
+ROWS_PER_FILE = 100_000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is configured."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, read from the session.
+
+    Where it is unset a local master gets a temporary one; on a cluster that is an error, as executors would write where nobody reads.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='wayfault-')}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -34,14 +40,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/wayfault-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, keys_only: bool = False) -> DataFrame:
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Tables of keys and numbers (``keys_only``) are small beside the texts, and are written in a few files per core, not one per shuffle partition.
+    ``rows``: an upper bound of its rows, for tables of keys and numbers that cost little to make; they are written in a file for each ``ROWS_PER_FILE`` of them
+    (and two per core at least), not in one per shuffle partition.
     """
     path = scratch_path(df.sparkSession, label)
-    if keys_only:
-        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    if rows is not None:
+        df = df.coalesce(max(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 
@@ -103,6 +110,33 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, n_rows: int)
     return large.unionByName(rest.join(table.where(~hot), key, "inner"))
 
 
+def positional(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named ``c0, c1, …``, so that no name of theirs clashes with another or differs in case only."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """What ``positional`` calls a column: the one of that very name, else the first that differs in case only."""
+    names = docs.columns if name in docs.columns else [c.lower() for c in docs.columns]
+    return f"c{names.index(name if name in docs.columns else name.lower())}"
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id`` (long) and ``text`` (string) of every row."""
+    return positional(docs).select(F.col(place(docs, id_col)).cast("long").alias("doc_id"), F.col(place(docs, text_col)).cast("string").alias("text"))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``positional(docs)``, other columns dropped, under the names of ``docs``."""
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``gone``, with all their columns."""
+    rows, ids = positional(docs), gone.toDF("_wf_id").distinct()
+    return restored(rows.join(ids, F.col(place(docs, id_col)).cast("long") == F.col("_wf_id"), "left_anti"), docs)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on unsigned 64-bit lanes."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

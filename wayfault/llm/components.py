@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Edges are first contracted inside each partition (a local union-find over a bounded block), so few
-rounds remain.  Every round is written to the shared folder; nothing but two numbers reaches the driver.
+rounds remain.  Every round is written to the shared folder; nothing but two numbers reaches the driver.  The centre of a large star has a large share of
+the edges, so smallest neighbours come by ``lookup``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfault.llm.common import map_arrow, materialise
+from wayfault.llm.common import lookup, map_arrow, materialise
 
 BLOCK = 1 << 20
 
@@ -60,17 +61,29 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """``u, root`` for every node of ``edges`` (columns ``u, v``, longs) that is not its component's smallest."""
     edges = edges.where("u is not null and v is not null and u <> v")
-    stars = materialise(map_arrow(edges.select("u", "v"), _contract, "u long, v long", 50_000).distinct(), "stars", keys_only=True)
+    stars = materialise(map_arrow(edges.select("u", "v"), _contract, "u long, v long", 50_000).distinct(), "stars")
     before = None
     while True:
         print_ = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if print_ == before or not print_[0]:
             return stars.select("u", F.col("v").alias("root"))
-        before = print_
+        before, n = print_, print_[0]
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = materialise(large, "large", keys_only=True)
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars", keys_only=True)
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "low", 2 * n)
+        large = lookup(both, low, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = materialise(large, "large", 2 * n)
+        least = materialise(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", 2 * n)
+        small = lookup(down, least, "u", "n", 2 * n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars", 2 * n)
+
+
+def components_named(classes: DataFrame, stars: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``key, component_id, n`` of the classes ``key, least, n``: the smallest ``least`` of each component.
+
+    A component may hold a large share of all classes, so its name comes by ``lookup``.
+    """
+    rooted = classes.select(key, "least", "n").join(stars.withColumnRenamed("u", key), key, "left").withColumn("root", F.coalesce("root", key))
+    rooted = materialise(rooted, "rooted", n_rows)
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    names = materialise(names, "names", n_rows)
+    return materialise(lookup(rooted, names, "root", "members", n_rows).select(key, "component_id", "n"), "named", n_rows)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfault.llm.common import as_bytes, lookup, map_arrow, materialise, mix64, partition_id
+from wayfault.llm.common import as_bytes, id_and_text, lookup, map_arrow, materialise, mix64, partition_id, place, positional, restored
 
 SHARD_KEYS = 20_000
 MIN_SHARDS = 64
@@ -50,7 +50,7 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row, digest`` of every row; ``row`` tells repeated rows apart."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     return map_arrow(source, _digest_batches, "doc_id long, row long, digest binary")
 
 
@@ -200,7 +200,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if historical is None:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         historical = F.col("doc_id") <= F.lit((low + high) // 2 if low is not None else 0)
-    table = materialise(groups(rows, historical, n_rows), "groups", keys_only=True)
+    table = materialise(groups(rows, historical, n_rows), "groups", n_rows)
     found = lookup(rows, table, "digest", "group_size", n_rows)
     return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
 
@@ -212,14 +212,16 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = materialise(digests(docs, id_col, text_col), "digests")
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first() or (None, None)
-    table = groups(rows, F.col("doc_id") <= F.lit((low + high) // 2 if low is not None else 0), rows.count())
-    winners = materialise(table.select(F.col("digest").alias("_wf_digest"), F.coalesce("keep_id", F.lit(-(2**63))).alias("_wf_id")), "winners", keys_only=True)
-    tagged = with_digest(docs, text_col).withColumn("_wf_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
+    n_rows = rows.count()
+    table = groups(rows, F.col("doc_id") <= F.lit((low + high) // 2 if low is not None else 0), n_rows)
+    winners = materialise(table.select(F.col("digest").alias("_wf_digest"), F.coalesce("keep_id", F.lit(-(2**63))).alias("_wf_id")), "winners", n_rows)
+    own = positional(docs)
+    tagged = with_digest(own, place(docs, text_col)).withColumn("_wf_id", F.coalesce(F.col(place(docs, id_col)).cast("long"), F.lit(-(2**63))))
     kept = tagged.join(winners, ["_wf_digest", "_wf_id"], "left_semi")
     repeats = rows.groupBy("digest", "doc_id").count().where("count > 1").limit(1).count()
     if repeats:
         kept = kept.dropDuplicates(["_wf_digest", "_wf_id"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(kept, docs)
 
 
 def with_digest(docs: DataFrame, text_col: str) -> DataFrame:

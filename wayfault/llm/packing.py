@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfault.llm.common import as_bytes, map_arrow, materialise, partition_id
+from wayfault.llm.common import as_bytes, id_and_text, map_arrow, materialise, partition_id
 from wayfault.llm.tokenizer import default_path, load
 
 CAPACITY = 2048
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"],
             )
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECE)
+    return map_arrow(id_and_text(docs, id_col, text_col), run, PIECE)
 
 
 def best_pair(left: np.ndarray, room: int) -> tuple[int, int]:

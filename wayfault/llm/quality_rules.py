@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfault.llm.common import as_bytes, map_arrow, nullable
+from wayfault.llm.common import as_bytes, id_and_text, map_arrow, nullable, place, positional, restored
 
 SAMPLE = 12_000
 WINDOW = 5
@@ -242,7 +242,7 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, limit: int) ->
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = SAMPLE) -> list[Rule]:
     """The decision list learned from at most ``limit`` labelled rows (label 0: bad)."""
     picked = sample_labels(labels, id_col, label_col, limit)
-    source = docs.select(F.col(id_col).cast("long").alias("_wf_key"), F.col(text_col).cast("string").alias("text"))
+    source = id_and_text(docs, id_col, text_col).withColumnRenamed("doc_id", "_wf_key")
     rows = with_counts(source.join(F.broadcast(picked), "_wf_key"), "text").select("_wf_key", "_wf_bad", *["_wf_" + c for c in COUNTS])
     got = rows.dropDuplicates(["_wf_key"]).orderBy("_wf_key").limit(limit).toArrow()
     if not got.num_rows:
@@ -263,5 +263,5 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    judged = judge(docs, fit(docs, labels, id_col, text_col), text_col)
-    return judged.where("_wf_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(positional(docs), fit(docs, labels, id_col, text_col), place(docs, text_col))
+    return restored(judged.where("_wf_kept"), docs)

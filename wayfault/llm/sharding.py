@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfault.llm.common import lookup, materialise
+from wayfault.llm.common import id_and_text, lookup, materialise
 
 SHARDS = 24
 ROUNDS = 8
@@ -57,25 +57,24 @@ def propagate(members: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> tup
 
     ``members``: ``row, part, at, grp, n`` with a row for each group that a document is in, ``n`` the group's size.
     """
-    k = len(room)
-    distinct = materialise(members.groupBy("row").agg(F.first("part").alias("part"), F.first("at").alias("at")).withColumn("one", F.lit(0)), "linked", keys_only=True)
+    k, n_members = len(room), members.count()
+    distinct = materialise(members.groupBy("row").agg(F.first("part").alias("part"), F.first("at").alias("at")).withColumn("one", F.lit(0)), "linked", n_members)
     labels = numbered(distinct, "one").select("row", "part", "at", (F.col("rank") % k).cast("int").alias("label"))
-    n_members = members.count()
     for _ in range(rounds):
-        labels = materialise(labels, "labels", keys_only=True)
+        labels = materialise(labels, "labels", n_members)
         loads = np.zeros(k, np.int64)
         for r in labels.groupBy("label").count().collect():  # at most k rows
             loads[r["label"]] = r["count"]
         placed = members.select("row", "grp", "n").join(labels.select("row", "label"), "row")
         histogram = placed.groupBy("grp").agg(F.first("n").alias("n"), F.array(*[F.sum((F.col("label") == s).cast("long")) for s in range(k)]).alias("counts"))
-        near = lookup(placed.select("row", "grp"), materialise(histogram, "histograms", keys_only=True), "grp", "n", n_members)
+        near = lookup(placed.select("row", "grp"), materialise(histogram, "histograms", n_members), "grp", "n", n_members)
         weight = 1 / (F.col("n") - 1)
         scores = near.groupBy("row").agg(F.array(*[F.sum(F.col("counts")[s] * weight) for s in range(k)]).alias("scores"), F.min("grp").alias("grp"))
         # the best shard, full ones too, as quotas allow swaps; ties by a hash of the group, so that members agree
         choice = [F.struct(F.round(F.col("scores")[s], 9).alias("score"), F.xxhash64(F.lit(s), "grp").alias("tie"), F.lit(s).alias("to")) for s in range(k)]
         wants = scores.join(labels, "row").withColumn("best", F.greatest(*choice))
         wants = wants.where((F.col("best.to") != F.col("label")) & (F.col("best.score") > 0))
-        moves = materialise(wants.select("row", "part", "at", "label", F.col("best.to").alias("to"), (F.col("label") * k + F.col("best.to")).alias("pair")), "moves", keys_only=True)
+        moves = materialise(wants.select("row", "part", "at", "label", F.col("best.to").alias("to"), (F.col("label") * k + F.col("best.to")).alias("pair")), "moves", n_members)
         wanted = np.zeros((k, k), np.int64)
         for r in moves.groupBy("label", "to").count().collect():  # at most k * k rows
             wanted[r["label"], r["to"]] = r["count"]
@@ -85,7 +84,7 @@ def propagate(members: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> tup
         limit = F.array(*[F.lit(int(x)) for x in allowed.ravel()])[F.col("pair")]
         moved = numbered(moves, "pair").where(F.col("rank") < limit).select("row", "to")
         labels = labels.join(moved, "row", "left").select("row", "part", "at", F.coalesce("to", "label").alias("label"))
-    labels = materialise(labels, "labels", keys_only=True)
+    labels = materialise(labels, "labels", n_members)
     loads = np.zeros(k, np.int64)
     for r in labels.groupBy("label").count().collect():
         loads[r["label"]] = r["count"]
@@ -95,18 +94,18 @@ def propagate(members: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> tup
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every row; equal texts are linked, counts are at most one apart."""
     text = F.col("text")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = id_and_text(docs, id_col, text_col)
     rows = source.select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2(text, 256), F.lit("null")).alias("grp"), F.monotonically_increasing_id().alias("row"),
     )
     rows = materialise(rows.withColumn("part", F.shiftright("row", BLOCK_BITS)).withColumn("at", F.col("row")), "rows")
-    sizes = materialise(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes", keys_only=True)
     n_rows = rows.count()
+    sizes = materialise(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes", n_rows)
     room = capacities(n_rows, shards)
-    members = materialise(lookup(rows.select("row", "part", "at", "grp"), sizes, "grp", "n", n_rows), "members", keys_only=True)
+    members = materialise(lookup(rows.select("row", "part", "at", "grp"), sizes, "grp", "n", n_rows), "members", n_rows)
     labels, loads = propagate(members, room, rounds)
-    free = materialise(rows.select("row", "part", "at").join(labels, "row", "left_anti").withColumn("one", F.lit(0)), "free", keys_only=True)
+    free = materialise(rows.select("row", "part", "at").join(labels, "row", "left_anti").withColumn("one", F.lit(0)), "free", n_rows)
     ends = [int(x) for x in np.cumsum(room - loads)]
     filled = numbered(free, "one").select("row", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("rank"))).alias("label"))
     placed = materialise(rows.select("row", "part", "at", "doc_id", "size", "text_crc32").join(labels.unionByName(filled), "row"), "placed")

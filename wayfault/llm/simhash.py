@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfault.llm.common import as_bytes, lookup, map_arrow, materialise
-from wayfault.llm.components import components, roots
+from wayfault.llm.common import as_bytes, drop_ids, id_and_text, lookup, map_arrow, materialise
+from wayfault.llm.components import components, components_named, roots
 
 SEED = 42
 BITS = 2
@@ -44,9 +44,8 @@ def shingle_hashes(text: bytes, size: int) -> bytes:
     digest = xxhash.xxh64_digest
     if len(words) <= size:
         return digest(b" ".join(words), SEED) if words else b""
-    if size == 3:
-        return b"".join([digest(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:])])  # noqa: B905
-    return b"".join([digest(b" ".join(words[i : i + size]), SEED) for i in range(len(words) - size + 1)])
+    form = b" ".join([b"%b"] * size)
+    return b"".join([digest(form % x, SEED) for x in zip(*[words[i:] for i in range(size)])])  # noqa: B905
 
 
 def majorities(blobs: list[bytes]) -> np.ndarray:
@@ -85,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_texts(as_bytes(batch.column(1)), size).view(np.int64))], ["doc_id", "fp"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
+    return map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -209,7 +208,7 @@ def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp")
 
-    first = materialise(map_arrow(dealt(variants(fps)), _link(False, bits), schema, LINK_ROWS), "links", keys_only=True)
+    first = materialise(map_arrow(dealt(variants(fps)), _link(False, bits), schema, LINK_ROWS), "links")
     deferred = first.where("deferred").select("bucket", F.col("u").alias("fp"))
     second = map_arrow(dealt(sub_variants(deferred)), _link(True, bits), schema, LINK_ROWS)
     return first.where("not deferred").select("u", "v").unionByName(second.select("u", "v")).distinct()
@@ -220,13 +219,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= bits <= 2:
         raise ValueError("cut into two halves, one of which may differ by one bit, fingerprints can link at 0 to 2 bits")
     rows = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes", keys_only=True)
+    n_rows = rows.count()
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes", n_rows)
     stars = components(link(classes.select("fp"), bits))
-    rooted = classes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialise(rooted, "rooted", keys_only=True)
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(names, "root").select("fp", "component_id", "n"), "named", keys_only=True)
-    return lookup(rows, named, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
+    return lookup(rows, components_named(classes, stars, "fp", n_rows), "fp", "n", n_rows).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str) -> Column:
@@ -236,9 +232,5 @@ def hex_fingerprint(fp: str) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all their columns; rows without an id stay."""
-    named = near_duplicates(docs, id_col, text_col)
-    gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_wf_id")).distinct()
-    tagged = docs.withColumn("_wf_id", F.col(id_col).cast("long"))
-    left = tagged.join(gone, "_wf_id", "left_anti")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id")
+    return drop_ids(docs, gone, id_col)
