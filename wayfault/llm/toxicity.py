@@ -15,7 +15,7 @@ Padding of short windows leaves the states as they are and has no weight in the
 
 Defined results: a null text and one without words get the share of toxic rows among those learned from, at most ``EMPTY``; a null label is no label; an id with several labels
 counts as toxic if one of them is; rows without an id are scored, and are never held out; repeated rows score alike; without labels
-of both classes every score is 0; an empty table gives no rows; other columns are ignored.
+of both classes, or without words, every score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
 DIM = 6  # of each half
-GRAM_BUCKETS = 1 << 14
+GRAM_BUCKETS = 1 << 14  # numbers of 16 bits
 WORDS = 4096
 EPOCHS = 8
 BATCH = 256
@@ -79,6 +79,14 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order].astype(np.int32), np.bincount(owners, minlength=len(words))
 
 
+def all_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` of a vocabulary, in blocks, as small numbers: a model's training holds the buckets of all words that it sees."""
+    parts = [grams(words[at : at + BLOCK]) for at in range(0, len(words), BLOCK)]
+    if not parts:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int32)
+    return np.concatenate([b.astype(np.uint16) for b, _ in parts]), np.concatenate([n.astype(np.int32) for _, n in parts])
+
+
 def means(table: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     return np.add.reduceat(table[buckets], starts, axis=0) / counts[:, None].astype(np.float32)
@@ -320,6 +328,8 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
     docs = [np.array([numbers.setdefault(w, len(numbers)) for w in t.lower().split()], np.int32) for t in texts]
     vocab = list(numbers)[1:]
     del numbers
+    if not vocab:
+        return model
     n_pos, n_neg = int(y.sum()), int((~y).sum())
     seen = np.zeros((2, len(vocab) + 1), np.int64)
     for d, label in zip(docs, y, strict=True):
@@ -332,8 +342,8 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
     p["word"] = small(len(chosen) + 1, DIM)
     p["word"][0] = 0
     p["word"][1:, 0] = odds[chosen] / 3
-    buckets, counts = grams(vocab)
-    ends = np.cumsum(counts)
+    buckets, counts = all_grams(vocab)
+    ends = np.cumsum(counts, dtype=np.int64)
     in_rows = np.zeros((2, GRAM_BUCKETS))
     for d, label in zip(docs, y, strict=True):
         if len(d):
@@ -347,7 +357,7 @@ def _learn(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> Model
     model.trained = True
     # windows: those with the largest single log-odds, and some others
     word_ids = np.concatenate([[0], [model.words.get(w, 0) for w in vocab]])
-    peak = np.concatenate([[0], means(p["gram"][:, :1], buckets, counts)[:, 0] + p["word"][word_ids[1:], 0]]).astype(np.float32)
+    peak = np.concatenate([[0], np.add.reduceat(p["gram"][buckets, 0], ends - counts) / counts + p["word"][word_ids[1:], 0]]).astype(np.float32)
     windows, owner = [], []
     for i, d in enumerate(docs):
         if not len(d):
