@@ -58,16 +58,40 @@ def planar_length(line: Column) -> Column:
     return F.aggregate(F.transform(segments(line), lambda s: F.sqrt((s["b"]["x"] - s["a"]["x"]) * (s["b"]["x"] - s["a"]["x"]) + (s["b"]["y"] - s["a"]["y"]) * (s["b"]["y"] - s["a"]["y"]))), F.lit(0.0), lambda a, x: a + x)
 
 
+def _length(s: Column) -> Column:
+    dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def locate(px: Column, py: Column, line: Column) -> Column:
-    """Distance along a line of two points of the foot of the point."""
-    s = F.struct(F.element_at(line, 1).alias("a"), F.element_at(line, -1).alias("b"))
-    return foot(px, py, s)["t"] * planar_length(line)
+    """Distance along a line of the foot of the point; of equally near places the first."""
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(float("inf")).alias("d2"), F.lit(None).cast("double").alias("at"))
+
+    def step(acc: Column, s: Column) -> Column:
+        near = foot(px, py, s)
+        closer = near["d2"] < acc["d2"]
+        return F.struct(
+            (acc["before"] + _length(s)).alias("before"), F.when(closer, near["d2"]).otherwise(acc["d2"]).alias("d2"),
+            F.when(closer, acc["before"] + near["t"] * _length(s)).otherwise(acc["at"]).alias("at"),
+        )
+
+    return F.aggregate(segments(line), start, step, lambda acc: acc["at"])
 
 
 def interpolate(line: Column, share: Column) -> Column:
-    """Point of a line of two points at a share of its length."""
-    a, b = F.element_at(line, 1), F.element_at(line, -1)
-    return point(a["x"] + (b["x"] - a["x"]) * share, a["y"] + (b["y"] - a["y"]) * share)
+    """Point of a line at a share of its length, from 0 to 1."""
+    target = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * planar_length(line)
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+
+    def step(acc: Column, s: Column) -> Column:
+        length = _length(s)
+        here = acc["x"].isNull() & (acc["before"] + length >= target) & (length > 0)
+        t = F.when(length > 0, (target - acc["before"]) / length).otherwise(0.0)
+        put = lambda c: F.when(here, s["a"][c] + (s["b"][c] - s["a"][c]) * t).otherwise(acc[c]).alias(c)
+        return F.struct((acc["before"] + length).alias("before"), put("x"), put("y"))
+
+    last = F.element_at(line, -1)
+    return F.aggregate(segments(line), start, step, lambda acc: point(F.coalesce(acc["x"], last["x"]), F.coalesce(acc["y"], last["y"])))
 
 
 def substring(line: Column, start: Column, end: Column) -> Column:
@@ -85,22 +109,45 @@ def bounds(line: Column) -> Column:
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
 
 
+def crosses_odd(px: Column, py: Column, ring: Column) -> Column:
+    """Whether a ray to the right crosses an odd number of segments (an array of them)."""
+    return F.size(F.filter(ring, lambda s: ((s["a"]["y"] > py) != (s["b"]["y"] > py)) & (px < (s["b"]["x"] - s["a"]["x"]) * (py - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"]))) % 2 == 1
+
+
+def on_segments(px: Column, py: Column, ring: Column) -> Column:
+    def on(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        box = px.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & py.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return box & ((px - a["x"]) * (b["y"] - a["y"]) == (py - a["y"]) * (b["x"] - a["x"]))
+
+    return F.exists(ring, on)
+
+
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Whether a point is inside a ring, by the number of edges that a ray to the right crosses; its lower and left borders count as inside."""
-    crossed = F.filter(segments(ring), lambda s: ((s["a"]["y"] > py) != (s["b"]["y"] > py)) & (px < (s["b"]["x"] - s["a"]["x"]) * (py - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"]))
-    return F.size(crossed) % 2 == 1
+    return crosses_odd(px, py, segments(ring))
 
 
 def on_ring(px: Column, py: Column, ring: Column) -> Column:
-    return nearest(px, py, ring)["d2"] == 0
+    return on_segments(px, py, segments(ring))
+
+
+def rings_of(polygon: Column) -> Column:
+    """The segments of each ring, for ``in_rings``: made once for each polygon, not for each point."""
+    return F.transform(polygon, segments)
+
+
+def in_rings(px: Column, py: Column, rings: Column, boundary: bool = False) -> Column:
+    """``in_polygon`` on the segments of the rings."""
+    holes = F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: crosses_odd(px, py, r))
+    edge = F.exists(rings, lambda r: on_segments(px, py, r))
+    inside = crosses_odd(px, py, rings[0]) & ~holes
+    return (inside | edge) if boundary else (inside & ~edge)
 
 
 def in_polygon(px: Column, py: Column, polygon: Column, boundary: bool = False) -> Column:
     """Inside the outer ring and no hole; ``boundary``: points on a ring count (intersects), else not (within)."""
-    holes = F.exists(F.slice(polygon, 2, F.greatest(F.size(polygon) - 1, F.lit(0))), lambda r: in_ring(px, py, r))
-    edge = F.exists(polygon, lambda r: on_ring(px, py, r))
-    inside = in_ring(px, py, polygon[0]) & ~holes
-    return (inside | edge) if boundary else (inside & ~edge)
+    return in_rings(px, py, rings_of(polygon), boundary)
 
 
 def _turn(a: Column, b: Column, c: Column) -> Column:
@@ -137,19 +184,54 @@ def cumulative_sphere(line: Column) -> Column:
     return F.transform(line, lambda _, i: F.aggregate(F.transform(segments(F.slice(line, F.lit(1), i + 1)), lambda s: sphere_distance(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])), F.lit(0.0), lambda a, x: a + x))
 
 
+#: Flattening of WGS 84, on the semi-major axis ``RADIUS``.
+FLATTENING = 1 / 298.257223563
+
+
+class EqualArea:
+    """Azimuthal equal-area projection of an ellipsoid about a centre (Snyder 1987, pages 187-190), in metres."""
+
+    def __init__(self, lon0: float, lat0: float, axis: float = RADIUS, e2: float = FLATTENING * (2 - FLATTENING)):
+        self.lon0, self.axis, self.e2, self.e = lon0, axis, e2, math.sqrt(e2)
+        p = math.radians(lat0)
+        self.whole = self._q(1.0, math.log((1 - self.e) / (1 + self.e)))
+        b = math.asin(max(-1.0, min(1.0, self._q(math.sin(p), math.log((1 - self.e * math.sin(p)) / (1 + self.e * math.sin(p)))) / self.whole)))
+        self.sin_b, self.cos_b = math.sin(b), math.cos(b)
+        self.radius = axis * math.sqrt(self.whole / 2)
+        pole = math.isclose(abs(lat0), 90)
+        self.stretch = 1.0 if pole else axis * math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2) / (self.radius * self.cos_b)
+
+    def _q(self, sine, log):
+        return (1 - self.e2) * (sine / (1 - self.e2 * sine * sine) - log / (2 * self.e))
+
+    def forward(self, x: Column, y: Column) -> Column:
+        lam, sine = F.radians(x - self.lon0), F.sin(F.radians(y))
+        b = F.asin(F.greatest(F.least(self._q(sine, F.log((1 - self.e * sine) / (1 + self.e * sine))) / self.whole, F.lit(1.0)), F.lit(-1.0)))
+        k = self.radius * F.sqrt(2 / (1 + self.sin_b * F.sin(b) + self.cos_b * F.cos(b) * F.cos(lam)))
+        return point(k * self.stretch * F.cos(b) * F.sin(lam), k / self.stretch * (self.cos_b * F.sin(b) - self.sin_b * F.cos(b) * F.cos(lam)))
+
+    def inverse(self, x: Column, y: Column) -> Column:
+        east, north = x / self.stretch, y * self.stretch
+        rho = F.sqrt(east * east + north * north)
+        c = 2 * F.asin(F.least(rho / (2 * self.radius), F.lit(1.0)))
+        sine = F.when(rho == 0, self.sin_b).otherwise(F.cos(c) * self.sin_b + north * F.sin(c) * self.cos_b / rho)
+        lam = F.when(rho == 0, 0.0).otherwise(F.atan2(east * F.sin(c), rho * self.cos_b * F.cos(c) - north * self.sin_b * F.sin(c)))
+        e2, b, q = self.e2, F.asin(F.greatest(F.least(sine, F.lit(1.0)), F.lit(-1.0))), self.whole * sine
+        # authalic to geodetic latitude: the series, then one step of Newton's method
+        phi = b + (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) * F.sin(2 * b) + (23 * e2**2 / 360 + 251 * e2**3 / 3780) * F.sin(4 * b) + 761 * e2**3 / 45360 * F.sin(6 * b)
+        s = F.sin(phi)
+        off = q / (1 - e2) - s / (1 - e2 * s * s) + F.log((1 - self.e * s) / (1 + self.e * s)) / (2 * self.e)
+        step = F.when(F.cos(phi) > 1e-9, F.pow(1 - e2 * s * s, 2) / (2 * F.cos(phi)) * off).otherwise(0.0)
+        return point(self.lon0 + F.degrees(lam), F.degrees(phi + step))
+
+
 def laea(x: Column, y: Column, lon0: float, lat0: float) -> Column:
-    """Spherical azimuthal equal-area projection about a centre, in metres."""
-    lam, phi, p0 = F.radians(x - lon0), F.radians(y), math.radians(lat0)
-    k = F.sqrt(2 / (1 + math.sin(p0) * F.sin(phi) + math.cos(p0) * F.cos(phi) * F.cos(lam)))
-    return point(RADIUS * k * F.cos(phi) * F.sin(lam), RADIUS * k * (math.cos(p0) * F.sin(phi) - math.sin(p0) * F.cos(phi) * F.cos(lam)))
+    """Metres east and north of a centre, equal-area, on the ellipsoid."""
+    return EqualArea(lon0, lat0).forward(x, y)
 
 
 def laea_inverse(x: Column, y: Column, lon0: float, lat0: float) -> Column:
-    p0, rho = math.radians(lat0), F.sqrt(x * x + y * y)
-    c = 2 * F.asin(F.least(rho / (2 * RADIUS), F.lit(1.0)))
-    phi = F.when(rho == 0, p0).otherwise(F.asin(F.cos(c) * math.sin(p0) + y * F.sin(c) * math.cos(p0) / rho))
-    lam = F.when(rho == 0, 0.0).otherwise(F.atan2(x * F.sin(c), rho * math.cos(p0) * F.cos(c) - y * math.sin(p0) * F.sin(c)))
-    return point(lon0 + F.degrees(lam), F.degrees(phi))
+    return EqualArea(lon0, lat0).inverse(x, y)
 
 
 def project_line(line: Column, lon0: float, lat0: float) -> Column:

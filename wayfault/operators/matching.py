@@ -32,11 +32,16 @@ def candidates(points: DataFrame, edges: DataFrame, radius: float = RADIUS, widt
     ``edges``: ``u, v, key, x1, y1, x2, y2``, straight.
     """
     width = width or 4 * radius
-    line = F.array(G.point(F.col("x1"), F.col("y1")), G.point(F.col("x2"), F.col("y2")))
-    a = edges.withColumn("_line", line).withColumn("_cell", F.explode(G.cells_of_line(F.col("_line"), width, radius)))
-    b = points.withColumn("_cell", F.struct(G.cell(F.col("x"), width).alias("cx"), G.cell(F.col("y"), width).alias("cy")))
-    near = b.join(a, "_cell").withColumn("_n", G.nearest(F.col("x"), F.col("y"), F.col("_line"))).where(F.col("_n.d2") <= radius * radius)
-    return near.select("trace_id", "idx", "x", "y", "u", "v", "key", F.sqrt("_n.d2").alias("distance"), F.col("_n.t").alias("t"), G.planar_length(F.col("_line")).alias("length"))
+    box = [F.least("x1", "x2") - radius, F.least("y1", "y2") - radius, F.greatest("x1", "x2") + radius, F.greatest("y1", "y2") + radius]
+    a = edges.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), box, strict=True)))
+    a = a.withColumn("_cell", F.explode(G.cells_of_box(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), width))).select("*", F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy"))
+    b = points.withColumns({"_cx": G.cell(F.col("x"), width), "_cy": G.cell(F.col("y"), width)})
+    s = {"a": {"x": F.col("x1"), "y": F.col("y1")}, "b": {"x": F.col("x2"), "y": F.col("y2")}}
+    foot = G.foot(F.col("x"), F.col("y"), s)
+    inside = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
+    near = b.join(a, ["_cx", "_cy"]).where(inside).where(foot["d2"] <= radius * radius)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return near.select("trace_id", "idx", "x", "y", "u", "v", "key", F.sqrt(foot["d2"]).alias("distance"), foot["t"].alias("t"), F.sqrt(dx * dx + dy * dy).alias("length"))
 
 
 MATCH = "trace_id long, idx int, matching_idx int, waypoint_idx int, x double, y double, u long, v long, key long, t double, nodes array<bigint>, confidence double"
@@ -215,10 +220,10 @@ def node_chains(legs: DataFrame) -> DataFrame:
 
 
 def next_points(points: DataFrame) -> DataFrame:
-    """Points with ``next_x, next_y``, of the next point of the trace that has a match."""
+    """Points with ``next_x, next_y``, of the next point of the trace that has a match, and ``has_next``, whether there is one."""
     later = Window.partitionBy("trace_id").orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
     nxt = F.first(F.when(F.col("matching_idx").isNotNull(), F.struct("x", "y")), ignorenulls=True).over(later)
-    return points.withColumn("_n", nxt).withColumn("next_x", F.col("_n.x")).withColumn("next_y", F.col("_n.y")).drop("_n")
+    return points.withColumn("_n", nxt).withColumn("next_x", F.col("_n.x")).withColumn("next_y", F.col("_n.y")).withColumn("has_next", F.col("_n").isNotNull()).drop("_n")
 
 
 def along_feature(points: DataFrame) -> DataFrame:
@@ -270,27 +275,27 @@ def match_rows(segments: DataFrame, points: DataFrame, features: DataFrame, conf
     )
 
 
-def discrete_frechet(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
-    """Discrete Fréchet distance of two lines, row by row."""
-    row: list[float] = []
-    for p in a:
-        new: list[float] = []
-        for j, q in enumerate(b):
-            d = math.hypot(p[0] - q[0], p[1] - q[1])
-            ways = ([row[j]] if row else []) + ([new[j - 1]] if j else []) + ([row[j - 1]] if row and j else [])
-            new.append(max(d, min(ways)) if ways else d)
-        row = new
-    return row[-1]
-
-
 def frechet(lines: DataFrame, a: str, b: str, name: str = "frechet") -> DataFrame:
-    """``lines`` with the discrete Fréchet distance of two line columns; null if either has no point."""
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        ok = [(p is not None and len(p), q is not None and len(q)) for p, q in zip(x, y, strict=True)]
-        pts = lambda line: [(p["x"], p["y"]) for p in line]
-        return pd.Series([discrete_frechet(pts(p), pts(q)) if i and j else None for p, q, (i, j) in zip(x, y, ok, strict=True)], dtype="float64")
+    """``lines`` with the discrete Fréchet distance of two line columns; null if either has no point.
 
-    return lines.withColumn(name, F.pandas_udf(run, "double")(a, b))
+    The table of Eiter and Mannila (1994) is folded row by row as arrays.
+    """
+    def apart(p: Column, q: Column) -> Column:
+        dx, dy = p["x"] - q["x"], p["y"] - q["y"]
+        return F.sqrt(dx * dx + dy * dy)
+
+    def next_row(row: Column, p: Column) -> Column:
+        """``row``: reaches up to the point before, empty at first."""
+        def cell(acc: Column, j: Column) -> Column:
+            left, up, both = F.try_element_at(acc, F.lit(-1)), F.get(row, j), F.get(row, j - 1)
+            first = F.size(row) == 0
+            least = F.when(first, left).otherwise(F.least(left, up, both))  # nulls do not count
+            return F.array_append(acc, F.greatest(apart(p, F.get(F.col(b), j)), least))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array().cast("array<double>"), cell)
+
+    reach = F.aggregate(F.col(a), F.array().cast("array<double>"), next_row)
+    return lines.withColumn(name, F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(reach, -1)))
 
 
 def describe(df: DataFrame, column: str, keys: list[str]) -> DataFrame:

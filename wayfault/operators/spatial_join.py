@@ -1,7 +1,8 @@
-"""Spatial joins on a grid: an equi-join on cells, then the exact test.
+"""Spatial joins on a grid: an equi-join on cells, then boxes, then the exact test.
 
-Each line is listed under the cells within the distance of its segments; a point has one cell.  So a pair meets exactly once, no
-cross join is needed, and a cell that holds many points is split by Spark's skew handling like any other join key.
+Lines are listed by segments, under the cells within the distance of a segment's box, with the segment's coordinates as plain columns; a point has one
+cell.  So a pair of segment and point meets exactly once, the box test and the exact one are arithmetic inside generated code, and no
+cross join is needed; a cell that holds many points is split by Spark's skew handling like any other join key.
 """
 
 from __future__ import annotations
@@ -13,30 +14,59 @@ from wayfault.functions import geometry as G
 from wayfault.operators.validation import require_disjoint
 
 
+def segment_rows(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """``keys`` and ``ax, ay, bx, by`` of each segment of the lines."""
+    rows = lines.select(*keys, F.explode(G.segments(F.col(line))).alias("_s"))
+    return rows.select(*keys, *[F.col(f"_s.{p}.{c}").alias(p + c) for p in "ab" for c in "xy"])
+
+
+def dealt(points: DataFrame, *cell: str) -> DataFrame:
+    """Points dealt by cell over all shuffle partitions: a join multiplies rows, so the size of its input must not decide the number of tasks."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell)
+
+
 def within_distance(lines: DataFrame, points: DataFrame, limit: float, line_keys: list[str], point_keys: list[str], width: float | None = None) -> DataFrame:
     """Pairs of a line (column ``line``) and a point (``x, y``) at most ``limit`` apart, with ``distance`` and ``shortest_line``."""
     width = width or 4 * limit
-    a = lines.withColumn("_cell", F.explode(G.cells_of_line(F.col("line"), width, limit)))
-    b = points.withColumn("_cell", F.struct(G.cell(F.col("x"), width).alias("cx"), G.cell(F.col("y"), width).alias("cy")))
-    near = a.join(b, "_cell").withColumn("_near", G.nearest(F.col("x"), F.col("y"), F.col("line")))
-    near = near.where(F.col("_near.d2") <= limit * limit)
-    return near.select(*line_keys, *point_keys, F.sqrt("_near.d2").alias("distance"), F.array(G.point(F.col("_near.x"), F.col("_near.y")), G.point(F.col("x"), F.col("y"))).alias("shortest_line"))
+    boxed = segment_rows(lines, line_keys).withColumns({
+        "_x0": F.least("ax", "bx") - limit, "_y0": F.least("ay", "by") - limit, "_x1": F.greatest("ax", "bx") + limit, "_y1": F.greatest("ay", "by") + limit,
+    })
+    a = boxed.withColumn("_cell", F.explode(G.cells_of_box(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), width))).select("*", "_cell.*").drop("_cell")
+    b = dealt(points.select(*point_keys, "x", "y", G.cell(F.col("x"), width).alias("cx"), G.cell(F.col("y"), width).alias("cy")), "cx", "cy")
+    inside = F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))
+    s = {"a": {"x": F.col("ax"), "y": F.col("ay")}, "b": {"x": F.col("bx"), "y": F.col("by")}}
+    foot = G.foot(F.col("x"), F.col("y"), s)
+    near = a.join(b, ["cx", "cy"]).where(inside).where(foot["d2"] <= limit * limit)
+    # a point can be near to several segments of a line: the nearest counts, of equally near ones the first along its segment
+    best = near.groupBy(*line_keys, *point_keys).agg(F.min(foot).alias("_near"), F.first("x").alias("x"), F.first("y").alias("y"))
+    return best.select(*line_keys, *point_keys, F.sqrt("_near.d2").alias("distance"), F.array(G.point(F.col("_near.x"), F.col("_near.y")), G.point(F.col("x"), F.col("y"))).alias("shortest_line"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, width: float, boundary: bool = False) -> DataFrame:
     """Points (``x, y``) joined with the polygons (column ``polygon``) that they are in; ``boundary`` as in ``in_polygon``."""
     box = G.bounds(F.col("polygon")[0])
-    a = polygons.withColumn("_b", box).withColumn("_cell", F.explode(G.cells_of_box(F.col("_b.min_x"), F.col("_b.min_y"), F.col("_b.max_x"), F.col("_b.max_y"), width)))
-    b = points.withColumn("_cell", F.struct(G.cell(F.col("x"), width).alias("cx"), G.cell(F.col("y"), width).alias("cy")))
-    return b.join(a, "_cell").where(G.in_polygon(F.col("x"), F.col("y"), F.col("polygon"), boundary)).drop("_cell", "_b")
+    a = polygons.withColumns({"_b": box, "_rings": G.rings_of(F.col("polygon"))})
+    a = a.select("*", F.explode(G.cells_of_box(F.col("_b.min_x"), F.col("_b.min_y"), F.col("_b.max_x"), F.col("_b.max_y"), width)).alias("_cell"))
+    a = a.select("*", F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy"))
+    b = dealt(points.withColumns({"_cx": G.cell(F.col("x"), width), "_cy": G.cell(F.col("y"), width)}), "_cx", "_cy")
+    inside = F.col("x").between(F.col("_b.min_x"), F.col("_b.max_x")) & F.col("y").between(F.col("_b.min_y"), F.col("_b.max_y"))
+    return b.join(a, ["_cx", "_cy"]).where(inside).where(G.in_rings(F.col("x"), F.col("y"), F.col("_rings"), boundary)).drop("_cell", "_b", "_rings", "_cx", "_cy")
 
 
 def lines_in_polygons(lines: DataFrame, polygons: DataFrame, width: float, line_keys: list[str], polygon_keys: list[str]) -> DataFrame:
-    """Distinct pairs of a line (``line``) and a polygon that have a point in common; polygons are cut into cells of ``width``."""
-    a = quadrats(polygons, width).select(*polygon_keys, "polygon", F.struct("cx", "cy").alias("_cell"))
-    b = lines.select(*line_keys, "line", F.explode(G.cells_of_line(F.col("line"), width)).alias("_cell"))
-    met = b.join(a, "_cell").dropDuplicates([*line_keys, *polygon_keys])
-    return met.where(G.line_intersects_polygon(F.col("line"), F.col("polygon"))).select(*line_keys, *polygon_keys)
+    """Distinct pairs of a line (``line``) and a polygon that have a point in common; polygons are cut into cells of ``width``.
+
+    Segments are joined, and both boxes tested, before the exact test; a pair is reported once.
+    """
+    a = polygons.withColumn("_b", G.bounds(F.col("polygon")[0])).select(*polygon_keys, "polygon", "_b.*").withColumn("_cell", F.explode(G.cells_of_box(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), width)))
+    s = segment_rows(lines, line_keys).withColumns({"_x0": F.least("ax", "bx"), "_y0": F.least("ay", "by"), "_x1": F.greatest("ax", "bx"), "_y1": F.greatest("ay", "by")})
+    b = s.withColumn("_cell", F.explode(G.cells_of_box(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), width)))
+    boxes = (F.col("_x0") <= F.col("max_x")) & (F.col("_x1") >= F.col("min_x")) & (F.col("_y0") <= F.col("max_y")) & (F.col("_y1") >= F.col("min_y"))
+    # of the cells that a segment and a polygon share the lowest one reports them
+    lowest = (F.col("_cell.cx") == G.cell(F.greatest("_x0", "min_x"), width)) & (F.col("_cell.cy") == G.cell(F.greatest("_y0", "min_y"), width))
+    met = b.join(a, "_cell").where(boxes & lowest)
+    segment = F.array(G.point(F.col("ax"), F.col("ay")), G.point(F.col("bx"), F.col("by")))
+    return met.where(G.line_intersects_polygon(segment, F.col("polygon"))).select(*line_keys, *polygon_keys).distinct()
 
 
 def quadrats(polygons: DataFrame, width: float) -> DataFrame:
