@@ -94,11 +94,16 @@ def test_spans(spark):
     assert sorted((r.span_idx, r.start_coord_idx, r.end_coord_idx) for r in spans.nonbridge_spans(e).collect()) == [(0, 0, 1), (1, 3, 5)]
 
 
-@pytest.mark.parametrize("line", [[(0, 0), (1, 0), (1, 1), (0, 1)], [(0, 0), (2, 0), (2, 2), (1, -1), (5, -1)], [(0, 0), (1, 0), (0, 0)], [(0, 0), (1, 0), (1, 1), (0, 0)], [(0, 0), (1, 0), (1, 1), (0, 0), (-1, 0)]])
-def test_simple_ranges(line):
-    parts = spans.simple_ranges(line)
-    assert parts[0][0] == 0 and parts[-1][1] == len(line) - 1 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
-    assert len(parts) == {4: 1, 5: 2, 3: 2}[len(line)] or line[0] == line[3] and len(line) == 4 and len(parts) == 1
+@pytest.mark.parametrize(
+    "line, parts",
+    [
+        ([(0, 0), (1, 0), (1, 1), (0, 1)], [(0, 3)]), ([(0, 0), (2, 0), (2, 2), (1, -1), (5, -1)], [(0, 2), (2, 4)]), ([(0, 0), (1, 0), (0, 0)], [(0, 1), (1, 2)]),
+        ([(0, 0), (1, 0), (1, 1), (0, 0)], [(0, 2), (2, 3)]), ([(0, 0), (1, 0), (1, 1), (0, 0), (-1, 0)], [(0, 2), (2, 4)]),
+    ],
+)
+def test_simple_ranges(line, parts):
+    """A ring is no simple part: it is split before it closes."""
+    assert spans.simple_ranges(line) == parts
 
 
 # -- networks
@@ -298,13 +303,46 @@ def test_simplify(spark):
     assert simplify.alignment_violations(simplify.oriented(flipped, nodes).where("size(geometry) = 2"), nodes).count() == 0
 
 
-def test_way_slices():
-    rows = [dict(pos=i, mu=i, mv=i + 1, osmid=o, length=1.0, ref=None, name=None, bridge_tag=b, tunnel_tag=None, same=False) for i, o, b in [(0, 7, None), (1, 7, None), (1, 8, "yes"), (2, 7, None), (2, 9, None)]]
-    coords, slices = simplify._walk_ways(rows, 3.0)
-    assert coords == [0, 1, 2, 3] and [(s["osmid"], s["start_coord_idx"], s["end_coord_idx"], s["bridge_tag"]) for s in slices] == [(7, 0, 1, None), (8, 1, 2, "yes"), (7, 2, 3, None)]
-    with pytest.raises(ValueError, match="long"):
-        simplify._walk_ways(rows, 4.0)
-    assert simplify._walk_ways(rows, 0.0) == ([], [])
+def sliced(spark, ways, pairs, length, geometry=None, osmids=None):
+    """Way slices of one edge 0 - 1 - … from base rows ``(at, osmid, length, bridge, tunnel)``."""
+    n = len(pairs)
+    base = spark.createDataFrame([(i, i + 1, 0, o, x, None, None, b, t) for i, o, x, b, t in ways], "u long, v long, key long, osmid long, length double, ref string, name string, bridge string, tunnel string")
+    line = geometry or [(float(i), 0.0) for i in range(n + 1)]
+    row = (0, n, 0, length, pairs, line, osmids or sorted({w[1] for w in ways}))
+    edges = spark.createDataFrame([row], "u long, v long, key long, length double, merged_edges array<struct<u:bigint,v:bigint>>, geometry array<struct<x:double,y:double>>, osmid array<bigint>")
+    (r,) = simplify.way_slices(edges, base).collect()
+    return r.coord_idx, [(s.osmid, s.start_coord_idx, s.end_coord_idx, s.bridge_tag, s.tunnel_tag) for s in r.way_along], r.way_along
+
+
+def test_way_slices(spark):
+    three = [(0, 1), (1, 2), (2, 3)]
+    ways = [(0, 7, 1.0, None, None), (1, 7, 1.0, None, None), (1, 8, 1.0, "yes", None), (2, 7, 1.0, None, None), (2, 9, 1.0, None, None)]
+    coords, slices, rows = sliced(spark, ways, three, 3.0)
+    assert coords == [0, 1, 2, 3] and slices == [(7, 0, 1, None, None), (8, 1, 2, "yes", None), (7, 2, 3, None, None)]  # the bridge, then the way seen before
+    assert [(s.start_ratio_along, s.end_ratio_along, s.osm_nodes) for s in rows] == [(0.0, pytest.approx(1 / 3), [0, 1]), (pytest.approx(1 / 3), pytest.approx(2 / 3), [1, 2]), (pytest.approx(2 / 3), 1.0, [2, 3])]
+    with pytest.raises(Exception, match="lengths of ways and edge differ"):
+        sliced(spark, ways, three, 4.0)
+    assert sliced(spark, ways, three, 0.0)[:2] == ([], [])
+    seen_twice = sliced(spark, [*ways, (2, 8, 1.0, None, None)], three, 3.0)  # both were seen before, the last way goes on
+    assert seen_twice[1] == [(7, 0, 1, None, None), (8, 1, 3, "yes", None)]
+    with pytest.raises(Exception, match="no way"):  # nothing tells the first two apart
+        sliced(spark, [(0, 7, 1.0, None, None), (0, 9, 1.0, None, None), *ways[1:]], three, 3.0)
+    with pytest.raises(Exception, match="no way"):
+        sliced(spark, ways[:3], three, 3.0)
+
+
+def test_way_slices_tags_and_repeated_vertices(spark):
+    two = [(0, 1), (1, 2)]
+    plain = [(0, 7, 1.0, "No", "YES"), (1, 8, 1.0, "Viaduct", "no")]
+    assert sliced(spark, plain, two, 2.0)[1] == [(7, 0, 1, None, "yes"), (8, 1, 2, "Viaduct", None)]
+    three, line = [(0, 1), (1, 2), (2, 3)], [(0.0, 0.0), (1.0, 0.0), (1.0, 0.0), (2.0, 0.0)]
+    ways = [(0, 7, 1.0, None, None), (1, 7, 0.0, None, None), (2, 7, 1.0, None, None)]
+    coords, slices, rows = sliced(spark, ways, three, 2.0, line)
+    assert coords == [0, 1, 3] and slices == [(7, 0, 2, None, None)] and rows[0].osm_nodes == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="repeated vertex"):
+        sliced(spark, [ways[0], (1, 7, 0.5, None, None), ways[2]], three, 2.0, line)
+    with pytest.raises(Exception, match="bridge has no length"):
+        sliced(spark, [ways[0], (1, 8, 0.0, "yes", None), ways[2]], three, 2.0, line)
 
 
 # -- linear reference, matching
@@ -346,9 +384,23 @@ def test_matcher(spark):
     assert [(r.matching_idx, r.waypoint_idx) for r in got[3]] == [(0, 0), (1, 0)] and 4 not in got
 
 
-def test_frechet():
-    assert matching.discrete_frechet([(0, 0), (1, 0)], [(0, 1), (1, 1)]) == 1
-    assert matching.discrete_frechet([(0, 0), (5, 0)], [(0, 0), (2, 4), (5, 0)]) == pytest.approx(20**0.5)
+def test_frechet(spark):
+    def far(p, q):
+        return ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+
+    def brute(a, b):
+        if len(a) == 1 or len(b) == 1:
+            return max(far(p, q) for p in a for q in b)
+        return max(far(a[-1], b[-1]), min(brute(a[:-1], b), brute(a, b[:-1]), brute(a[:-1], b[:-1])))
+
+    rng = random.Random(3)
+    cases = [([(0, 0), (1, 0)], [(0, 1), (1, 1)]), ([(0, 0), (5, 0)], [(0, 0), (2, 4), (5, 0)])]
+    cases += [tuple([(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(1, 6))] for _ in "ab") for _ in range(20)]
+    to = lambda line: [(float(x), float(y)) for x, y in line]
+    df = spark.createDataFrame([(i, to(a), to(b)) for i, (a, b) in enumerate(cases)] + [(99, [], to(cases[0][0])), (100, None, to(cases[0][0]))], "i int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    got = {r.i: r.frechet for r in matching.frechet(df, "a", "b").collect()}
+    assert got.pop(99) is None and got.pop(100) is None
+    assert got == {i: pytest.approx(brute(a, b)) for i, (a, b) in enumerate(cases)}
 
 
 def test_responses(spark):

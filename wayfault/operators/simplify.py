@@ -6,12 +6,12 @@ ranked by pointer jumping over edges, a logarithmic number of joins in the longe
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfault.operators.components import components
 from wayfault.operators.scratch import cut
+from wayfault.operators.spans import runs
 
 EDGE = ["u", "v", "key"]
 TOLERANCE = 1e-6
@@ -65,7 +65,7 @@ def alignment_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     m, g = F.col("merged_edges"), F.col("geometry")
     breaks = F.exists(F.sequence(F.lit(1), F.greatest(F.size(m) - 1, F.lit(1))), lambda i: (i < F.size(m)) & (F.get(m, i)["u"] != F.get(m, i - 1)["v"]))
     problems = F.array(
-        F.when(F.coalesce(F.size(m), F.lit(0)) < 1, "no base edges"), F.when(breaks, "broken chain"), F.when((F.get(m, F.lit(0))["u"] != F.col("u")) | (F.element_at(m, -1)["v"] != F.col("v")), "ends differ"),
+        F.when(F.coalesce(F.size(m), F.lit(0)) < 1, "no base edges"), F.when(breaks, "broken chain"), F.when((F.get(m, F.lit(0))["u"] != F.col("u")) | (F.try_element_at(m, F.lit(-1))["v"] != F.col("v")), "ends differ"),
         F.when(F.size(g) != F.size(m) + 1, "number of vertices"),
     )
     direct = edges.select(*EDGE, F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
@@ -85,62 +85,94 @@ def oriented(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("geometry", F.when(flip, F.reverse("geometry")).otherwise(F.col("geometry"))).select(*edges.columns)
 
 
-WAY = "u long, v long, key long, coord_idx array<int>, way_along array<struct<start_ratio_along:double,end_ratio_along:double,start_coord_idx:int,end_coord_idx:int,osmid:long,ref:string,name:string,bridge_tag:string,tunnel_tag:string,osm_nodes:array<bigint>>>"
+CHOICE = "struct<osmid:bigint,length:double,ref:string,name:string,bridge_tag:string,tunnel_tag:string>"
+STEP = "struct<osmid:bigint,ref:string,name:string,bridge_tag:string,tunnel_tag:string,mu:bigint,mv:bigint,start:double,end:double,start_idx:int,end_idx:int>"
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def chosen_way(choices: Column, seen: Column, last: Column, where: Column) -> Column:
+    """The way of a base pair: bridges go before others; of several those seen before on the edge, then the last one; else the first bridge."""
+    def pick(some: Column, also) -> Column:
+        return F.when(F.size(some) > 1, F.filter(some, also)).otherwise(some)
+
+    def decide(bridges: Column) -> Column:
+        left = let(F.when(F.size(bridges) > 0, bridges).otherwise(choices), lambda c: pick(c, lambda w: F.array_contains(seen, w["osmid"])))
+        left = let(left, lambda c: pick(c, lambda w: F.coalesce(w["osmid"] == last, F.lit(False))))
+        return let(left, lambda c: let(F.when(F.size(c) > 0, c).otherwise(F.slice(bridges, 1, 1)), one))
+
+    def one(left: Column) -> Column:
+        none = F.raise_error(F.concat(F.lit("no way for "), where))
+        many = F.raise_error(F.concat(F.lit("more than one way for "), where))
+        return F.when(F.size(left) == 0, none).when(F.size(F.array_distinct(F.transform(left, lambda w: w["osmid"]))) > 1, many).otherwise(left[0])
+
+    return let(F.filter(choices, lambda w: w["bridge_tag"].isNotNull()), decide)
+
+
+def steps_along(items: Column, where: Column) -> Column:
+    """The chosen way of each base pair of an edge with lengths and vertices before and after it (array of ``STEP``).
+
+    A pair whose vertices are in one place must have no length, and adds neither a vertex nor a length.
+    """
+    state = f"struct<seen:array<bigint>,along:double,idx:int,steps:array<{STEP}>>"
+    empty = F.from_json(F.lit('{"seen":[],"along":0.0,"idx":0,"steps":[]}'), state)
+
+    def step(acc: Column, it: Column) -> Column:
+        def add(w: Column) -> Column:
+            bad = it["same"] & (w["length"] >= TOLERANCE)
+            along = F.when(bad, F.raise_error(F.concat(F.lit("a repeated vertex has a length: "), where)).cast("double")).when(it["same"], acc["along"]).otherwise(acc["along"] + w["length"])
+            idx = F.when(it["same"], acc["idx"]).otherwise(acc["idx"] + 1)
+            new = F.struct(
+                w["osmid"].alias("osmid"), w["ref"].alias("ref"), w["name"].alias("name"), w["bridge_tag"].alias("bridge_tag"), w["tunnel_tag"].alias("tunnel_tag"), it["mu"].alias("mu"), it["mv"].alias("mv"),
+                acc["along"].alias("start"), along.alias("end"), acc["idx"].alias("start_idx"), idx.alias("end_idx"),
+            ).cast(STEP)
+            return F.struct(F.array_append(acc["seen"], w["osmid"]).alias("seen"), along.alias("along"), idx.cast("int").alias("idx"), F.array_append(acc["steps"], new).alias("steps")).cast(state)
+
+        return let(chosen_way(it["choices"], acc["seen"], F.try_element_at(acc["steps"], F.lit(-1))["osmid"], where), add)
+
+    return F.aggregate(items, empty, step, lambda acc: acc["steps"])
 
 
 def way_slices(edges: DataFrame, base: DataFrame) -> DataFrame:
-    """Way slices along each edge (columns ``WAY``); ``coord_idx`` are the vertices that stay, repeated ones having gone.
+    """Way slices along each edge: ``u, v, key, coord_idx, way_along``; ``coord_idx`` are the vertices that stay, repeated ones having gone.
 
-    The way of a base pair depends on the ways before it, so an edge is walked in order: a bridge wins, then a way seen before on this edge, then the last.
+    The way of a base pair depends on the ways before it, so an edge's pairs are folded in order (``steps_along``); runs of one way are then a slice.  A bridge
+    tag counts unless it is "no", a tunnel tag if it is "yes", in any case of letters.  Edges whose ways are ambiguous or missing, whose lengths do not
+    add up, or that lose a bridge with the slices of no length, are errors.
     """
-    own = edges.select(*EDGE, F.col("length").alias("edge_length"), F.col("osmid").alias("_osmids"), F.posexplode("merged_edges").alias("pos", "_m"), F.col("geometry").alias("_g"))
-    own = own.select(*EDGE, "edge_length", "_osmids", "pos", F.col("_m.u").alias("mu"), F.col("_m.v").alias("mv"), (F.get("_g", F.col("pos")) == F.get("_g", F.col("pos") + 1)).alias("same"))
-    b = base.select(F.col("u").alias("mu"), F.col("v").alias("mv"), "osmid", "length", "ref", "name", F.col("bridge").alias("bridge_tag"), F.col("tunnel").alias("tunnel_tag"))
-    rows = own.join(b, ["mu", "mv"], "left").where(F.array_contains("_osmids", F.col("osmid")) | F.col("osmid").isNull()).drop("_osmids")
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        first = df.iloc[0]
-        coords, slices = _walk_ways(df.sort_values(["pos", "osmid"]).astype(object).where(df.notna(), None).to_dict("records"), float(first.edge_length))
-        return pd.DataFrame([(first.u, first.v, first.key, coords, slices)], columns=[*EDGE, "coord_idx", "way_along"])
-
-    return rows.groupBy(*EDGE).applyInPandas(walk, WAY)
-
-
-def _walk_ways(rows: list[dict], total: float) -> tuple[list[int], list[dict]]:
-    if total == 0:
-        return [], []
-    by_pos: dict[int, list[dict]] = {}
-    for r in rows:
-        by_pos.setdefault(int(r["pos"]), []).append(r)
-    slices, seen, along, idx, coords = [], set(), 0.0, 0, [0]
-    for pos in sorted(by_pos):
-        found = [r for r in by_pos[pos] if r["osmid"] is not None]
-        if not found:
-            raise ValueError(f"no way between {by_pos[pos][0]['mu']} and {by_pos[pos][0]['mv']}")
-        bridges = [r for r in found if r["bridge_tag"] not in (None, "no")]
-        left = bridges or found
-        for keep in (lambda r: r["osmid"] in seen, lambda r: bool(slices) and r["osmid"] == slices[-1]["osmid"]):
-            if len(left) > 1:
-                left = [r for r in left if keep(r)]
-        left = left or bridges[:1]
-        if len({r["osmid"] for r in left}) != 1:
-            raise ValueError(f"the way between {found[0]['mu']} and {found[0]['mv']} is ambiguous")
-        r = left[0]
-        seen.add(r["osmid"])
-        if not slices or slices[-1]["osmid"] != r["osmid"]:
-            slices.append({"start_ratio_along": round(along / total, 15), "end_ratio_along": None, "start_coord_idx": idx, "end_coord_idx": idx, "osmid": int(r["osmid"]), "ref": r["ref"], "name": r["name"], "bridge_tag": r["bridge_tag"], "tunnel_tag": r["tunnel_tag"], "osm_nodes": [int(r["mu"])]})
-        if r["same"] and r["length"] >= TOLERANCE:
-            raise ValueError("a repeated vertex has a length")
-        along += float(r["length"])
-        if not r["same"]:
-            idx += 1
-            coords.append(pos + 1)
-        s = slices[-1]
-        s["osm_nodes"].append(int(r["mv"]))
-        s["end_coord_idx"], s["end_ratio_along"] = idx, min(1.0, round(along / total, 15)) if along / total <= 1 + TOLERANCE else along / total
-    if abs(along - total) > TOLERANCE:
-        raise ValueError(f"the ways are {along} long, the edge {total}")
-    short = [s for s in slices if s["start_coord_idx"] == s["end_coord_idx"]]
-    if any(s["bridge_tag"] not in (None, "no") for s in short):
-        raise ValueError("a bridge has no length")
-    return coords, [s for s in slices if s not in short]
+    own = edges.select(*EDGE, F.col("length").alias("edge_length"), F.col("osmid").alias("_osmids"), F.col("geometry").alias("_g"), F.posexplode("merged_edges").alias("pos", "_m"))
+    own = own.select(*EDGE, "edge_length", "_osmids", "pos", F.col("_m.u").alias("mu"), F.col("_m.v").alias("mv"), F.coalesce(F.get("_g", F.col("pos")) == F.get("_g", F.col("pos") + 1), F.lit(False)).alias("same"))
+    bridge, tunnel = F.col("bridge"), F.col("tunnel")
+    tags = (F.when(F.lower(bridge) != "no", bridge).alias("bridge_tag"), F.when(F.lower(tunnel) == "yes", "yes").alias("tunnel_tag"))
+    ways = base.select(F.col("u").alias("mu"), F.col("v").alias("mv"), F.struct(F.col("osmid").cast("long").alias("osmid"), "length", "ref", "name", *tags).cast(CHOICE).alias("way"))
+    rows = own.join(ways, ["mu", "mv"], "left").repartition(*EDGE)  # one exchange for both groupings
+    rows = rows.withColumn("way", F.when(F.array_contains("_osmids", F.col("way.osmid")), F.col("way")))
+    pairs = rows.groupBy(*EDGE, "edge_length", "pos", "mu", "mv", "same").agg(F.array_sort(F.collect_list("way")).alias("choices"))
+    whole = pairs.groupBy(*EDGE, "edge_length").agg(F.array_sort(F.collect_list(F.struct("pos", "mu", "mv", "same", "choices"))).alias("_items"))
+    where = F.concat_ws(" ", F.lit("edge"), "u", "v", "key")
+    total = F.col("edge_length")
+    at = whole.withColumn("_steps", F.when(total == 0, F.from_json(F.lit("[]"), f"array<{STEP}>")).otherwise(steps_along(F.col("_items"), where)))
+    # runs of one way
+    share = lambda x: F.round(x / total, 15)
+    own_runs = runs(F.col("_steps"), lambda s: s["osmid"])
+
+    def slice_of(r: Column) -> Column:
+        first, last = r[0], F.element_at(r, -1)
+        end = F.when((last["end"] > total) & (last["end"] < total * (1 + TOLERANCE)), F.lit(1.0)).otherwise(share(last["end"]))
+        return F.struct(
+            share(first["start"]).alias("start_ratio_along"), end.alias("end_ratio_along"), first["start_idx"].alias("start_coord_idx"), last["end_idx"].alias("end_coord_idx"), first["osmid"].alias("osmid"),
+            first["ref"].alias("ref"), first["name"].alias("name"), first["bridge_tag"].alias("bridge_tag"), first["tunnel_tag"].alias("tunnel_tag"),
+            F.concat(F.array(first["mu"]), F.transform(r, lambda s: s["mv"])).alias("osm_nodes"),
+        )
+
+    at = at.withColumn("_all", F.when(F.size("_steps") > 0, F.transform(own_runs, slice_of)).otherwise(F.transform(F.slice(own_runs, 1, 0), slice_of)))
+    kept = F.filter("_all", lambda s: s["start_coord_idx"] < s["end_coord_idx"])
+    bridges = lambda c: F.array_distinct(F.transform(F.filter(c, lambda s: s["bridge_tag"].isNotNull()), lambda s: s["osmid"]))
+    along = F.coalesce(F.try_element_at("_steps", F.lit(-1))["end"], F.lit(0.0))
+    problem = F.when(F.abs(along - total) > TOLERANCE, F.concat(F.lit("lengths of ways and edge differ: "), where)).when(F.size(bridges(F.col("_all"))) > F.size(bridges(kept)), F.concat(F.lit("a bridge has no length: "), where))
+    places = F.filter(F.transform("_items", lambda it: F.when(~it["same"], it["pos"] + 1)), lambda p: p.isNotNull())
+    coords = F.when(F.size("_steps") > 0, F.concat(F.array(F.lit(0)), places)).otherwise(F.array().cast("array<int>"))
+    return at.select(*EDGE, coords.alias("coord_idx"), F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(kept).alias("way_along"))

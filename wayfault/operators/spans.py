@@ -60,7 +60,7 @@ def broken_chains(chains: DataFrame, keys: list[str], nodes: str) -> DataFrame:
 
 
 def simple_ranges(line: list[tuple[float, float]]) -> list[tuple[int, int]]:
-    """Greedy split of a line into index ranges whose parts neither cross nor touch themselves; a ring may close at its end."""
+    """Greedy split of a line into index ranges whose parts neither cross nor touch themselves; a ring is no simple part, so it is split before it closes."""
     out, start, n = [], 0, len(line)
     while start < n - 1:
         end = start + 1
@@ -77,8 +77,7 @@ def _extends(line, start: int, end: int) -> bool:
     if a == b:
         return True
     for i in range(start, end - 1):
-        c, d = line[i], line[i + 1]
-        if _meet(a, b, c, d) and not (i == start and b == c and not _meet_beyond(a, b, c, d)):
+        if _meet(a, b, line[i], line[i + 1]):
             return False
     c = line[end - 1]  # the segment before may not be run back over
     cross = (a[0] - c[0]) * (b[1] - a[1]) - (a[1] - c[1]) * (b[0] - a[0])
@@ -98,11 +97,6 @@ def _meet(a, b, c, d) -> bool:
     return s or _on(c, d, a) or _on(c, d, b) or _on(a, b, c) or _on(a, b, d)
 
 
-def _meet_beyond(a, b, c, d) -> bool:
-    """Whether segments that share the point b = c meet elsewhere too."""
-    return _on(c, d, a) or _on(a, b, d)
-
-
 def split_simple(edges: DataFrame) -> DataFrame:
     """``u, v, key, part_idx, start_idx, end_idx, geometry`` of the simple parts of each edge's line."""
     def ranges(lines: pd.Series) -> pd.Series:
