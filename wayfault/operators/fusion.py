@@ -16,6 +16,11 @@ FLOOD_COLUMNS = ["nonfunctional_reason", "nonfunctional_risk_level", "nonfunctio
 CENTRALITY_COLUMNS = [
     "node_betweenness_centrality_u", "node_betweenness_centrality_v", "edge_betweenness_centrality", "closeness_centrality_u", "closeness_centrality_v", "louvain_community_u", "louvain_community_v",
 ]
+#: Published names of columns, and the columns that they are.
+PUBLISHED = {
+    "openlr_roadclass": "roadclass", "redundancy_detour_seconds_diff": "redundancy_difference_sec", "road_network_edge_betweenness_centrality": "centrality_edge_betweenness_centrality",
+    "flood_related_events_count": "events_all_incidents_count",
+}
 
 
 def in_region(edges: DataFrame) -> DataFrame:
@@ -53,10 +58,6 @@ def search_text() -> Column:
 def simplified(fused: DataFrame) -> DataFrame:
     """The published columns; flood frequencies only of edges that flood themselves."""
     have = fused.columns
-    pick = {
-        "openlr_roadclass": "roadclass", "redundancy_detour_seconds_diff": "redundancy_difference_sec", "road_network_edge_betweenness_centrality": "centrality_edge_betweenness_centrality",
-        "flood_related_events_count": "events_all_incidents_count",
-    }
     flooded = F.when(F.col("flood_nonfunctional_reason") == "FLOODED", F.col("flood_nonfunctional_frequency")) if "flood_nonfunctional_reason" in have else F.lit(None).cast("string")
-    columns = [F.col(c).alias(n) if c in have else F.lit(None).cast("string").alias(n) for n, c in pick.items()]
+    columns = [F.col(c).alias(n) if c in have else F.lit(None).cast("string").alias(n) for n, c in PUBLISHED.items()]
     return fused.select(*EDGE, *columns, flooded.alias("flooding_vulnerability_frequency"), *(["geometry"] if "geometry" in have else []))

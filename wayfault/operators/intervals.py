@@ -25,6 +25,21 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     return df.withColumn("_begins", begins).withColumn("island_id", F.sum("_begins").over(so_far)).drop("_begins")
 
 
+def running_end(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """``keys, start, running_end``: the latest end of all intervals that have begun by each start."""
+    order = Window.partitionBy(*keys).orderBy(start)  # rows with the same start see each other
+    return df.select(*keys, start, F.max(end).over(order).alias("running_end")).distinct()
+
+
+def previous_end(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """``keys, start, previous_end, begins``: the latest end of intervals that begin earlier, and whether an island begins and ends nothing else at that start."""
+    at = df.groupBy(*keys, start).agg(F.max(end).alias("_end"), F.count(F.lit(1)).alias("_n"), F.count(end).alias("_known"))
+    earlier = Window.partitionBy(*keys).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
+    out = at.withColumn("previous_end", F.coalesce(F.max("_end").over(earlier), F.lit("1970-01-01").cast("timestamp_ntz")))
+    alone = (F.col("_n") == 1) | (F.col("_known") == 0)
+    return out.select(*keys, start, "previous_end", ((F.col(start) > F.col("previous_end")) & alone).cast("int").alias("begins"))
+
+
 def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, id_: str) -> DataFrame:
     """``keys, island_id, ids, merged_start, merged_end``, only islands that last."""
     out = islands(df, keys, start, end).groupBy(*keys, "island_id").agg(F.collect_list(id_).alias("ids"), F.min(start).alias("merged_start"), F.max(end).alias("merged_end"))

@@ -10,9 +10,14 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is configured."""
+    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
+
+    Where it is unset a local master gets a temporary one; on a cluster that is an error, as executors would write where nobody reads.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='wayfault-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -10,10 +10,25 @@ from wayfault.operators.validation import require_foreign_key, require_key
 EDGE = ["u", "v", "key"]
 
 
-def write_layers(layers: dict[str, DataFrame], folder: str) -> None:
-    """A Parquet folder per layer; each is replaced as a whole, and a failed write leaves no partial layer."""
+def write_layers(layers: dict[str, DataFrame], folder: str, mode: str = "overwrite", read_only: bool = False) -> None:
+    """A Parquet folder per layer; each is replaced as a whole (or, with ``mode="append"``, added to), and a failed write leaves no partial layer.
+
+    ``read_only``: the files may not be written afterwards; replacing a layer as a whole remains possible.
+    """
     for name, df in layers.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode(mode).parquet(f"{folder}/{name}")
+        if read_only:
+            protect(df.sparkSession, f"{folder}/{name}")
+
+
+def protect(spark: SparkSession, folder: str) -> None:
+    """Take the right to write from the files of a folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(at, True)
+    while files.hasNext():
+        fs.setPermission(files.next().getPath(), hadoop.permission.FsPermission("444"))
 
 
 def read_layer(spark: SparkSession, folder: str, name: str) -> DataFrame:
