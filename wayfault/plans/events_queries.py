@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfault.functions import scalars as S
@@ -31,13 +30,20 @@ COLLECTED = f"""collected AS (SELECT u, v, key, event_id, start_date_time AS s,
 
 
 def _hours(name: str, where: str) -> str:
-    """Equivalent SQL of ``outage_hours`` over the collected events."""
+    """SQL for ``outage_hours`` over the collected events, by sweeping end points: intervals that are open are counted, and an island ends where none is.
+
+    ``{name}_d`` are the distinct intervals, ``{name}_m`` the islands that last, ``{name}_g`` all islands with the number of their intervals.
+    """
+    same = "m.u = d.u AND m.v = d.v AND m.key = d.key AND d.s BETWEEN m.ms AND m.me"
     return f"""{name}_d AS (SELECT DISTINCT u, v, key, event_id, s, e FROM collected WHERE {where}),
-{name}_r AS (SELECT *, max(e) OVER (PARTITION BY u, v, key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS rm FROM {name}_d),
-{name}_l AS (SELECT *, lag(rm, 1, TIMESTAMP '1970-01-01') OVER (PARTITION BY u, v, key ORDER BY s, e) AS pe FROM {name}_r),
-{name}_i AS (SELECT *, sum(CASE WHEN s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY u, v, key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM {name}_l),
-{name}_m AS (SELECT u, v, key, isl, list(event_id) AS ids, min(s) AS ms, max(e) AS me FROM {name}_i GROUP BY ALL HAVING max(e) > min(s)),
-{name} AS (SELECT u, v, key, list_sort(flatten(list(ids))) AS ids, count(*) AS n, round(sum(epoch(me) - epoch(ms)) / 3600.0, 2) AS hours FROM {name}_m GROUP BY ALL)"""
+{name}_p AS (SELECT u, v, key, s AS moment, 1 AS step FROM {name}_d WHERE e > s UNION ALL SELECT u, v, key, e, -1 FROM {name}_d WHERE e > s),
+{name}_o AS (SELECT u, v, key, moment, sum(sum(step)) OVER (PARTITION BY u, v, key ORDER BY moment) AS still_open FROM {name}_p GROUP BY u, v, key, moment),
+{name}_c AS (SELECT *, count(*) FILTER (still_open = 0) OVER (PARTITION BY u, v, key ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closings FROM {name}_o),
+{name}_m AS (SELECT u, v, key, min(moment) AS ms, max(moment) AS me FROM {name}_c GROUP BY u, v, key, closings),
+{name}_w AS (SELECT m.u, m.v, m.key, m.ms, m.me, list(d.event_id) AS ids FROM {name}_m m JOIN {name}_d d ON {same} GROUP BY m.u, m.v, m.key, m.ms, m.me),
+{name}_g AS (SELECT *, row_number() OVER (PARTITION BY u, v, key ORDER BY first_start) AS island_id FROM (SELECT u, v, key, ms AS first_start, me AS last_end, len(ids) AS n FROM {name}_w
+ UNION ALL SELECT u, v, key, s, max(e), count(*) FROM {name}_d d WHERE NOT EXISTS (SELECT 1 FROM {name}_m m WHERE {same}) GROUP BY u, v, key, s)),
+{name} AS (SELECT u, v, key, list_sort(flatten(list(ids))) AS ids, count(*) AS n, round(sum(epoch(me) - epoch(ms)) / 3600.0, 2) AS hours FROM {name}_w GROUP BY u, v, key)"""
 
 
 def collected(t):
@@ -51,34 +57,41 @@ def outage_hours(t):
     return got.withColumn("ids", F.array_join("ids", ","))
 
 
-@query("w4_islands", f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, CAST(isl AS BIGINT) AS island_id, count(*) AS n, min(s) AS first_start, max(rm) AS last_end FROM x_i GROUP BY ALL")
+def intervals_of(t):
+    return collected(t).select(*I.EDGE, "event_id", "start_ts", "end_ts").distinct()
+
+
+@query("w4_islands", f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, CAST(island_id AS BIGINT) AS island_id, CAST(n AS BIGINT) AS n, first_start, last_end FROM x_g")
 def island_table(t):
-    rows = I.islands(collected(t).select(*I.EDGE, "event_id", "start_ts", "end_ts").distinct(), I.EDGE, "start_ts", "end_ts")
+    rows = I.islands(intervals_of(t), I.EDGE, "start_ts", "end_ts")
     return rows.groupBy(*I.EDGE, "island_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_ts").alias("first_start"), F.max("end_ts").alias("last_end"))
 
 
-@query("w1_running_end", f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, s AS start_ts, max(rm) AS running_end FROM x_r GROUP BY ALL")
+STARTS = "starts AS (SELECT u, v, key, s, count(*) AS n, count(e) AS known FROM x_d GROUP BY u, v, key, s)"
+
+
+@query("w1_running_end", f"WITH {COLLECTED}, {_hours('x', 'true')}, {STARTS} SELECT a.u, a.v, a.key, a.s AS start_ts, max(b.e) AS running_end FROM starts a JOIN x_d b ON a.u = b.u AND a.v = b.v AND a.key = b.key AND b.s <= a.s GROUP BY a.u, a.v, a.key, a.s")
 def running_end(t):
-    rows = collected(t).select(*I.EDGE, "event_id", "start_ts", "end_ts").distinct()
-    w = Window.partitionBy(*I.EDGE).orderBy("start_ts", F.col("end_ts").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("rm", F.max("end_ts").over(w)).groupBy(*I.EDGE, "start_ts").agg(F.max("rm").alias("running_end"))
+    return I.running_end(intervals_of(t), I.EDGE, "start_ts", "end_ts")
 
 
-@query("w2_previous_end", f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, s AS start_ts, min(pe) AS previous_end, min(CASE WHEN s > pe THEN 1 ELSE 0 END) AS begins FROM x_l GROUP BY ALL")
+@query(
+    "w2_previous_end",
+    f"""WITH {COLLECTED}, {_hours('x', 'true')}, {STARTS}, p AS (SELECT a.u, a.v, a.key, a.s AS start_ts, a.n, a.known, coalesce(max(b.e), TIMESTAMP '1970-01-01') AS previous_end
+FROM starts a LEFT JOIN x_d b ON a.u = b.u AND a.v = b.v AND a.key = b.key AND b.s < a.s GROUP BY a.u, a.v, a.key, a.s, a.n, a.known)
+SELECT u, v, key, start_ts, previous_end, CASE WHEN start_ts > previous_end AND (n = 1 OR known = 0) THEN 1 ELSE 0 END AS begins FROM p""",
+)
 def previous_end(t):
-    rows = collected(t).select(*I.EDGE, "event_id", "start_ts", "end_ts").distinct()
-    order = Window.partitionBy(*I.EDGE).orderBy("start_ts", F.col("end_ts").asc_nulls_last())
-    rm = rows.withColumn("rm", F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    pe = rm.withColumn("pe", F.coalesce(F.lag("rm").over(order), F.lit("1970-01-01").cast("timestamp_ntz")))
-    return pe.groupBy(*I.EDGE, "start_ts").agg(F.min("pe").alias("previous_end"), F.min(F.when(F.col("start_ts") > F.col("pe"), 1).otherwise(0)).alias("begins"))
+    return I.previous_end(intervals_of(t), I.EDGE, "start_ts", "end_ts")
 
 
 @query(
     "a1_merged_intervals",
-    f"WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, CAST(isl AS BIGINT) AS island_id, array_to_string(list_sort(ids), ',') AS ids, ms AS merged_start, me AS merged_end FROM x_m",
+    f"""WITH {COLLECTED}, {_hours('x', 'true')} SELECT u, v, key, CAST(g.island_id AS BIGINT) AS island_id, array_to_string(list_sort(w.ids), ',') AS ids, w.ms AS merged_start, w.me AS merged_end
+FROM x_w w JOIN x_g g USING (u, v, key) WHERE g.first_start = w.ms""",
 )
 def merged(t):
-    got = I.merged_intervals(collected(t).select(*I.EDGE, "event_id", "start_ts", "end_ts").distinct(), I.EDGE, "start_ts", "end_ts", "event_id")
+    got = I.merged_intervals(intervals_of(t), I.EDGE, "start_ts", "end_ts", "event_id")
     return got.withColumn("ids", F.array_join(F.array_sort("ids"), ","))
 
 

@@ -38,12 +38,15 @@ def sql_on_files(t):
     return t.spark.sql(f"SELECT a.u, a.v, a.travel_time, b.ref FROM parquet.`{at}/a` a JOIN parquet.`{at}/b` b USING (u, v, key) WHERE b.ref IS NOT NULL")
 
 
-@query("k1_layers", "SELECT 'roadways' AS layer, count(*) AS n FROM edges UNION ALL SELECT 'bridges', count(*) FROM edge_tags WHERE bridge = 'yes'")
+@query("k1_layers", "SELECT 'roadways' AS layer, u, v, key, travel_time, CAST(NULL AS VARCHAR) AS bridge FROM edges UNION ALL SELECT 'bridges', u, v, key, travel_time, bridge FROM edge_tags WHERE bridge = 'yes'")
 def layers(t):
+    """Layers are written read-only, replaced once, and read back whole."""
     at = folder(t, "layers")
-    K.write_layers({"roadways": t.edges, "bridges": t.edge_tags.where("bridge = 'yes'")}, at)
-    n = lambda name: K.read_layer(t.spark, at, name).agg(F.lit(name).alias("layer"), F.count(F.lit(1)).alias("n"))
-    return n("roadways").union(n("bridges"))
+    roads, bridges = t.edges.select("u", "v", "key", "travel_time"), t.edge_tags.where("bridge = 'yes'").select("u", "v", "key", "travel_time", "bridge")
+    K.write_layers({"roadways": roads.limit(1), "bridges": bridges}, at, read_only=True)
+    K.write_layers({"roadways": roads}, at, read_only=True)
+    read = lambda name: K.read_layer(t.spark, at, name).withColumn("layer", F.lit(name))
+    return read("roadways").unionByName(read("bridges"), allowMissingColumns=True).select("layer", "u", "v", "key", "travel_time", "bridge")
 
 
 @query("k2_impact_layer", "SELECT u, v, key, CASE WHEN u % 3 = 0 THEN 'FLOODED' ELSE 'NOT_IMPACTED' END AS nonfunctional_reason FROM edges")
@@ -61,14 +64,16 @@ def event_output(t):
     return roads.join(outage_hours(E.collected(t), EDGE, "start_ts", "end_ts", "event_id"), EDGE).select(*EDGE, "n_intervals", "roads")
 
 
-@query("k4_centrality_layers", "SELECT (SELECT count(*) FROM (SELECT u FROM edges UNION SELECT v FROM edges)) AS nodes, count(*) AS edges FROM edges")
+@query("k4_centrality_layers", f"{Q.CLOSENESS.replace('SELECT node_id, round', 'SELECT half, node_id, round')}, (SELECT 0 AS half UNION ALL SELECT 1)")
 def centrality_layers(t):
+    """Node metrics in a layer, and the same rows added to it."""
     from wayfault.operators import centrality as C
 
-    at, sums = folder(t, "centrality"), C.path_sums(t.edges)
-    K.write_layers({"nodes": C.closeness(t.edges, sums), "edges": C.edge_betweenness(t.edges, sums)}, at)
-    count = lambda name: K.read_layer(t.spark, at, name).agg(F.count(F.lit(1)).alias(name))
-    return count("nodes").crossJoin(count("edges"))  # two single rows
+    at = folder(t, "centrality")
+    rows = C.closeness(t.edges, C.path_sums(t.edges))
+    K.write_layers({"nodes": rows.withColumn("half", F.lit(0))}, at)
+    K.write_layers({"nodes": rows.withColumn("half", F.lit(1))}, at, mode="append")
+    return K.read_layer(t.spark, at, "nodes").select("half", "node_id", F.round("closeness_centrality", 12).alias("closeness_centrality"))
 
 
 @query("k5_conflation_qa", "SELECT count(*) AS edges, count(*) FILTER (EXISTS (SELECT 1 FROM match_rows m WHERE m.osm_u = e.u AND m.osm_v = e.v)) AS matched FROM match_edges e")
@@ -77,29 +82,57 @@ def conflation_qa(t):
     return L.matching_rate(R.best(t), edges, ["u", "v", "key"]).select(F.col("total").alias("edges"), "matched")
 
 
-@query("k8_checked_load", "SELECT 'roadways' AS name, count(*) AS n FROM mesh")
+@query("k5_qa_layers", "SELECT 'all_edges' AS layer, u AS id, count(*) AS n FROM match_edges GROUP BY u UNION ALL SELECT 'all_routes', CAST(range AS BIGINT), 1 FROM range(60) UNION ALL SELECT 'unmatched_routes', CAST(range AS BIGINT), 1 FROM range(60) WHERE range NOT IN (SELECT route_id FROM match_rows)")
+def conflation_qa_layers(t):
+    """Routes 0 to 39 have match rows; whether an edge carries a route is another question, so all of them count as matched here."""
+    from wayfault.plans import pipelines
+
+    edges = t.match_edges.withColumn("geometry", F.array(G.point(F.col("u"), F.col("v"))))
+    routes = t.spark.range(60).select(F.col("id").alias("route_id"))
+    conflated = t.match_rows.select(F.col("osm_u").alias("u"), F.col("osm_v").alias("v"), F.lit(0).cast("long").alias("key"), "route_id")
+    layers, _ = pipelines.conflation_layers(pipelines.Network(edges, edges, edges), routes, conflated)
+    at = folder(t, "qa")
+    K.write_layers(layers, at, read_only=True)
+    n = lambda name, c: K.read_layer(t.spark, at, name).groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "id", "n")
+    return n("all_edges", "u").union(n("all_routes", "route_id")).union(n("unmatched_routes", "route_id"))
+
+
+@query("k8_checked_load", "SELECT 'roadways' AS name, u, v, key FROM mesh UNION ALL SELECT 'base_paths', u, v, key FROM mesh")
 def checked_load(t):
+    """Keys and references hold; then tables are handed over, clustered."""
     done = {}
     paths = t.mesh.select("u", "v", "key", F.lit(0).alias("path_edge_index"), F.col("u").alias("path_u"), F.col("v").alias("path_v"), F.col("key").alias("path_key"))
     K.load_tables(t.mesh, t.mesh, paths, paths, done.__setitem__)
-    return done["roadways"].agg(F.lit("roadways").alias("name"), F.count(F.lit(1)).alias("n"))
+    return done["roadways"].select(F.lit("roadways").alias("name"), "u", "v", "key").union(done["base_paths"].select(F.lit("base_paths"), "u", "v", "key"))
+
+
+#: A mask in the shape of a U, and the three rectangles that it is made of.
+U_SHAPE = [(200, 100), (600, 100), (600, 700), (350, 700), (350, 220), (320, 220), (320, 700), (200, 700), (200, 100)]
+LEGS = "(VALUES (200, 100, 600, 220), (200, 220, 320, 700), (350, 220, 600, 700)) m(a, b, c, d)"
+SHARED = f"(SELECT box_id, greatest(least(x1, c) - greatest(x0, a), 0) * greatest(least(y1, d) - greatest(y0, b), 0) AS part FROM boxes, {LEGS})"
 
 
-MASK = "least(x1, 600) > greatest(x0, 200) AND least(y1, 700) > greatest(y0, 100)"
+def clipped_boxes(t):
+    return Q.boxes(t).withColumn("parts", X.polygon_intersection("polygon", J.polygon_literal([U_SHAPE])))
 
 
-@query("j9_overlay", f"SELECT box_id, (least(x1, 600) - greatest(x0, 200)) * (least(y1, 700) - greatest(y0, 100)) AS area FROM boxes WHERE {MASK}")
+@query("j9_overlay", f"SELECT box_id, sum(part) AS area FROM {SHARED} GROUP BY box_id HAVING sum(part) > 0")
 def overlay(t):
-    mask = J.polygon_literal([[(200, 100), (600, 100), (600, 700), (200, 700), (200, 100)]])[0]
-    cut = Q.boxes(t).withColumn("part", X.polygon_intersection("polygon", mask)).withColumn("area", F.round(X.polygon_area(F.col("part")), 6))
-    return cut.where("area > 0").select("box_id", "area")
+    return clipped_boxes(t).where(F.size("parts") > 0).select("box_id", F.round(X.parts_area(F.col("parts")), 6).alias("area"))
 
 
-@query("g18_overlay_rings", f"SELECT box_id, CAST(5 AS INT) AS n FROM boxes WHERE {MASK}")
+@query(
+    "g18_overlay_rings",
+    f"""SELECT b.box_id, CAST(CASE WHEN (SELECT count(*) FROM {SHARED} s WHERE s.box_id = b.box_id AND part > 0) = 0 THEN 0
+ WHEN x0 < 320 AND x1 > 350 AND y0 >= 220 THEN 2 ELSE 1 END AS INT) AS n_parts,
+ greatest(x1 - x0, 0) * (y1 - y0) / 2 AS bow_area, CAST(2 AS INT) AS bow_parts FROM boxes b""",
+)
 def overlay_rings(t):
-    mask = J.polygon_literal([[(200, 100), (600, 100), (600, 700), (200, 700), (200, 100)]])[0]
-    part = Q.boxes(t).select("box_id", X.polygon_intersection("polygon", mask).alias("p"))
-    return part.where((F.size("p") > 0) & (X.polygon_area(F.col("p")) > 0)).select("box_id", F.size(F.array_distinct(F.col("p")[0])).alias("d"), F.lit(5).alias("n")).select("box_id", "n")
+    """Parts of each box in the mask; and the two triangles of a ring that crosses itself in the middle of the box."""
+    p = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    bow = F.array(F.array(p("x0", "y0"), p("x1", "y1"), p("x1", "y0"), p("x0", "y1"), p("x0", "y0")))
+    rows = clipped_boxes(t).withColumn("bow", X.make_valid(bow))
+    return rows.select("box_id", F.size("parts").alias("n_parts"), F.round(X.parts_area(F.col("bow")), 6).alias("bow_area"), F.size("bow").alias("bow_parts"))
 
 
 @query("j19_map_lookup", "SELECT e.u, e.v, e.key, a.m AS m_u, b.m AS m_v FROM edges e LEFT JOIN (SELECT u AS node, count(*) AS m FROM edges GROUP BY u) a ON e.u = a.node LEFT JOIN (SELECT u AS node, count(*) AS m FROM edges GROUP BY u) b ON e.v = b.node")
@@ -109,23 +142,31 @@ def map_lookup(t):
     return on_edges(t.edges.select("u", "v", "key"), t.edges.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("m"))).select("u", "v", "key", "m_u", "m_v")
 
 
-@query("a15_union_of_regions", "SELECT DISTINCT event_id FROM event_points, boxes WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+@query(
+    "a15_union_of_regions",
+    """SELECT grp, CAST(count(*) AS DOUBLE) AS area FROM (SELECT DISTINCT box_id % 20 AS grp, cx, cy FROM (SELECT box_id, y0, y1, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS cx FROM boxes),
+LATERAL (SELECT unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS cy)) GROUP BY grp""",
+)
 def union_of_regions(t):
-    return J.points_in_polygons(t.event_points, Q.boxes(t), 50.0, boundary=True).select("event_id").distinct()
+    """Boxes have whole corners, so the area of their union is the number of unit squares that they cover."""
+    united = X.union_polygons(Q.boxes(t).withColumn("grp", F.col("box_id") % 20), ["grp"])
+    return united.select("grp", F.round(X.parts_area(F.col("parts")), 6).alias("area"))
 
 
-@query("g10_union_of_lines", "SELECT u, CAST(count(DISTINCT v) AS INT) AS n FROM edges GROUP BY u")
+@query("g10_union_of_lines", "SELECT ly, CAST(count(*) AS DOUBLE) AS length FROM (SELECT DISTINCT CAST(CAST(ly AS BIGINT) % 40 AS BIGINT) AS ly, unnest(range(CAST(lx0 AS BIGINT), CAST(lx1 AS BIGINT))) AS cx FROM flat_lines) GROUP BY ly")
 def union_of_lines(t):
-    part = F.struct(G.point(F.col("u"), F.lit(0)).alias("a"), G.point(F.col("v"), F.lit(1)).alias("b"))
-    return t.edges.groupBy("u").agg(F.size(F.collect_set(part)).alias("n"))
+    """Lines along each other are counted once."""
+    p = lambda a: F.struct(F.col(a).alias("x"), F.col("ly").cast("double").alias("y"))
+    lines = t.flat_lines.withColumn("ly", F.col("ly").cast("long") % 40).select("ly", F.array(p("lx0"), p("lx1")).alias("line"))
+    pieces = X.noded_lines(lines, ["ly"], 75.0)
+    return pieces.groupBy("ly").agg(F.round(F.sum(F.abs(F.col("bx") - F.col("ax"))), 6).alias("length"))
 
 
-@query("w3_island_flags", f"WITH {E.COLLECTED}, {E._hours('x', 'true')} SELECT u, v, key, CAST(sum(CASE WHEN s > pe THEN 1 ELSE 0 END) AS BIGINT) AS islands FROM x_l GROUP BY u, v, key")
+@query("w3_island_flags", f"WITH {E.COLLECTED}, {E._hours('x', 'true')} SELECT u, v, key, count(*) AS islands FROM x_g GROUP BY u, v, key")
 def island_flags(t):
     from wayfault.operators.intervals import EDGE, islands
 
-    rows = islands(E.collected(t).select(*EDGE, "event_id", "start_ts", "end_ts").distinct(), EDGE, "start_ts", "end_ts")
-    return rows.groupBy(*EDGE).agg(F.max("island_id").alias("islands"))
+    return islands(E.intervals_of(t), EDGE, "start_ts", "end_ts").groupBy(*EDGE).agg(F.max("island_id").alias("islands"))
 
 
 @query("w5_row_numbers", "SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS INT) AS n FROM lineitem")
@@ -134,24 +175,42 @@ def row_numbers(t):
     return t.lineitem.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("n"))
 
 
-@query("w8_leg_cumulative")
+@query("w8_leg_cumulative", f"WITH {T.SEGMENTS} SELECT trace_id, matching_idx, leg_idx, leg_segment_idx, round(leg_cumulative_m, 2) AS leg_cumulative_m, round(matching_cumulative_m, 2) AS matching_cumulative_m FROM segs")
 def leg_cumulative(t):
-    return T.segments(t).select("trace_id", "matching_idx", "leg_idx", "leg_segment_idx", F.round("leg_cumulative_m", 3).alias("leg_cumulative_m"), F.round("matching_cumulative_m", 3).alias("matching_cumulative_m"))
+    return T.segments(t).select("trace_id", "matching_idx", "leg_idx", "leg_segment_idx", F.round("leg_cumulative_m", 2).alias("leg_cumulative_m"), F.round("matching_cumulative_m", 2).alias("matching_cumulative_m"))
 
 
-@query("g1_projection_centre", "SELECT box_id, round((x0 + x1) / 2, 6) AS lon0, round((y0 + y1) / 2, 6) AS lat0 FROM boxes")
+@query(
+    "g1_projection_centre",
+    """WITH c AS (SELECT DISTINCT box_id % 20 AS grp, cx, cy FROM (SELECT box_id, y0, y1, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS cx FROM boxes), LATERAL (SELECT unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS cy))
+SELECT grp, round(avg(cx + 0.5), 4) AS lon0, round(avg(cy + 0.5), 4) AS lat0 FROM c GROUP BY grp""",
+)
 def projection_centre(t):
-    c = X.centroid(F.col("polygon")[0])
-    return Q.boxes(t).select("box_id", F.round(c["x"], 6).alias("lon0"), F.round(c["y"], 6).alias("lat0"))
+    """Centroid of a union, where its own projection is centred: here the mean of the unit squares that it covers."""
+    united = X.union_polygons(Q.boxes(t).withColumn("grp", F.col("box_id") % 20), ["grp"])
+    c = X.parts_centroid(F.col("parts"))
+    return united.select("grp", F.round(c["x"], 4).alias("lon0"), F.round(c["y"], 4).alias("lat0"))
 
 
-@query("g4a_ellipsoid_length", "SELECT trace_id, idx, 0 AS off FROM tracepoints WHERE x IS NOT NULL AND abs(y) < 80")
+#: Length of a meridian from the equator, by the series in the third flattening, and of a degree of the equator.
+N = "(0.0033528106647474805 / (2 - 0.0033528106647474805))"
+MERIDIAN = f"""6378137.0 / (1 + {N}) * ((1 + pow({N}, 2) / 4 + pow({N}, 4) / 64) * p - 1.5 * ({N} - pow({N}, 3) / 8) * sin(2 * p) + 0.9375 * (pow({N}, 2) - pow({N}, 4) / 4) * sin(4 * p)
+ - 35.0 / 48 * pow({N}, 3) * sin(6 * p) + 315.0 / 512 * pow({N}, 4) * sin(8 * p))"""
+
+
+@query("g4a_ellipsoid_length", f"SELECT trace_id, idx, round({MERIDIAN} + 6378137.0 * radians(1), 2) AS metres FROM (SELECT trace_id, idx, radians(abs(y)) AS p FROM tracepoints WHERE x IS NOT NULL)")
 def ellipsoid(t):
-    """On a short way the ellipsoid differs from the sphere by less than a hundredth."""
-    rows = t.tracepoints.where("x IS NOT NULL AND abs(y) < 80")
-    line = F.array(G.point(F.col("x"), F.col("y")), G.point(F.col("x") + 0.01, F.col("y") + 0.01))
-    off = (F.abs(X.ellipsoid_length(line) / G.sphere_length(line) - 1) > 0.01).cast("int")
-    return rows.select("trace_id", "idx", off.alias("off"))
+    """Along a meridian to the equator and one degree along it, where lengths are known otherwise."""
+    rows = t.tracepoints.where("x IS NOT NULL")
+    line = F.array(G.point(F.col("x"), F.col("y")), G.point(F.col("x"), F.lit(0)), G.point(F.col("x") + 1, F.lit(0)))
+    return rows.select("trace_id", "idx", F.round(X.ellipsoid_length(line), 2).alias("metres"))
+
+
+@query("g3_buffer_area", "SELECT box_id, round((x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) * (1 + box_id % 3) + 32 * sin(2 * pi() / 64) * pow(1 + box_id % 3, 2), 4) AS area FROM boxes")
+def buffer_area(t):
+    """A box, four sides and four quarters of a disc of 64 corners."""
+    parts = X.buffer(F.col("polygon"), (1 + F.col("box_id") % 3).cast("double"))
+    return Q.boxes(t).select("box_id", F.round(X.parts_area(parts), 4).alias("area"))
 
 
 @query("g8_intersects", "SELECT line_id, count(*) AS n FROM flat_lines, boxes WHERE lx0 <= x1 AND lx1 >= x0 AND ly BETWEEN y0 AND y1 GROUP BY line_id")
@@ -190,14 +249,18 @@ def graph_and_tables(t):
     return out.select("u", F.explode("adjacent").alias("e")).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("e.travel_time").alias("seconds"))
 
 
-@query("m8_leg_starts", "SELECT trace_id, matching_idx, waypoint_idx AS leg_idx, x, y FROM tracepoints WHERE matching_idx IS NOT NULL")
+@query(
+    "m8_leg_starts",
+    """SELECT trace_id, matching_idx, waypoint_idx AS leg_idx, x, y, lead(x) OVER o AS next_x, lead(y) OVER o AS next_y, lead(idx) OVER o IS NOT NULL AS has_next FROM tracepoints WHERE matching_idx IS NOT NULL WINDOW o AS (PARTITION BY trace_id ORDER BY idx)""",
+)
 def leg_starts(t):
-    return M.next_points(t.tracepoints).where("matching_idx IS NOT NULL").select("trace_id", "matching_idx", F.col("waypoint_idx").alias("leg_idx"), "x", "y")
+    rows = M.next_points(t.tracepoints).where("matching_idx IS NOT NULL")
+    return rows.select("trace_id", "matching_idx", F.col("waypoint_idx").alias("leg_idx"), "x", "y", "next_x", "next_y", "has_next")
 
 
-@query("m9_joined_segments")
+@query("m9_joined_segments", f"WITH {T.SEGMENTS} SELECT trace_id, matching_idx, leg_idx, count(*) AS n, round(sum(segment_length_m), 2) AS length_m FROM segs GROUP BY trace_id, matching_idx, leg_idx")
 def joined_segments(t):
-    return T.segments(t).groupBy("trace_id", "matching_idx", "leg_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("segment_length_m"), 3).alias("length_m"))
+    return T.segments(t).groupBy("trace_id", "matching_idx", "leg_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("segment_length_m"), 2).alias("length_m"))
 
 
 @query("m11_matches_on_edges", f"WITH {R.EDGE_MATCHES} SELECT u, v, key, route_id, reversed_input, from_mi, to_mi, round(r, 6) AS ratio_covered FROM es")
@@ -215,11 +278,39 @@ def enriched(t):
     return L.enriched(t.lrs_matches, {"f": R.longest(t)}).select("_idx_", F.col("f_federal_class").alias("federal_class"))
 
 
-@query("m16_conflation")
+#: Attributes as the inventory's tables give them to the numbered matches of best and filled routes.
+M_ON = R.ON.replace("a.", "m.").replace("b.event_route_id", "b.event_route_id")
+M_MI = R.MI.replace("a.", "m.")
+M_AT = R.AT.replace("a.", "m.")
+
+
+@query(
+    "m16_conflation",
+    f"""WITH {R.EDGE_MATCHES}, {R.FILLED}, m AS (SELECT row_number() OVER (ORDER BY u, v, key) - 1 AS _idx_, * FROM filled),
+f AS (SELECT DISTINCT ON (_idx_) * FROM (SELECT DISTINCT m._idx_, {M_MI} AS overlap_mi, b.functional_class, d.f AS federal_class FROM m JOIN lrs_events b ON {M_ON} LEFT JOIN class_types c ON b.functional_class = c.type_id
+ LEFT JOIN (VALUES (1, 1), (2, 2), (4, 3), (6, 4), (7, 5), (8, 6), (9, 7)) d(s, f) ON CAST(c.type_functional_class AS INT) % 10 = d.s) ORDER BY _idx_, overlap_mi DESC, functional_class),
+s AS (SELECT DISTINCT ON (_idx_) * FROM (SELECT DISTINCT m._idx_, {M_MI} AS overlap_mi, b.code FROM m JOIN lrs_events b ON {M_ON}) ORDER BY _idx_, overlap_mi DESC, code),
+b AS (SELECT DISTINCT ON (_idx_) * FROM (SELECT DISTINCT m._idx_, i.structure AS bin, i.rating FROM m JOIN lrs_events b ON {M_ON} JOIN structures i ON b.structure = i.structure) ORDER BY _idx_, rating NULLS LAST, bin),
+c AS (SELECT DISTINCT ON (_idx_) * FROM (SELECT DISTINCT m._idx_, i.structure AS cin, i.rating FROM m JOIN culvert_points b ON {M_AT} JOIN structures i ON b.structure = i.structure) ORDER BY _idx_, rating NULLS LAST, cin),
+n AS (SELECT DISTINCT ON (_idx_) * FROM (SELECT DISTINCT ON (_idx_, from_measure) m._idx_, b.from_measure, {M_MI} AS overlap_mi, b.from_date AS aadt FROM m JOIN lrs_events b ON {M_ON} ORDER BY _idx_, from_measure, dd_id, from_date DESC, overlap_mi)
+ ORDER BY _idx_, overlap_mi DESC, from_measure)
+SELECT m.u, m.v, m.key, m.route_id, m.match_type, f.overlap_mi AS fclass_overlap_mi, f.functional_class AS fclass_functional_class, f.federal_class AS fclass_federal_class, s.code AS strategic_code, b.bin AS bridge_bin, b.rating AS bridge_condition_rating,
+ c.cin AS culvert_cin, c.rating AS culvert_condition_rating, n.overlap_mi AS counts_overlap_mi, n.aadt AS counts_aadt FROM m LEFT JOIN f USING (_idx_) LEFT JOIN s USING (_idx_) LEFT JOIN b USING (_idx_) LEFT JOIN c USING (_idx_) LEFT JOIN n USING (_idx_)""",
+)
 def conflation(t):
-    edges = t.match_edges.withColumn("merged_edges", F.array(F.struct("u", "v")))
-    events = t.lrs_events
-    return L.conflate(t.match_rows, edges, {"class": lambda m: L.longest_overlap(L.functional_class(m, events, t.class_types), ties=("functional_class",))})
+    from wayfault.operators.inventory import attribute_pulls
+
+    e, i = t.lrs_events, t.structures.select(F.col("structure").alias("bin"), F.col("rating").alias("ConditionR"))
+    tables = {
+        "fclass": e, "fclass_types": t.class_types, "strategic": e, "domains": t.domains, "domain_entries": t.domain_entries, "bridges": e.withColumnRenamed("structure", "bin"), "bridge_inventory": i,
+        "culverts": t.culvert_points.withColumnRenamed("structure", "cin"), "culvert_inventory": i, "counts": e.withColumn("AADT", F.col("from_date")),
+    }
+    selected = L.numbered_matches(L.fill_reverse(R.best(t), t.match_edges))
+    got = L.enriched(selected, {name: pull(selected) for name, pull in attribute_pulls(tables).items()})
+    return got.select(
+        "u", "v", "key", "route_id", "match_type", "fclass_overlap_mi", "fclass_functional_class", "fclass_federal_class", "strategic_code", "bridge_bin", "bridge_condition_rating", "culvert_cin",
+        "culvert_condition_rating", "counts_overlap_mi", "counts_aadt",
+    )
 
 
 @query("m17_parameterised_join", "SELECT count(*) AS n FROM lrs_matches a JOIN lrs_events b ON a.route_id = b.event_route_id AND b.to_date IS NULL AND b.from_measure >= 30 AND greatest(a.min_from_mi, a.max_to_mi) > least(b.from_measure, b.to_measure) AND least(a.min_from_mi, a.max_to_mi) < greatest(b.from_measure, b.to_measure)")
@@ -227,17 +318,17 @@ def parameterised(t):
     return L.overlap_join(t.lrs_matches, t.lrs_events.where(F.col("from_measure") >= 30)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v4_disjoint", "SELECT count(*) AS n FROM edges")
+@query("v4_disjoint", "SELECT u, v, key, travel_time FROM edges")
 def disjoint(t):
-    return J.checked_union(t.edges.where("u % 2 = 0"), t.edges.where("u % 2 = 1"), ["u", "v", "key"]).agg(F.count(F.lit(1)).alias("n"))
+    return J.checked_union(t.edges.where("u % 2 = 0"), t.edges.where("u % 2 = 1"), ["u", "v", "key"]).select("u", "v", "key", "travel_time")
 
 
-@query("v6_unchanged", "SELECT count(*) AS n FROM edges")
+@query("v6_unchanged", "SELECT u, v, key, travel_time + 1 AS x FROM edges")
 def unchanged(t):
-    return V.require_unchanged(t.edges, t.edges.withColumn("x", F.lit(1)), ["u", "v", "key"]).agg(F.count(F.lit(1)).alias("n"))
+    return V.require_unchanged(t.edges, t.edges.withColumn("x", F.col("travel_time") + 1), ["u", "v", "key"]).select("u", "v", "key", "x")
 
 
-@query("v8_coordinate_system", "SELECT count(*) AS n FROM event_points")
+@query("v8_coordinate_system", "SELECT event_id, x, y FROM event_points")
 def coordinate_system(t):
     rows = V.with_crs(t.event_points.withColumn("p", G.point(F.col("x"), F.col("y"))), "p", "EPSG:4326")
-    return V.require_crs(rows, "p", "EPSG:4326").agg(F.count(F.lit(1)).alias("n"))
+    return V.require_crs(rows, "p", "EPSG:4326").select("event_id", "p.x", "p.y")

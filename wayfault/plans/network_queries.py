@@ -213,23 +213,36 @@ def redundancy(t):
     return info(t).withColumns({c: F.to_json(c) for c in ("base_path_edge_ids", "detour_path_edge_ids")})
 
 
-@query("n9_path_table")
+@query("n9_path_table", "SELECT u, v, key, CAST(i AS INT) AS path_edge_index, u + i AS path_u, v + i AS path_v, key AS path_key FROM edges, range(4) r(i) WHERE i <= u % 4")
 def path_table(t):
+    ids = F.transform(F.sequence(F.lit(0), (F.col("u") % 4).cast("int")), lambda i: F.struct((F.col("u") + i).alias("u"), (F.col("v") + i).alias("v"), F.col("key").alias("key")))
+    return P.path_table(t.edges.select("u", "v", "key", ids.alias("base_path_edge_ids")), "base")
+
+
+@query("n9_redundancy_paths")
+def redundancy_paths(t):
     return P.path_table(info(t), "base")
 
 
-@query("j3_path_geometries")
+@query("j3_path_geometries", "SELECT e.u, e.v, e.key, CAST(i AS INT) AS path_edge_index, p.u AS path_u, p.v AS path_v, p.travel_time, p.length FROM mesh e, range(2) r(i) JOIN mesh p ON p.u = CASE i WHEN 0 THEN e.u ELSE e.v END AND p.v = CASE i WHEN 0 THEN e.v ELSE e.u END AND p.key = e.key")
 def path_geometries(t):
-    return P.path_geometries(P.path_table(info(t), "detour"), t.mesh)
+    """There and back, where there is a way back."""
+    step = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"), F.col("key").alias("key"))
+    there = t.mesh.select("u", "v", "key", F.array(step("u", "v"), step("v", "u")).alias("detour_path_edge_ids"))
+    got = P.path_geometries(P.path_table(there, "detour"), t.mesh)
+    return got.select("u", "v", "key", "path_edge_index", "path_u", "path_v", "travel_time", "length")
 
 
-@query("j4_detours_with_roads", "SELECT u, v, key, travel_time, ref, name FROM edges JOIN (SELECT u, v, key, ref, name FROM edge_tags WHERE u % 2 = 0) USING (u, v, key)")
+@query("j4_detours_with_roads", "SELECT u, v, key, travel_time, ref, name FROM edges JOIN (SELECT u, v, key, ref, name FROM edge_tags) USING (u, v, key)")
 def with_roads(t):
-    return t.edges.join(t.edge_tags.where("u % 2 = 0").select("u", "v", "key", "ref", "name"), ["u", "v", "key"]).select("u", "v", "key", "travel_time", "ref", "name")
+    return t.edges.join(t.edge_tags.select("u", "v", "key", "ref", "name"), ["u", "v", "key"]).select("u", "v", "key", "travel_time", "ref", "name")
 
 
 # -- centrality
-@query("n15_closeness", f"WITH RECURSIVE {DIST}, nodes AS (SELECT DISTINCT u AS node_id FROM edges UNION SELECT v FROM edges), s AS (SELECT node, sum(cost) AS far, count(*) AS reach FROM d WHERE src <> node GROUP BY node) SELECT node_id, round(CASE WHEN far > 0 THEN reach / far * reach / ((SELECT count(*) FROM nodes) - 1) ELSE 0 END, 12) AS closeness_centrality FROM nodes LEFT JOIN s ON node_id = node")
+CLOSENESS = f"WITH RECURSIVE {DIST}, nodes AS (SELECT DISTINCT u AS node_id FROM edges UNION SELECT v FROM edges), s AS (SELECT node, sum(cost) AS far, count(*) AS reach FROM d WHERE src <> node GROUP BY node) SELECT node_id, round(CASE WHEN far > 0 THEN reach / far * reach / ((SELECT count(*) FROM nodes) - 1) ELSE 0 END, 12) AS closeness_centrality FROM nodes LEFT JOIN s ON node_id = node"
+
+
+@query("n15_closeness", CLOSENESS)
 def closeness(t):
     return C.closeness(t.edges, C.path_sums(t.edges)).select("node_id", F.round("closeness_centrality", 12).alias("closeness_centrality"))
 
@@ -249,9 +262,9 @@ def louvain(t):
     return C.communities(t.edges)
 
 
-@query("n18_metric_by_name")
+@query("n18_metric_by_name", CLOSENESS)
 def by_name(t):
-    return C.metric(t.edges, "closeness_centrality")
+    return C.metric(t.edges, "closeness_centrality").select("node_id", F.round("closeness_centrality", 12).alias("closeness_centrality"))
 
 
 @query("n19_metrics_on_edges", "SELECT u, v, key, u * 2 AS m_u, v * 2 AS m_v FROM edges")
@@ -304,3 +317,29 @@ def clipped(t):
 def clipped_boundary(t):
     region = J.polygon_literal([[(100, 200), (400, 200), (400, 700), (100, 700), (100, 200)]])
     return J.clip(t.event_points, region, boundary=True).select("event_id")
+
+
+# -- the same on a larger network, made from the orders: blocks of 25 nodes with streets between them
+adapter(
+    "order_edges",
+    """SELECT u, v, CAST(0 AS BIGINT) AS key, min(tt) AS travel_time FROM (
+       SELECT n AS u, n - n % 25 + (n * 7 + 3) % 25 AS v, 100 + c % 91 AS tt FROM (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS n, o_custkey AS c FROM orders)
+       UNION ALL SELECT n - n % 25 + (n * 3 + 1) % 25, n, 100 + c % 97 FROM (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS n, o_custkey AS c FROM orders)
+       ) WHERE u <> v GROUP BY u, v""",
+)
+
+
+@query("n10_components_of_orders", f"WITH RECURSIVE {COMPONENTS.replace('edges', 'order_edges')} SELECT node_id, component FROM comp")
+def components_of_orders(t):
+    return K.components(C._nodes(t.order_edges), t.order_edges)
+
+
+@query("n15_closeness_of_orders", CLOSENESS.replace("edges", "order_edges"))
+def closeness_of_orders(t):
+    return C.closeness(t.order_edges, C.path_sums(t.order_edges)).select("node_id", F.round("closeness_centrality", 12).alias("closeness_centrality"))
+
+
+@query("n7_shortest_paths_of_orders", f"WITH RECURSIVE {DIST.replace('edges', 'order_edges')} SELECT e.u, e.v, CAST(d.cost AS DOUBLE) AS cost FROM order_edges e JOIN d ON d.src = e.v AND d.node = e.u")
+def shortest_of_orders(t):
+    q = t.order_edges.select("u", "v", F.concat_ws(">", "u", "v").alias("query"), F.col("v").alias("origin"), F.col("u").alias("destination"))
+    return P.shortest_paths(t.order_edges, q).join(q, "query").select("u", "v", "cost")

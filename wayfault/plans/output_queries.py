@@ -44,14 +44,49 @@ def total_length(t):
     return simple(t).agg(F.sum("length").alias("length"), F.sum(F.size("merged_edges")).alias("n"))
 
 
-@query("n2_alignment", "SELECT CAST(1 AS BIGINT) AS u, CAST(2 AS BIGINT) AS v, CAST(0 AS BIGINT) AS key, '' AS problem WHERE false")
+#: Edges with planted faults, by the remainder of u.
+@query(
+    "n2_alignment",
+    """SELECT u, v, key, problem FROM edges JOIN (VALUES (1, 'no base edges'), (1, 'number of vertices'), (1, 'vertex is not at its node'), (2, 'ends differ'), (2, 'vertex is not at its node'), (3, 'broken chain'), (4, 'number of vertices')) f(kind, problem) ON u % 5 = kind""",
+)
 def alignment(t):
-    return N.alignment_violations(simple(t), base_nodes(t))
+    e = t.edges.select("u", "v", "key", (F.col("u") % 5).alias("kind"))
+    pair = lambda a, b: F.struct(a.cast("long").alias("u"), b.cast("long").alias("v"))
+    u, v, far = F.col("u"), F.col("v"), F.lit(10**9)
+    at = lambda n: F.struct((n % 977).cast("double").alias("x"), (n + 0.5).cast("double").alias("y"))
+    chain = F.when(F.col("kind") == 1, F.array().cast("array<struct<u:bigint,v:bigint>>")).when(F.col("kind") == 2, F.array(pair(v, u))).when(F.col("kind") == 3, F.array(pair(u, far), pair(far + 1, v))).otherwise(F.array(pair(u, v)))
+    line = F.when(F.col("kind") == 3, F.array(at(u), at(far), at(v))).when(F.col("kind") == 4, F.array(at(u), at(v), at(v))).otherwise(F.array(at(u), at(v)))
+    nodes = e.select(u.alias("node_id")).union(e.select("v")).union(t.spark.range(10**9, 10**9 + 1)).distinct().select("node_id", at(F.col("node_id")).alias("p")).select("node_id", "p.x", "p.y")
+    return N.alignment_violations(e.select("u", "v", "key", chain.alias("merged_edges"), line.alias("geometry")), nodes)
+
+
+# -- ways of one to four base edges, two to a way; beside every fifth pair a bridge of another way
+adapter("chain_items", "SELECT u, v, key, i, 1 + (u + v) % 4 AS n, u * 1000 + v * 10 + CAST(floor(i / 2) AS BIGINT) AS osmid FROM mesh JOIN (SELECT CAST(r_regionkey AS BIGINT) AS i FROM region) ON i < 1 + (u + v) % 4")
+WAY_TAGS = """CASE osmid % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'No' WHEN 2 THEN 'no' WHEN 3 THEN 'Viaduct' ELSE NULL END AS bridge, CASE osmid % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'culvert' ELSE NULL END AS tunnel"""
+adapter(
+    "way_items",
+    f"""SELECT u, v, key, i, n, u * 100000 + v * 100 + i AS mu, u * 100000 + v * 100 + i + 1 AS mv, osmid, {WAY_TAGS} FROM chain_items
+UNION ALL SELECT u, v, key, i, n, u * 100000 + v * 100 + i, u * 100000 + v * 100 + i + 1, osmid + 100000000, 'yes', NULL FROM chain_items WHERE osmid % 5 = 4 AND i = 1""",
+)
 
 
-@query("n3_way_slices")
+@query(
+    "n3_way_slices",
+    """WITH b AS (SELECT u, v, key, i, n, mu, mv, arg_max(osmid, CASE WHEN lower(bridge) <> 'no' THEN 1 ELSE 0 END) AS osmid, max(CASE WHEN lower(bridge) <> 'no' THEN bridge END) AS bridge,
+ arg_max(CASE WHEN lower(tunnel) = 'yes' THEN 'yes' ELSE '' END, CASE WHEN lower(bridge) <> 'no' THEN 1 ELSE 0 END) AS tunnel FROM way_items GROUP BY u, v, key, i, n, mu, mv),
+r AS (SELECT *, sum(CASE WHEN osmid = p THEN 0 ELSE 1 END) OVER (PARTITION BY u, v, key ORDER BY i) AS run FROM (SELECT *, lag(osmid) OVER (PARTITION BY u, v, key ORDER BY i) AS p FROM b))
+SELECT u, v, key, osmid, CAST(min(i) AS INT) AS start_coord_idx, CAST(max(i) + 1 AS INT) AS end_coord_idx, round(min(i) / n, 9) AS start_ratio, round((max(i) + 1) / n, 9) AS end_ratio, any_value(bridge) AS bridge_tag, nullif(any_value(tunnel), '') AS tunnel_tag,
+ string_agg('' || mu, ',' ORDER BY i) || ',' || max(mv) AS osm_nodes FROM r GROUP BY u, v, key, osmid, run, n""",
+)
 def way_slices(t):
-    return N.way_slices(simple(t), t.base_edges).select("u", "v", "key", F.size("coord_idx").alias("n_vertices"), F.to_json("way_along").alias("way_along"))
+    rows = t.way_items
+    pair = F.struct("i", F.col("mu").alias("u"), F.col("mv").alias("v"))
+    edges = rows.groupBy("u", "v", "key").agg(F.array_sort(F.collect_set(pair)).alias("c"), F.collect_set("osmid").alias("osmid"), F.max("n").cast("double").alias("length"))
+    geometry = F.transform(F.sequence(F.lit(0), F.col("length").cast("int")), lambda i: G.point(i, F.lit(0)))
+    edges = edges.select("u", "v", "key", "osmid", (F.col("length") * 10).alias("length"), F.transform("c", lambda p: F.struct(p["u"].alias("u"), p["v"].alias("v"))).alias("merged_edges"), geometry.alias("geometry"))
+    base = rows.select(F.col("mu").alias("u"), F.col("mv").alias("v"), "osmid", F.lit(10.0).alias("length"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("name"), "bridge", "tunnel")
+    s = N.way_slices(edges, base).select("u", "v", "key", F.explode("way_along").alias("w"))
+    return s.select("u", "v", "key", "w.osmid", "w.start_coord_idx", "w.end_coord_idx", F.round("w.start_ratio_along", 9).alias("start_ratio"), F.round("w.end_ratio_along", 9).alias("end_ratio"), "w.bridge_tag", "w.tunnel_tag", F.array_join("w.osm_nodes", ",").alias("osm_nodes"))
 
 
 @query("n9_base_edges_of_edges", "SELECT u, v, CAST(key AS BIGINT) AS key FROM base_edges")
@@ -163,9 +198,9 @@ def csv(t):
     return K.csv_lines(fused(t).select("u", "v", "key", "redundancy_difference_sec", "flood_nonfunctional_reason"))
 
 
-@query("j18_geometry_join", "SELECT e.u, e.v, e.key, e.length, n.travel_time FROM edges e JOIN (SELECT * FROM edges WHERE u % 2 = 1) n USING (u, v, key)")
+@query("j18_geometry_join", "SELECT e.u, e.v, e.key, e.length, n.travel_time FROM edges e JOIN edges n USING (u, v, key)")
 def geometry_join(t):
-    return t.edges.select("u", "v", "key", "length").join(t.edges.where("u % 2 = 1").select("u", "v", "key", "travel_time"), ["u", "v", "key"])
+    return t.edges.select("u", "v", "key", "length").join(t.edges.select("u", "v", "key", "travel_time"), ["u", "v", "key"])
 
 
 @query("j5_path_lookup", "SELECT pos, u, v, travel_time FROM (SELECT row_number() OVER (ORDER BY u, v) - 1 AS pos, u, v, travel_time FROM edges)")

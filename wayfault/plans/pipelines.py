@@ -14,6 +14,7 @@ from wayfault.functions import geometry as G
 from wayfault.functions import scalars as S
 from wayfault.operators import centrality, flood, fusion, intervals, paths, simplify, spans, spatial_join
 from wayfault.operators import linear_reference as lrs
+from wayfault.operators.inventory import attribute_pulls
 from wayfault.operators.scratch import cut
 from wayfault.operators.validation import require_key, require_unchanged
 from wayfault.sources import readers
@@ -89,10 +90,36 @@ def network_centrality(network: Network) -> tuple[DataFrame, DataFrame]:
     return nodes, centrality.on_edges(centrality.edge_betweenness(edges, sums), nodes)
 
 
+def event_layers(network: Network, events: DataFrame, lon0: float, lat0: float, limit: float = PAIRING) -> dict[str, DataFrame]:
+    """The layers of the event analysis: roads with hours (main output), and for quality checks the pairs, both kinds of spans, and events with how they were paired."""
+    keys = [*EDGE, "span_idx"]
+    flat = lambda df: df.select(*keys, G.project_line(F.col("geometry"), lon0, lat0).alias("line"))
+    surface, bridges = cut(spans.nonbridge_spans(network.edges)), cut(spans.bridge_spans(network.edges))
+    p = G.laea(F.col("x"), F.col("y"), lon0, lat0)
+    points = events.select("event_id", p.alias("_p")).select("event_id", "_p.x", "_p.y")
+    pairs = cut(spatial_join.two_pass_pairs(flat(surface), flat(bridges), points, limit, keys, ["event_id"]))
+    hours = intervals.hours_by_category(intervals.collected_events(pairs.select(*EDGE, "event_id").distinct(), events))
+    roads = network.edges.select(*EDGE, "geometry").join(hours, EDGE)
+    back = pairs.withColumn("shortest_line", G.unproject_line(F.col("shortest_line"), lon0, lat0))
+    return {
+        "roads_with_hours": roads, "road_span_and_event_pairs": back, "nonbridge_spans": surface, "bridge_spans": bridges,
+        "events": spatial_join.pairing_summary(events, pairs, "event_id"),
+    }
+
+
 def conflation(network: Network, match_rows: DataFrame, inventory: dict[str, DataFrame]) -> DataFrame:
-    """Edges with the route that matches best and the attributes of each inventory table (``event_route_id, from_measure, to_measure, to_date``, …)."""
-    pulls = {name: (lambda m, e=events: lrs.longest_overlap(lrs.overlap_join(m, e).select("_idx_", "overlap_mi", *[c for c in e.columns if c not in ("event_route_id", "to_date")]).distinct(), ties=("from_measure", "to_measure"))) for name, events in inventory.items()}
-    return require_key(lrs.conflate(match_rows, network.edges, pulls), EDGE)
+    """Edges with the route that matches best and the attributes of the inventory's tables (as ``inventory.attribute_pulls`` names them)."""
+    return require_key(lrs.conflate(match_rows, network.edges, attribute_pulls(inventory)), EDGE)
+
+
+def conflation_layers(network: Network, routes: DataFrame, conflated: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The layers of conflation: edges with attributes (main output), and for quality checks all edges, all routes (``route_id``) and the unmatched ones; and the matching rate."""
+    matched = conflated.select("route_id").distinct()
+    layers = {
+        "edges_with_attributes": network.edges.select(*EDGE, "geometry").join(conflated, EDGE), "all_edges": network.edges, "all_routes": routes,
+        "unmatched_routes": routes.join(matched, "route_id", "left_anti"),
+    }
+    return layers, lrs.matching_rate(routes.join(matched, "route_id", "left_semi"), routes, ["route_id"])
 
 
 def fused(network: Network, parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -297,10 +297,10 @@ def orphans(t):
     return V.foreign_key_violations(t.orders, t.customer.where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])
 
 
-@query("a16_fingerprint", "SELECT count(*) AS n, count(DISTINCT (u, v, key)) = count(*) AS is_key FROM edges")
+@query("a16_fingerprint", "SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(u || chr(31) || v || chr(31) || key), 1, 12) AS BIGINT)) AS VARCHAR) AS hash FROM edges")
 def fingerprints(t):
     V.require_unchanged(t.edges, t.edges.orderBy(F.desc("u")), ["u", "v", "key"])
-    return V.fingerprint(t.edges, ["u", "v", "key"]).select("n", F.lit(True).alias("is_key"))
+    return V.fingerprint(t.edges, ["u", "v", "key"])
 
 
 @query("v5_domain", "SELECT DISTINCT event_type FROM events")
