@@ -208,6 +208,26 @@ def test_bpe_chunks(spark):
     assert encoder.hits > 100 and encoder.repairs > 100
 
 
+def test_bpe_encodes_shared_chunks_once(spark):
+    """Passages shared by documents of many tasks, one of them without white space; ids against the library."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    prose = " ".join(word() for _ in range(3000))
+    glyphs = "".join("\u3002" if rng.random() < 0.06 else chr(0x4E00 + rng.randrange(5000)) for _ in range(20_000))
+    rows = [(i, " ".join(word() for _ in range(40)) + " " + (prose if i % 2 else "\u3002" + glyphs) + " " + word()) for i in range(24)]
+    got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)).collect()
+    want = dict(zip([i for i, _ in rows], brute.token_digests(t for _, t in rows), strict=True))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+    assert sum(r.n_reused for r in got) > 0.8 * sum(r.n_chunks for r in got)
+    assert all(r.n_reused >= 0.5 * r.n_chunks for r in got)  # of documents that are alone in their task too
+
+
+@pytest.mark.parametrize("text", ["\u4e00" * 200_000, "a\u3002b\u3002's\u3001 x\uff0c1\uff01\u300d" * 9000, "x" * 150_000 + " y", "\u3002\n\u3002 " * 30_000])
+def test_bpe_without_certain_places(text):
+    encoder = bpe.ChunkEncoder(load(default_path()))
+    assert encoder.encode(text.encode()).tolist() == brute.tokenizer().encode(text, add_special_tokens=False).ids
+
+
 def test_quality_rules(docs, empty, spark):
     labels = spark.createDataFrame([(1, None), (None, 0), (2, 1), (2, 0), (11, 1)], "doc_id long, quality int")
     rules = quality_rules.fit(docs, labels)
@@ -315,6 +335,20 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_url_filter_with_many_rules(spark, monkeypatch):
+    """More rules' hosts than may be listed meet the urls in a join; hosts with very many labels."""
+    rng = random.Random(3)
+    rules = list({(f"h{rng.randrange(40)}.com", rng.choice(["", "/", "/a", "/a/"])): rng.choice(["allow", "block"]) for _ in range(80)}.items())
+    urls = [(i, f"s://{rng.choice(['', 'w.', 'x.' * 3000])}h{rng.randrange(60)}.{rng.choice(['com', 'org'])}/{rng.choice(['', 'a', 'a/b', 'b'])}") for i in range(300)]
+    pages, table = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([(h, p, v) for (h, p), v in rules], "host string, path string, verdict string")
+    want = {i: brute.judge_url(u, [(h, p, v) for (h, p), v in rules]) for i, u in urls}
+    few = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, table).collect()}
+    monkeypatch.setattr(url_filter, "FEW", 5)
+    monkeypatch.setattr(url_filter, "ROWS", 3)
+    many = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, table).collect()}
+    assert few == many == want
+
+
 def test_url_filter_random_rules(spark):
     rng = random.Random(9)
     hosts = ["com", "a.com", "b.a.com", "org", "a.org", "com.org"]
@@ -359,7 +393,7 @@ def test_sharding_of_a_table_united_with_itself(spark):
 def test_line_dedup(spark):
     menu = ["Home | About", "  (c) site  "]
     rows = [(i, "a.com", "\n".join([menu[0], f"body {i}", "", menu[1] if i % 2 else "other", f"x{i}"])) for i in range(10)]
-    rows += [(20, "b.com", "Home | About"), (21, "", "Home | About"), (22, None, "Home | About"), (23, "a.com", None), (24, "a.com", ""), (0, "a.com", rows[0][2])]
+    rows += [(20, "b.com", "Home | About"), (30, "c.com", "Home | About\nbody"), (31, "c.com", "Home | About\nother body"), (21, "", "Home | About"), (22, None, "Home | About"), (23, "a.com", None), (24, "a.com", ""), (0, "a.com", rows[0][2])]
     df = spark.createDataFrame([(*r, "c", "c", "c") for r in rows], "page_id long, host string, text string, lines string, total string, key string")
     got = Counter((r.page_id, r.host, r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_boilerplate(df).collect())
     by_host, want = defaultdict(list), Counter()
@@ -367,15 +401,25 @@ def test_line_dedup(spark):
         by_host[h or ""].append({x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")} - {""})
     for i, h, t in rows:
         pages = by_host[h or ""]
-        bad = {x for p in pages for x in p if h and len(pages) >= 5 and sum(x in q for q in pages) > 0.3 * len(pages)}
+        count = {x: sum(x in q for q in pages) for p in pages for x in p}
+        bad = {x for x, n in count.items() if h and n >= 2 and n > 0.3 * len(pages)}
         lines = (t or "").split("\n")
         full = [x for x in lines if x.strip()]
         kept = [x for x in lines if not x.strip() or x.strip() not in bad]
         want[i, h or "", len(full), len(lines) - len(kept), t if t is None else "\n".join(kept)] += 1
-    assert got == want
+    assert got == want and got[20, "b.com", 1, 0, "Home | About"] == 1 and got[30, "c.com", 2, 1, "body"] == 1  # a site of one page, and one of two
     assert line_dedup.drop_boilerplate(df.limit(0)).collect() == []
 
 
+def test_line_dedup_of_hot_hosts(spark, monkeypatch):
+    """Lists of hot hosts that may not be broadcast are repeated for classes of pages."""
+    rows = [(i, f"{'hot' if i % 3 else 'other'}.com", "\n".join(["menu", f"x{i}", f"y{i // 3}"])) for i in range(3600)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string")
+    plain = sorted(map(tuple, line_dedup.drop_boilerplate(df).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST", 0)
+    assert sorted(map(tuple, line_dedup.drop_boilerplate(df).collect())) == plain and all(r[3] == 1 for r in plain)
+
+
 def test_pipeline(spark):
     """Every stage on its predecessor's rows, against brute force, and clean documents stay."""
     sf = "/root/testdata/sf0.01"

@@ -71,6 +71,20 @@ def test_many_runs_and_ranges(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in merged.collect()] == sorted(all_, key=warc.sort_key)
 
 
+def test_revisits_name_their_response(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    rows = [(i, f"http://h{i}.com/", "same " * 300 if i % 2 else f"own {i} " * 300, None, None) for i in range(9)]
+    heads = {}
+    for r in history(spark, rows, folder):
+        with storage.reader(folder, r.archive) as f:
+            f.seek(r.offset)
+            ((_, _, content),) = list(warc.members(__import__("io").BytesIO(f.read(r.length))))
+        heads[r.page_id] = warc.parse(content)[0]
+    assert heads[7]["WARC-Type"] == "response"
+    for i in (1, 3, 5):
+        assert heads[i]["WARC-Refers-To"] == heads[7]["WARC-Record-ID"] and heads[i]["WARC-Refers-To-Target-URI"] == "http://h7.com/" and heads[i]["WARC-Refers-To-Date"] == heads[7]["WARC-Date"]
+
+
 def test_empty(spark):
     assert history(spark, []) == []
 

@@ -53,6 +53,29 @@ def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 
 
+#: Rows of a written table are numbered by ``monotonically_increasing_id``: the upper bits are the task that wrote them, a *part*.
+PART_BITS = 33
+
+
+def numbered_rows(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with ``row``, a number of its own for each row, written so that every later pass sees the same numbers."""
+    return materialise(df.withColumn("row", F.monotonically_increasing_id()), label)
+
+
+def part_of(row: str | Column) -> Column:
+    return F.shiftrightunsigned(row, PART_BITS)
+
+
+def by_part(df: DataFrame, label: str, *order: str) -> str:
+    """Write a table with ``part``, a folder for each part; the path.  A task that reads a part's rows reads what belongs to them with ``storage.read_part``.
+
+    So decisions about rows come to the rows, and the rows, which hold the texts, are never shuffled.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.repartition("part").sortWithinPartitions("part", *order).write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return path
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 

@@ -105,8 +105,8 @@ WITH p AS (SELECT page_id, translate(regexp_extract(CASE WHEN position('://' IN
 l AS (SELECT page_id, host, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
       FROM (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM p)),
 t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
-b AS (SELECT host, bare FROM (SELECT DISTINCT page_id, host, bare FROM l WHERE bare <> '') JOIN t USING (host) WHERE host <> '' AND total >= 5
-      GROUP BY host, bare, total HAVING count(*) > 0.3 * total),
+b AS (SELECT host, bare FROM (SELECT DISTINCT page_id, host, bare FROM l WHERE bare <> '') JOIN t USING (host) WHERE host <> ''
+      GROUP BY host, bare, total HAVING count(*) >= 2 AND count(*) > 0.3 * total),
 k AS (SELECT l.page_id, count(*) FILTER (l.bare <> '') AS n_lines, count(*) FILTER (b.bare IS NOT NULL) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (b.bare IS NULL) AS text
       FROM l LEFT JOIN b ON l.host = b.host AND l.bare = b.bare GROUP BY l.page_id)
 SELECT p.page_id, p.host, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, CASE WHEN k.page_id IS NULL THEN p.text ELSE coalesce(k.text, '') END AS text

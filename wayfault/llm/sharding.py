@@ -24,7 +24,7 @@ from wayfault.llm.common import id_and_text, lookup, materialise
 
 SHARDS = 24
 ROUNDS = 8
-BLOCK_BITS = 10  # rows of a task are ranked in blocks of 1024
+BLOCK_BITS = 8  # rows of a task are ranked in blocks of 256
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:

@@ -50,7 +50,7 @@ class ByteBpe:
             and all(vocab.get(a + b, -1) == 256 + i for i, (a, b) in enumerate(merges))
             and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
         )
-        self._fast = self._slow = None
+        self.plain, self._fast, self._slow = plain, None, None
         if plain:
             import tiktoken
 

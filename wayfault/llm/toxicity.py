@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,7 @@ BATCH = 256
 MIN_STEPS = 800
 BLOCK = 2048  # windows scored at once
 CACHE_WORDS = 60_000
+KNOWN = 50_000  # texts whose scores a task remembers
 FOLDS = 5
 SMOOTHING = 3
 MIN_ROWS = 3
@@ -449,10 +451,14 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer, known = Scorer(shared.value), {}
         for batch in batches:
-            scores = scorer.score(as_bytes(batch.column(at).cast(pa.string())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "_wf_score"])
+            texts = as_bytes(batch.column(at).cast(pa.string()))
+            keys = [xxhash.xxh3_128_digest(t) for t in texts]
+            fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+            found = known | dict(zip(fresh, scorer.score(list(fresh.values())).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([found[k] for k in keys], pa.float64())], [*batch.schema.names, "_wf_score"])
+            known = found if len(found) <= KNOWN else {}
 
     return map_arrow(docs, run, T.StructType([*nullable(docs.schema).fields, T.StructField("_wf_score", T.DoubleType())]))
 

@@ -10,8 +10,8 @@ each task merges its interval of all runs through a loser tree, holding one batc
 runs, groups of them are first merged into longer runs.  The partitions of the result, one after the
 other, are the globally ordered capture history.
 
-Moved in shuffles: digests; payloads only if the groups of equal payloads are too many for Spark to broadcast, and then those
-of large groups are spread.
+Captures are written with row numbers first.  Moved in shuffles: digests and what is decided on them; payloads never are, as decisions are written by the part of the
+captures that they are about, and the task that reads a part reads its decisions.
 
 Defined results: a null payload is empty; a null url has no target and an empty key; a capture without an id is written, ranks below
 others, and is referred to by no id; of repeated rows one is the response; an empty table gives no archives and no rows; other columns are
@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfault.llm import storage
-from wayfault.llm.common import HOT_SHARE, as_bytes, map_arrow, materialise, scratch_path
+from wayfault.llm.common import PART_BITS, as_bytes, by_part, lookup, map_arrow, materialise, numbered_rows, part_of, place, positional, scratch_path
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 1 << 30
@@ -54,19 +55,27 @@ def header_value(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(kind: str, page_id: int | None, url: str | None, when: datetime, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, url: str | None, when: datetime, digest: bytes) -> str:
+    name = hashlib.sha1(repr((page_id, url, when)).encode() + digest).hexdigest()
+    return f"<urn:uuid:{name[:8]}-{name[8:12]}-5{name[13:16]}-a{name[17:20]}-{name[20:32]}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, when: datetime, payload: bytes, digest: bytes, refers_to: int | None = None, refers_url: str | None = None, refers_when: datetime | None = None) -> bytes:
     """A WARC/1.1 record; a revisit keeps the HTTP head only, whose Content-Length is that of the full payload."""
+    stamp = lambda t: t.strftime("%Y-%m-%dT%H:%M:%SZ")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if kind == "response":
         block += payload
-    name = hashlib.sha1(repr((page_id, url, when)).encode() + digest).hexdigest()
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{name[:8]}-{name[8:12]}-5{name[13:16]}-a{name[17:20]}-{name[20:32]}>",
-        "WARC-Date": when.strftime("%Y-%m-%dT%H:%M:%SZ"),
+        "WARC-Record-ID": record_id(page_id, url, when, digest),
+        "WARC-Date": stamp(when),
         "WARC-Target-URI": None if url is None else header_value(url),
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(digest).decode(),
         "WARC-Profile": PROFILE if kind == "revisit" else None,
+        "WARC-Refers-To": record_id(refers_to, refers_url, refers_when, digest) if refers_when else None,
+        "WARC-Refers-To-Target-URI": None if refers_url is None else header_value(refers_url),
+        "WARC-Refers-To-Date": stamp(refers_when) if refers_when else None,
         "Capture-Id": page_id,
         "Refers-To-Capture-Id": refers_to,
         "Content-Type": "application/http; msgtype=response",
@@ -109,44 +118,50 @@ def parse(content: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 # -- writing
-def with_responses(captures: DataFrame) -> DataFrame:
-    """The captures and, for those of equal payloads, ``response_row, response_id``: which one is the response."""
+def revisits(captures: DataFrame) -> DataFrame:
+    """``part, row, response_id, response_url, response_seconds`` of the captures whose payload another one of the same payload is the response of.
+
+    Payloads are told apart by SHA-256, whatever digest the records carry.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = captures.withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(payload))
-    groups = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
-    equal = materialise(groups.where("n > 1").select(F.col("digest").alias("equal"), F.col("best.page_id").alias("response_id"), F.col("best.row").alias("response_row"), "n"), "equal")
-    total = equal.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = F.col("n") >= max(1000, total * HOT_SHARE)  # at most 256 groups
-    few = equal.where(large).select(F.col("equal").alias("hot"), F.col("response_id").alias("hot_id"), F.col("response_row").alias("hot_row"))
-    out = rows.join(F.broadcast(few), (F.col("digest") == F.col("hot")) & (F.col("size") >= MIN_REVISIT), "left")
-    spread = F.when(F.col("hot").isNotNull() | (F.col("size") < MIN_REVISIT), F.concat(F.lit("-"), F.col("row").cast("string"))).otherwise(F.col("digest"))
-    out = out.withColumn("at", spread).join(equal.where(~large), F.col("at") == F.col("equal"), "left")
-    return out.select("page_id", "url", "html", "seconds", "row", F.coalesce("hot_row", "response_row").alias("response_row"), F.coalesce("hot_id", "response_id").alias("response_id"))
+    keys = captures.where(F.octet_length(payload) >= MIN_REVISIT).select("row", F.unhex(F.sha2(payload, 256)).alias("digest"), "page_id", "url", "seconds")
+    keys = materialise(keys, "digests")
+    best = keys.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = materialise(best.select("digest", F.col("best.row").alias("response_row"), "n"), "equal")
+    chosen = keys.join(best.select(F.col("response_row").alias("row")), "row", "left_semi")
+    told = chosen.select("digest", F.col("row").alias("response_row"), F.col("page_id").alias("response_id"), F.col("url").alias("response_url"), F.col("seconds").alias("response_seconds"))
+    told = materialise(told.join(best.select("digest", "n"), "digest"), "responses")
+    found = lookup(keys.select("digest", "row"), told, "digest", "n", keys.count()).where("row <> response_row")
+    return found.select(part_of("row").alias("part"), "row", "response_id", "response_url", "response_seconds")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None) -> DataFrame:
     """Write the archives to ``folder``; ``archive, records`` of each.
 
     ``time_col``: seconds since 1970 of each capture; without it a capture's time is its id in seconds after the year 2000 began.
+    Captures are written with row numbers first; which of them are revisits is decided on digests and brought to the tasks that write them.
     """
-    when = F.col(time_col).cast("long") if time_col else F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(10**9))
-    captures = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), when.alias("seconds"))
-    captures = captures.withColumn("row", F.xxhash64("page_id", "url", "html", F.monotonically_increasing_id()))
-    joined = with_responses(captures)
+    own = positional(pages)
+    col = lambda c: F.col(place(pages, c))
+    when = col(time_col).cast("long") if time_col else F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce(col(id_col).cast("long"), F.lit(0)), F.lit(10**9))
+    captures = own.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), col(html_col).cast("string").alias("html"), when.alias("seconds"))
+    captures = numbered_rows(captures, "captures")
+    decided = by_part(revisits(captures), "revisits", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         out, name, size, count, number = None, "", 0, 0, 0
         done: list[tuple[str, int]] = []
+        at_hand = Revisits(decided)
         for batch in batches:
-            column = {n: batch.column(i).to_pylist() for i, n in enumerate(["page_id", "url", None, "seconds", "row", "response_row", "response_id"]) if n}
+            column = {n: batch.column(i).to_pylist() for i, n in enumerate(["page_id", "url", None, "seconds", "row"]) if n}
             for i, payload in enumerate(as_bytes(batch.column(2))):
                 if out is None:
                     name = f"capture-{task.partitionId():06d}-{task.taskAttemptId():08d}-{number:04d}.warc.gz"
                     out, size, count, number = storage.writer(folder, name), 0, 0, number + 1
-                page, response = column["page_id"][i], column["response_row"][i]
-                revisit = response is not None and response != column["row"][i]
-                made = record("revisit" if revisit else "response", page, column["url"][i], datetime.fromtimestamp(column["seconds"][i] or 0, UTC), payload, hashlib.sha1(payload).digest(), column["response_id"][i] if revisit else None)
+                found = at_hand.of(column["row"][i])
+                when = datetime.fromtimestamp(column["seconds"][i] or 0, UTC)
+                made = record("response" if found is None else "revisit", column["page_id"][i], column["url"][i], when, payload, hashlib.sha1(payload).digest(), *(found or ()))
                 pack = zlib.compressobj(1, zlib.DEFLATED, 31)
                 member = pack.compress(made) + pack.flush()
                 out.write(member)
@@ -160,7 +175,26 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             done.append((name, count))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["archive", "records"])
 
-    return materialise(map_arrow(joined, run, "archive string, records long"), "archives")
+    return materialise(map_arrow(captures.select("page_id", "url", "html", "seconds", "row"), run, "archive string, records long"), "archives")
+
+
+class Revisits:
+    """The decisions for the rows that a task reads, one part of the captures at a time; three numbers and a url a revisit."""
+
+    def __init__(self, folder: str):
+        self.folder, self.part = folder, None
+
+    def of(self, row: int) -> tuple | None:
+        """Id, url and time of the response of a revisit; None for a response."""
+        if row >> PART_BITS != self.part:
+            self.part = row >> PART_BITS
+            self.table = storage.read_part(self.folder, self.part)
+            self.rows = np.zeros(0, np.int64) if self.table is None else self.table.column("row").to_numpy()
+        at = int(np.searchsorted(self.rows, row))
+        if at == len(self.rows) or self.rows[at] != row:
+            return None
+        page, url, seconds = (self.table.column(c)[at].as_py() for c in ("response_id", "response_url", "response_seconds"))
+        return page, url, datetime.fromtimestamp(seconds or 0, UTC)
 
 
 # -- indexing
