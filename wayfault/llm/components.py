@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Edges are first contracted inside each partition (a local union-find over a bounded block), so few
-rounds remain.  Every round is written to the shared folder; nothing but two numbers reaches the driver.  The centre of a large star has a large share of
+rounds remain, and none where all that is left is one such block.  Every round is written to the shared folder; nothing but two numbers reaches the driver.  The centre of a large star has a large share of
 the edges, so smallest neighbours come by ``lookup``.
 """
 
@@ -62,6 +62,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``u, root`` for every node of ``edges`` (columns ``u, v``, longs) that is not its component's smallest."""
     edges = edges.where("u is not null and v is not null and u <> v")
     stars = materialise(map_arrow(edges.select("u", "v"), _contract, "u long, v long", 50_000).distinct(), "stars")
+    if stars.count() <= BLOCK:  # no more than a task contracts at once in any case
+        whole = map_arrow(stars.select("u", "v").coalesce(1), _contract, "u long, root long", 50_000)
+        return materialise(whole.toDF("u", "root"), "stars")
     before = None
     while True:
         print_ = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

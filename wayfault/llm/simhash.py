@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfault.llm.common import as_bytes, drop_ids, id_and_text, lookup, map_arrow, materialise
+from wayfault.llm.common import as_bytes, drop_ids, id_and_text, lookup, map_arrow, materialise, materialise_dealt
 from wayfault.llm.components import components, components_named, roots
 
 SEED = 42
@@ -208,7 +208,7 @@ def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "fp")
 
-    first = materialise(map_arrow(dealt(variants(fps)), _link(False, bits), schema, LINK_ROWS), "links")
+    first = materialise_dealt(map_arrow(dealt(variants(fps)), _link(False, bits), schema, LINK_ROWS), "links")
     deferred = first.where("deferred").select("bucket", F.col("u").alias("fp"))
     second = map_arrow(dealt(sub_variants(deferred)), _link(True, bits), schema, LINK_ROWS)
     return first.where("not deferred").select("u", "v").unionByName(second.select("u", "v")).distinct()
