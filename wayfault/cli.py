@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+from wayfault.operators.scratch import scope
 from wayfault.plans import catalogue, pipelines, registry  # noqa: F401
 from wayfault.session import session
 from wayfault.sources.sinks import write_layers
@@ -51,7 +52,7 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--out", help="folder for Parquet; without it the first rows are shown")
     args = parser.parse_args(argv)
     spark = session("wayfault")
-    with timer(args.name):
+    with timer(args.name), scope(spark):
         made = {args.name: registry.QUERIES[args.name](spark, args.folder)} if args.kind == "query" else layers(spark, args.name, args.folder)
         if args.out:
             write_layers(made, args.out)
