@@ -10,7 +10,8 @@ longest that fits.
 
 Urls none of whose suffixes has a rule never enter the sweep: the suffixes of up to ``FEW`` rules' hosts, a number that is counted first, are tested in
 place; more of them are met in a join.  The sweep runs apart for each reversed suffix, as no interval reaches beyond its own, and for each of as many classes of rows as
-the suffix has blocks of ``ROWS`` points, with the suffix's rules repeated in each, so that neither a suffix nor a url shared by all rows is one task's work.
+the suffix has blocks of ``ROWS`` points, with the suffix's rules repeated in each, so that neither a suffix nor a url shared by all rows is one task's work.  A block has at
+least ``PER_RULE`` points for each of the suffix's rules, so repeating them adds little.
 
 Defined results: a null url or one without ``://`` has an empty host and path, which no rule fits; rows without an id and repeated rows
 are judged like others; a rule with a null host or path is ignored; of rules with equal host and path a block wins;
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from wayfault.llm.common import lower_ascii, place, positional
 
-ROWS = 100_000
+ROWS = 1000
+PER_RULE = 16
 FEW = 10_000
 SPREAD = 1 << 16
 DEFAULT = "allow"
@@ -86,7 +88,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     base = own.select(F.col(place(pages, id_col)).cast("long").alias("page_id"), F.col(place(pages, url_col)).cast("string").alias("url"))
     rows = base.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     stacks = rule_stacks(rules)
-    known = stacks.select("suffix").distinct()
+    known = stacks.groupBy("suffix").agg(F.count(F.lit(1)).alias("rules"))
     n_known, most = known.agg(F.count(F.lit(1)), F.max(F.size(F.split("suffix", r"\.")))).first()
     without = [F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")]
     if not n_known:
@@ -98,7 +100,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rows = rows.withColumn("near", near).withColumn("row", F.monotonically_increasing_id())
     points = rows.where(F.size("near") > 0).select("row", "page_id", "host", "path", F.explode("near").alias("suffix"))
     counted = points.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
-    classes = known.join(counted, "suffix", "left").select("suffix", F.greatest(F.lit(salts), F.ceil(F.coalesce("n", F.lit(0)) / ROWS)).cast("int").alias("classes"))
+    classes = known.join(counted, "suffix", "left").select("suffix", F.greatest(F.lit(salts), F.ceil(F.coalesce("n", F.lit(0)) / F.greatest(F.lit(ROWS), F.col("rules") * PER_RULE))).cast("int").alias("classes"))
     if n_known <= FEW:  # a number for each rule's host, taken to the driver and put into the plan as one constant
         many = {r.suffix: r.classes for r in classes.collect() if r.classes > 1}
         size = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("suffix")), F.lit(1)) if many else F.lit(1)
