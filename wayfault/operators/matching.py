@@ -68,20 +68,27 @@ def match(points: DataFrame, edges: DataFrame, radius: float = RADIUS, sigma: fl
     return found.groupBy("trace_id").cogroup(around.groupBy("trace_id")).applyInPandas(decode, MATCH)
 
 
-def _distances(start: int, out: dict, limit: float) -> dict[int, tuple[float, list[int]]]:
-    """Nodes within ``limit`` of a node, with the way there."""
-    done, queue = {}, [(0.0, start, [start])]
+def _distances(start: int, out: dict, limit: float) -> dict[int, tuple[float, int]]:
+    """Nodes within ``limit`` of a node: how far, and the node before."""
+    done, queue = {}, [(0.0, start, start)]
     while queue:
-        d, n, way = heapq.heappop(queue)
+        d, n, before = heapq.heappop(queue)
         if n in done:
             continue
-        done[n] = (d, way)
+        done[n] = (d, before)
         for m, w in out.get(n, ()):
             if m not in done and d + w <= limit:
-                heapq.heappush(queue, (d + w, m, [*way, m]))
+                heapq.heappush(queue, (d + w, m, n))
     return done
 
 
+def _way(reached: dict[int, tuple[float, int]], start: int, node: int) -> list[int]:
+    way = [node]
+    while way[-1] != start:
+        way.append(reached[way[-1]][1])
+    return way[::-1]
+
+
 def _viterbi(found: pd.DataFrame, around: pd.DataFrame, sigma: float, beta: float) -> list[tuple]:
     out: dict[int, list] = defaultdict(list)
     best: dict[tuple[int, int], float] = {}
@@ -106,17 +113,17 @@ def _viterbi(found: pd.DataFrame, around: pd.DataFrame, sigma: float, beta: floa
                     if layers[-1][k][0] == -math.inf:
                         continue
                     if (p["u"], p["v"], p["key"]) == (c["u"], c["v"], c["key"]) and c["t"] >= p["t"]:
-                        net, way = (c["t"] - p["t"]) * c["length"], [c["u"], c["v"]]
+                        net, got = (c["t"] - p["t"]) * c["length"], None
                     else:
                         if p["v"] not in reached:
                             reached[p["v"]] = _distances(p["v"], out, 2 * gc + SLACK)
                         got = reached[p["v"]].get(c["u"])
                         if got is None:
                             continue
-                        net, way = (1 - p["t"]) * p["length"] + got[0] + c["t"] * c["length"], [p["u"], *got[1], c["v"]]
+                        net = (1 - p["t"]) * p["length"] + got[0] + c["t"] * c["length"]
                     score = layers[-1][k][0] - abs(net - gc) / beta
                     if score > top[0]:
-                        top = (score, k, way)
+                        top = (score, k, [c["u"], c["v"]] if got is None else [p["u"], *_way(reached[p["v"]], p["v"], c["u"]), c["v"]])
                 layer.append((top[0] + emission(c), top[1], top[2]))
             if all(x[0] == -math.inf for x in layer):
                 break

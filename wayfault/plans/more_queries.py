@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfault.functions import exact_geometry as X
@@ -12,6 +11,7 @@ from wayfault.functions import geometry as G
 from wayfault.operators import linear_reference as L
 from wayfault.operators import matching as M
 from wayfault.operators import spatial_join as J
+from wayfault.operators import tables as B
 from wayfault.operators import validation as V
 from wayfault.operators.scratch import shared_folder
 from wayfault.plans import events_queries as E
@@ -171,8 +171,7 @@ def island_flags(t):
 
 @query("w5_row_numbers", "SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber) AS INT) AS n FROM lineitem")
 def row_numbers(t):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
-    return t.lineitem.select("l_orderkey", "l_partkey", F.row_number().over(w).alias("n"))
+    return B.row_numbers(t.lineitem, ["l_orderkey"], [F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "n")
 
 
 @query("w8_leg_cumulative", f"WITH {T.SEGMENTS} SELECT trace_id, matching_idx, leg_idx, leg_segment_idx, round(leg_cumulative_m, 2) AS leg_cumulative_m, round(matching_cumulative_m, 2) AS matching_cumulative_m FROM segs")
@@ -245,8 +244,8 @@ def boundary_geometry(t):
 
 @query("n17_graph_and_tables", "SELECT u, count(*) AS n, CAST(sum(travel_time) AS BIGINT) AS seconds FROM edges GROUP BY u")
 def graph_and_tables(t):
-    out = t.edges.groupBy("u").agg(F.collect_list(F.struct("v", "key", "travel_time")).alias("adjacent"))  # a node's edges, and back
-    return out.select("u", F.explode("adjacent").alias("e")).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("e.travel_time").alias("seconds"))
+    back = B.from_adjacency(B.adjacency(t.edges, ["travel_time"]))
+    return back.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("travel_time").alias("seconds"))
 
 
 @query(

@@ -10,6 +10,7 @@ from wayfault.operators import flood as W
 from wayfault.operators import paths as P
 from wayfault.operators import spans as N
 from wayfault.operators import spatial_join as J
+from wayfault.operators import tables as B
 from wayfault.plans.registry import adapter, query
 from wayfault.plans.scalar_queries import named
 
@@ -235,7 +236,7 @@ def path_geometries(t):
 
 @query("j4_detours_with_roads", "SELECT u, v, key, travel_time, ref, name FROM edges JOIN (SELECT u, v, key, ref, name FROM edge_tags) USING (u, v, key)")
 def with_roads(t):
-    return t.edges.join(t.edge_tags.select("u", "v", "key", "ref", "name"), ["u", "v", "key"]).select("u", "v", "key", "travel_time", "ref", "name")
+    return B.with_columns_of(t.edges, t.edge_tags, ["ref", "name"]).select("u", "v", "key", "travel_time", "ref", "name")
 
 
 # -- centrality

@@ -8,6 +8,7 @@ from wayfault.functions import geometry as G
 from wayfault.operators import flood as W
 from wayfault.operators import fusion as U
 from wayfault.operators import simplify as N
+from wayfault.operators import tables as B
 from wayfault.operators import validation as V
 from wayfault.operators.spatial_join import polygon_literal
 from wayfault.plans import matching_queries as M
@@ -200,7 +201,7 @@ def csv(t):
 
 @query("j18_geometry_join", "SELECT e.u, e.v, e.key, e.length, n.travel_time FROM edges e JOIN edges n USING (u, v, key)")
 def geometry_join(t):
-    return t.edges.select("u", "v", "key", "length").join(t.edges.select("u", "v", "key", "travel_time"), ["u", "v", "key"])
+    return B.with_columns_of(t.edges.select("u", "v", "key", "length"), t.edges, ["travel_time"])
 
 
 @query("j5_path_lookup", "SELECT pos, u, v, travel_time FROM (SELECT row_number() OVER (ORDER BY u, v) - 1 AS pos, u, v, travel_time FROM edges)")

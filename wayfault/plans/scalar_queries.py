@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from wayfault.functions import scalars as S
 from wayfault.operators import linear_reference as L
+from wayfault.operators import tables as B
 from wayfault.operators import validation as V
 from wayfault.plans import network_adapters  # noqa: F401
 from wayfault.plans.registry import adapter, query
+from wayfault.sources import regions as RG
 
 
 def _class(h: str) -> str:
@@ -38,18 +40,12 @@ def road_class(t):
 
 @query("p1_major_roads", f"WITH {CLASSES} SELECT u, v, key FROM c WHERE floor(least(c1, c2)) BETWEEN 0 AND 4 AND u % 2 = 0")
 def major(t):
-    return major_roads(tagged(t).withColumn("_intersects_region_", F.col("u") % 2 == 0)).select("u", "v", "key")
-
-
-def major_roads(edges, max_class: int = 4):
-    """Edges of classes 0 to ``max_class`` in the region; missing columns are an error."""
-    V.require_columns(edges, {"roadclass": None, "_intersects_region_": "boolean"})
-    return edges.where(F.col("roadclass").between(0, max_class) & F.col("_intersects_region_"))
+    return B.major_roads(tagged(t).withColumn("_intersects_region_", F.col("u") % 2 == 0)).select("u", "v", "key")
 
 
 @query("p2_region_filter", "SELECT u, v, key FROM edges WHERE u % 2 = 0")
 def region_filter(t):
-    return t.edges.withColumn("_intersects_region_", F.col("u") % 2 == 0).where("_intersects_region_").select("u", "v", "key")
+    return B.in_region(t.edges.withColumn("_intersects_region_", F.col("u") % 2 == 0)).select("u", "v", "key")
 
 
 @query("p5_edge_id_text", "SELECT u, v, key, '(' || u || ', ' || v || ', ' || key || ')' AS edge_id FROM edges")
@@ -64,49 +60,40 @@ def frequency(t):
 
 @query("p7_prefixed_columns", "SELECT u, v, key, travel_time AS e001_travel_time, length AS e001_length FROM edges")
 def prefixed(t):
-    return add_prefix(t.edges, "e001_", ["u", "v", "key"])
-
-
-def add_prefix(df, prefix: str, keys: list[str], drop: tuple[str, ...] = ()):
-    """All columns but the keys prefixed, without those to drop, if there."""
-    df = df.drop(*drop)
-    return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
+    return B.add_prefix(t.edges, "e001_", ["u", "v", "key"])
 
 
 @query("p8_rounded", "SELECT u, v, key, round(length / 7.0, 3) AS length, round(travel_time / 1000.0, 3) AS travel_time FROM edges")
 def rounded(t):
-    return t.edges.select("u", "v", "key", F.round(F.col("length") / 7.0, 3).alias("length"), F.round(F.col("travel_time") / 1000.0, 3).alias("travel_time"))
+    rows = t.edges.select("u", "v", "key", (F.col("length") / 7.0).alias("length"), (F.col("travel_time") / 1000.0).alias("travel_time"))
+    return B.rounded(rows, ["length", "speed_kph", "travel_time"])
 
 
 @query("p9_search_text", "SELECT u, v, key, concat_ws(' ', name, ref, u || ',' || v) AS search_text FROM edge_tags")
 def search_text(t):
-    return t.edge_tags.select("u", "v", "key", F.concat_ws(" ", "name", "ref", F.concat_ws(",", "u", "v")).alias("search_text"))
+    return t.edge_tags.select("u", "v", "key", B.search_text("name", "ref", F.concat_ws(",", "u", "v")).alias("search_text"))
 
 
 @query("p10_measures", "SELECT u, v, key, CASE WHEN bridge = 'yes' THEN travel_time END AS bridge_seconds, length AS metres FROM edge_tags")
 def measures(t):
-    return t.edge_tags.select("u", "v", "key", F.when(F.col("bridge") == "yes", F.col("travel_time")).alias("bridge_seconds"), F.col("length").alias("metres"))
+    return B.measures(t.edge_tags, ["u", "v", "key"], {"bridge_seconds": ("travel_time", "bridge = 'yes'"), "metres": ("length", None)})
 
 
 @query("p11_select_except", "SELECT * EXCLUDE (length) FROM edges")
 def select_except(t):
-    return t.edges.drop("length")
+    return B.select_except(t.edges, "length")
 
 
 @query("p12_rail_filter", "SELECT s_suppkey, owner FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'ABC Railroad' WHEN 1 THEN NULL WHEN 2 THEN 'state' ELSE 'RAILROAD x' END AS owner FROM supplier) WHERE NOT regexp_matches(coalesce(owner, ''), '^.*RAILROAD.*', 'is')")
 def rail(t):
     o = F.when(F.col("s_suppkey") % 4 == 0, "ABC Railroad").when(F.col("s_suppkey") % 4 == 2, "state").when(F.col("s_suppkey") % 4 == 3, "RAILROAD x")
-    return without_rail(t.supplier.select("s_suppkey", o.alias("owner")), "owner")
-
-
-def without_rail(df, column: str, pattern: str = ".*RAILROAD.*"):
-    """Rows whose owner does not match from its start, ignoring case; unknown owners stay."""
-    return df.where(~F.coalesce(F.col(column), F.lit("")).rlike(f"(?is)^{pattern}"))
+    return B.without_rail(t.supplier.select("s_suppkey", o.alias("owner")), "owner")
 
 
 @query("p13_defaults", "SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN p_size END, 0) AS n, coalesce(CASE WHEN p_size > 40 THEN p_brand END, '') AS ids FROM part")
 def defaults(t):
-    return t.part.select("p_partkey", F.coalesce(F.when(F.col("p_size") > 25, F.col("p_size")), F.lit(0)).alias("n"), F.array_join(F.coalesce(F.when(F.col("p_size") > 40, F.array("p_brand")), F.array().cast("array<string>")), ",").alias("ids"))
+    rows = t.part.select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_size")).alias("n"), F.when(F.col("p_size") > 40, F.array("p_brand")).alias("ids"))
+    return B.with_defaults(rows, ["n", "ids"]).withColumn("ids", F.array_join("ids", ","))
 
 
 @query("f1_first_or_null", "SELECT u, v, key, coalesce(ref, name) AS first FROM edge_tags")
@@ -222,12 +209,12 @@ def county(t):
 
 @query("f23_numeric_coercion", "SELECT p_partkey, TRY_CAST(CASE WHEN p_size % 3 = 0 THEN 'n/a' ELSE '' || p_size END AS DOUBLE) AS size FROM part")
 def coercion(t):
-    return t.part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, "n/a").otherwise(F.col("p_size").cast("string")).try_cast("double").alias("size"))
+    return t.part.select("p_partkey", B.as_number(F.when(F.col("p_size") % 3 == 0, "n/a").otherwise(F.col("p_size").cast("string"))).alias("size"))
 
 
 @query("f24_literal_list", "SELECT p_partkey, CAST(p_size AS BIGINT) + p_partkey AS total FROM part")
 def literal_list(t):
-    parsed = F.from_json(F.concat(F.lit("["), "p_size", F.lit(", "), "p_partkey", F.lit("]")), "array<bigint>")
+    parsed = B.literal_list(F.concat(F.lit("("), "p_size", F.lit(", "), "p_partkey", F.lit(")")))
     return t.part.select("p_partkey", F.aggregate(parsed, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
@@ -255,7 +242,7 @@ def sequence(t):
 
 @query("o1_index_sort", "SELECT u, v, key, travel_time FROM edges ORDER BY u, v, key")
 def index_sort(t):
-    return t.edges.select("u", "v", "key", "travel_time").orderBy("u", "v", "key")
+    return B.index_sorted(t.edges.select("u", "v", "key", "travel_time"))
 
 
 @query("o3_first_by_penalty", f"WITH {CLASSES}, {CAND} SELECT v, CAST(min(penalty) AS DOUBLE) AS penalty FROM cand GROUP BY v")
@@ -266,7 +253,7 @@ def first_by_penalty(t):
 
 @query("o5_first_edge", "SELECT u, min(v) AS v FROM edges GROUP BY u")
 def first_edge(t):
-    return t.edges.groupBy("u").agg(F.min(F.struct("v", "key")).alias("e")).select("u", "e.v")
+    return B.first_of_each(t.edges, "u", ["v", "key"]).select("u", "v")
 
 
 @query("u2_checked_concat", "SELECT c_custkey AS id, c_name AS name, NULL AS balance FROM customer UNION ALL SELECT -1 - s_suppkey, s_name, s_acctbal FROM supplier")
@@ -277,9 +264,7 @@ def checked_concat(t):
 
 @query("u3_set_algebra", "SELECT DISTINCT u, v FROM edges WHERE u % 2 = 0 AND (u, v) NOT IN (SELECT v, u FROM edges) UNION SELECT u, v FROM edges WHERE v % 7 = 0")
 def set_algebra(t):
-    e = t.edges.select("u", "v")
-    back = t.edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    return e.where("u % 2 = 0").join(back, ["u", "v"], "left_anti").union(e.where("v % 7 = 0")).distinct()
+    return B.either(B.one_way(t.edges).where("u % 2 = 0"), t.edges.where("v % 7 = 0"), ["u", "v"])
 
 
 @query("v1_key_violations", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -320,19 +305,17 @@ adapter("regions", "SELECT CAST(36001 + n_nationkey AS STRING) AS geoid, 'county
 
 @query("s2_region_boundary", "SELECT geoid, name FROM regions WHERE geoid = '36003'")
 def boundary(t):
-    return t.regions.where(F.col("geoid") == "36003").select("geoid", "name")
+    return RG.boundary(t.regions, "36003").select("geoid", "name")
 
 
 @query("s3_prefix_scan", "SELECT geoid FROM regions WHERE geolevel = 'county' AND geoid LIKE '3600%'")
 def prefix_scan(t):
-    return t.regions.where((F.col("geolevel") == "county") & F.col("geoid").startswith("3600")).select("geoid")
+    return RG.with_prefix(t.regions, "3600", "county")
 
 
 @query("s13_geolevel_probe", "SELECT DISTINCT geolevel FROM regions WHERE geoid = '38'")
 def probe(t):
-    from wayfault.sources.regions import geolevel_of
-
-    return t.spark.createDataFrame([(geolevel_of(t.regions, "38"),)], "geolevel string")
+    return t.spark.createDataFrame([(RG.geolevel_of(t.regions, "38"),)], "geolevel string")
 
 
 @query("s16_inline_table", "SELECT * FROM (VALUES (1, 1), (2, 2), (4, 3), (6, 4), (7, 5), (8, 6), (9, 7)) t(suffix, federal_class)")
@@ -342,5 +325,5 @@ def inline(t):
 
 @query("s10_registered_table", "SELECT u, count(*) AS n FROM edges GROUP BY u")
 def registered(t):
-    t.edges.createOrReplaceTempView("wayfault_edges")
+    B.register(t.spark, {"wayfault_edges": t.edges})
     return t.spark.sql("SELECT u, count(*) AS n FROM wayfault_edges GROUP BY u")
