@@ -25,16 +25,21 @@ from wayfault.llm.common import id_and_text, lookup, materialise
 SHARDS = 24
 ROUNDS = 8
 BLOCK_BITS = 8  # rows of a task are ranked in blocks of 256
+GROUP_BITS = 12  # blocks are counted in groups of 4096
 
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
     """``rows`` (of a written table with ``part``, ``at``: its block and place there) with ``rank``, from 0 in each value of ``by``.
 
-    Places are ranked within blocks, and earlier blocks' counts added.
+    Places are ranked within blocks, and earlier blocks' counts added: those of earlier groups of blocks, then those within the group, so
+    no sort holds more than a group's blocks, or the groups of a value.
     """
     local = F.row_number().over(Window.partitionBy(by, "part").orderBy("at")) - 1
-    counts = rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(by, "part", (F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n")).alias("before"))
+    counts = rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.shiftright("part", GROUP_BITS))
+    sums = counts.groupBy(by, "group").agg(F.sum("n").alias("total"))
+    earlier = sums.select(by, "group", (F.sum("total").over(Window.partitionBy(by).orderBy("group")) - F.col("total")).alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy(by, "group").orderBy("part")) - F.col("n")
+    before = counts.withColumn("inside", inside).join(earlier, [by, "group"]).select(by, "part", (F.col("earlier") + F.col("inside")).alias("before"))
     return rows.withColumn("local", local).join(before, [by, "part"]).withColumn("rank", F.col("before") + F.col("local")).drop("local", "before")
 
 
