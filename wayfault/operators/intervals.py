@@ -5,8 +5,6 @@ Everything is one window sort and two aggregations on the same key; Spark keeps
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,16 +78,15 @@ CATEGORIES = {"road_closed": "closed", "road_flooded": "flooded", "road_repairs"
 def hours_by_category(collected: DataFrame) -> DataFrame:
     """Counts, hours and ids of all events of each road, and of those that closed, flooded or repaired it.
 
-    Roads of a category are left-joined on the key of all; the four aggregates share their partitioning.
+    An event is listed under each of its categories, and rows are dealt by road once: the distinct rows, islands, and sums of all categories need no other exchange.
     """
-    def part(rows: DataFrame, name: str) -> DataFrame:
-        got = outage_hours(rows, EDGE, "start_ts", "end_ts", "event_id")
-        return got.select(*EDGE, F.col("ids").alias(f"{name}_events_ids"), F.col("n_intervals").alias(f"{name}_incidents_count"), F.col("hours").alias(f"{name}_total_duration_hours"))
-
-    every = part(collected, "all")
-    parts = [part(collected.where(flag), name) for name, flag in CATEGORIES.items()]
-    out = reduce(lambda a, b: a.join(b, EDGE, "left"), parts, every)
-    for name in CATEGORIES:
-        ids, n, hours = f"{name}_events_ids", f"{name}_incidents_count", f"{name}_total_duration_hours"
-        out = out.withColumn(ids, F.coalesce(ids, F.array().cast("array<string>"))).withColumn(n, F.coalesce(n, F.lit(0))).withColumn(hours, F.coalesce(hours, F.lit(0.0)))
-    return out
+    kinds = F.array(F.lit("all"), *[F.when(F.col(flag), F.lit(name)) for name, flag in CATEGORIES.items()])
+    dealt = collected.select(*EDGE, "event_id", "start_ts", "end_ts", F.array_compact(kinds).alias("_kinds")).repartition(*EDGE)
+    rows = dealt.select(*EDGE, F.explode("_kinds").alias("_kind"), "event_id", "start_ts", "end_ts")
+    each = outage_hours(rows, [*EDGE, "_kind"], "start_ts", "end_ts", "event_id")
+    own = lambda name, c: F.first(F.when(F.col("_kind") == name, F.col(c)), ignorenulls=True)
+    none = F.array().cast("array<string>")
+    columns = []
+    for name in ("all", *CATEGORIES):
+        columns += [F.coalesce(own(name, "ids"), none).alias(f"{name}_events_ids"), F.coalesce(own(name, "n_intervals"), F.lit(0)).alias(f"{name}_incidents_count"), F.coalesce(own(name, "hours"), F.lit(0.0)).alias(f"{name}_total_duration_hours")]
+    return each.groupBy(*EDGE).agg(*columns)

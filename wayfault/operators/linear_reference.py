@@ -73,11 +73,11 @@ def latest_count(df: DataFrame) -> DataFrame:
     return one_each(df, ["_idx_", "from_measure"], [F.asc_nulls_last("dd_id"), F.desc_nulls_last("from_date"), F.asc_nulls_last("overlap_mi")])
 
 
-# -- attribute pulls: each gives ``_idx_, overlap_mi`` and the attributes of every overlap, distinct
+# -- attribute pulls: each gives ``_idx_, overlap_mi`` and the attributes of every overlap, distinct; dealt by match once, as the choice among them needs it too
 def functional_class(matches: DataFrame, events: DataFrame, types: DataFrame) -> DataFrame:
     """``types``: ``type_id, type_functional_class, federal_aid_flag, class_hierarchy``."""
     got = overlap_join(matches, events).join(F.broadcast(types), F.col("functional_class") == F.col("type_id"), "left")
-    return got.select("_idx_", "overlap_mi", "functional_class", S.federal_class(F.col("type_functional_class")).alias("federal_class"), "federal_aid_flag", "class_hierarchy").distinct()
+    return got.select("_idx_", "overlap_mi", "functional_class", S.federal_class(F.col("type_functional_class")).alias("federal_class"), "federal_aid_flag", "class_hierarchy").repartition("_idx_").distinct()
 
 
 def domain_lookup(rows: DataFrame, code: str, domain: str, domains: DataFrame, entries: DataFrame) -> DataFrame:
@@ -93,17 +93,17 @@ def domain_lookup(rows: DataFrame, code: str, domain: str, domains: DataFrame, e
 def coded_overlaps(matches: DataFrame, events: DataFrame, code: str, domain: str, domains: DataFrame, entries: DataFrame) -> DataFrame:
     """Strategic network or truck route of each overlap, with its description."""
     got = domain_lookup(overlap_join(matches, events), code, domain, domains, entries)
-    return got.select("_idx_", "overlap_mi", code, "description").distinct()
+    return got.select("_idx_", "overlap_mi", code, "description").repartition("_idx_").distinct()
 
 
 def structures_along(matches: DataFrame, events: DataFrame, inventory: DataFrame, number: str) -> DataFrame:
     """Inventory rows of bridges whose interval overlaps a match."""
-    return overlap_join(matches, events).select("_idx_", number).distinct().join(inventory, number)
+    return overlap_join(matches, events).select("_idx_", number).repartition("_idx_").distinct().join(inventory, number)
 
 
 def structures_at(matches: DataFrame, points: DataFrame, inventory: DataFrame, number: str) -> DataFrame:
     """Inventory rows of culverts that lie within a match."""
-    return point_join(matches, points).select("_idx_", number).distinct().join(inventory, number)
+    return point_join(matches, points).select("_idx_", number).repartition("_idx_").distinct().join(inventory, number)
 
 
 def enriched(matches: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
