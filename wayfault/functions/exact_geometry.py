@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 LINE = "array<struct<x:double,y:double>>"
 POLYGON = f"array<{LINE}>"
 PARTS = f"array<{POLYGON}>"
+ARROW_PARTS = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 
 def vincenty(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
@@ -223,16 +225,17 @@ def union_polygons(df: DataFrame, keys: list[str], column: str = "polygon", at_o
     rows = df.where(F.col(column).isNotNull() & (F.size(column) > 0)).select(*keys, F.array(F.col(column)).alias("parts"))
     schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys) + f", parts {PARTS}"
 
-    def unite(group: pd.DataFrame) -> pd.DataFrame:
-        made = V.union([_rings(p) for parts in group["parts"] for p in parts])
-        return pd.DataFrame([[*group.iloc[0][keys], _parts(made)]], columns=[*keys, "parts"])
+    def unite(group: pa.Table) -> pa.Table:
+        made = V.union([_rings(p) for parts in group.column("parts").to_pylist() for p in parts])
+        first = group.slice(0, 1).select(keys)
+        return pa.table([*first.columns, pa.array([_parts(made)], ARROW_PARTS)], names=[*keys, "parts"])
 
     while True:
         order = Window.partitionBy(*keys).orderBy(left("parts"))
         dealt = rows.withColumn("_block", F.floor((F.row_number().over(order) - 1) / at_once))
         from wayfault.operators.scratch import cut
 
-        rows = cut(dealt.groupBy(*keys, "_block").applyInPandas(unite, schema))
+        rows = cut(dealt.groupBy(*keys, "_block").applyInArrow(unite, schema))
         if rows.groupBy(*keys).count().where("count > 1").isEmpty():
             return rows
 
