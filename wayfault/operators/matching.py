@@ -65,7 +65,10 @@ def match(points: DataFrame, edges: DataFrame, radius: float = RADIUS, sigma: fl
         names = [c.split()[0] for c in MATCH.split(", ")]
         return pd.DataFrame(_viterbi(left, right, sigma, beta) if len(left) else [], columns=names)
 
-    return found.groupBy("trace_id").cogroup(around.groupBy("trace_id")).applyInPandas(decode, MATCH)
+    # much work on each of few bytes, so the number of tasks is not left to their size
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(n, "trace_id").groupBy("trace_id").cogroup(around.repartition(n, "trace_id").groupBy("trace_id"))
+    return dealt.applyInPandas(decode, MATCH)
 
 
 def _distances(start: int, out: dict, limit: float) -> dict[int, tuple[float, int]]:
