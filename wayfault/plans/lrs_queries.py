@@ -96,7 +96,8 @@ def culverts(t):
 
 @query("a7_longest_overlap", f"SELECT DISTINCT ON (_idx_) * FROM ({CLASS}) ORDER BY _idx_, overlap_mi DESC, functional_class")
 def longest(t):
-    return L.longest_overlap(classes(t), ties=("functional_class",))
+    """The SQL leaves open which of the types of one number counts; here the first by flag and hierarchy does, so that the result does not vary."""
+    return L.longest_overlap(classes(t), ties=("functional_class", "federal_class", "federal_aid_flag", "class_hierarchy"))
 
 
 @query("a8_lowest_rating", f"SELECT DISTINCT ON (_idx_) * FROM ({BRIDGES}) ORDER BY _idx_, rating NULLS LAST, structure")
