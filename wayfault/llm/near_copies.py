@@ -14,8 +14,8 @@ make *families*, outside of which there are no candidates.  The sets of shingles
 in one for each pair of its blocks, where all pairs are decided exactly (intersections of all pairs are a product of matrices), and leave a forest of links again.
 Equal sets are one class, so copies are not indexed twice.
 
-A task holds one bucket: a 1024th of the texts for each half of a segment, 48 bytes each.  Of a run of more than ``HELD`` members, blocks are held one at a time, each with the run's
-first ``ANCHORS`` members, which connect them.
+A task holds one bucket: a 1024th of the texts for each half of a segment, 48 bytes each.  A run is connected whole, whatever its size: each member reached is compared
+with all that are not reached yet, ``HELD`` of them at a time.
 
 Defined results: a null text counts as empty; texts without words are equal; a text of up to five words is one shingle; rows without an id
 take part but name no component and stay; an empty table gives no rows; other columns are ignored.
@@ -42,7 +42,7 @@ SEGMENTS, WIDTH = 38, 20
 HALF = WIDTH // 2
 NEAR_LANES, NEAR = 4, 68  # differing bits of 256; 39 are expected at 0.8, with a deviation of 6, and 128 of unrelated texts, with one of 8
 SMALL = 16
-HELD, ANCHORS = 1 << 20, 1 << 14
+HELD = 1 << 20
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 COLUMNS = 2048  # of a matrix
 FEW = 24
@@ -104,16 +104,12 @@ def near(fps: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
 
 def run_forest(fps: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect the members of a run exactly as being near does: each member reached claims those near to it that are not reached yet."""
-    if len(run) > HELD:
-        for at in range(ANCHORS, len(run), HELD):
-            yield from run_forest(fps, np.concatenate([run[:ANCHORS], run[at : at + HELD - ANCHORS]]))
-        return
     left, queue = run, []
     while len(left):
         if not queue:
             queue, left = [left[0]], left[1:]
         at = queue.pop()
-        found = near(fps, at, left)
+        found = np.concatenate([left[:0] > 0, *(near(fps, at, left[k : k + HELD]) for k in range(0, len(left), HELD))])
         if found.any():
             yield np.full(int(found.sum()), at), left[found]
             queue += left[found].tolist()
