@@ -128,11 +128,12 @@ def overlay(t):
  greatest(x1 - x0, 0) * (y1 - y0) / 2 AS bow_area, CAST(2 AS INT) AS bow_parts FROM boxes b""",
 )
 def overlay_rings(t):
-    """Parts of each box in the mask; and the two triangles of a ring that crosses itself in the middle of the box."""
-    p = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    """Parts of each box in the mask; and the two triangles of a ring that crosses itself in the middle of the box; made once for equal boxes."""
+    p = lambda a, b: F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
     bow = F.array(F.array(p("x0", "y0"), p("x1", "y1"), p("x1", "y0"), p("x0", "y1"), p("x0", "y0")))
-    rows = clipped_boxes(t).withColumn("bow", X.make_valid(bow))
-    return rows.select("box_id", F.size("parts").alias("n_parts"), F.round(X.parts_area(F.col("bow")), 6).alias("bow_area"), F.size("bow").alias("bow_parts"))
+    equal = J.shapes(Q.boxes(t), ["x0", "y0", "x1", "y1", "polygon"], ["box_id"], "_boxes", ["x0", "y0", "x1", "y1"])
+    rows = equal.withColumns({"parts": X.polygon_intersection("polygon", J.polygon_literal([U_SHAPE])), "bow": X.make_valid(bow)})
+    return J.expanded(rows.select("_boxes", F.size("parts").alias("n_parts"), F.round(X.parts_area(F.col("bow")), 6).alias("bow_area"), F.size("bow").alias("bow_parts")), "_boxes").select("box_id", "n_parts", "bow_area", "bow_parts")
 
 
 @query("j19_map_lookup", "SELECT e.u, e.v, e.key, a.m AS m_u, b.m AS m_v FROM edges e LEFT JOIN (SELECT u AS node, count(*) AS m FROM edges GROUP BY u) a ON e.u = a.node LEFT JOIN (SELECT u AS node, count(*) AS m FROM edges GROUP BY u) b ON e.v = b.node")
@@ -207,23 +208,22 @@ def ellipsoid(t):
 
 @query("g3_buffer_area", "SELECT box_id, round((x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) * (1 + box_id % 3) + 32 * sin(2 * pi() / 64) * pow(1 + box_id % 3, 2), 4) AS area FROM boxes")
 def buffer_area(t):
-    """A box, four sides and four quarters of a disc of 64 corners."""
-    parts = X.buffer(F.col("polygon"), (1 + F.col("box_id") % 3).cast("double"))
-    return Q.boxes(t).select("box_id", F.round(X.parts_area(parts), 4).alias("area"))
+    """A box, four sides and four quarters of a disc of 64 corners; made once for equal boxes and distances."""
+    rows = Q.boxes(t).withColumn("distance", (1 + F.col("box_id") % 3).cast("double"))
+    equal = J.shapes(rows, ["polygon", "distance"], ["box_id"], "_boxes")
+    area = F.round(X.parts_area(X.buffer(F.col("polygon"), F.col("distance"))), 4)
+    return J.expanded(equal.select("_boxes", area.alias("area")), "_boxes").select("box_id", "area")
 
 
 @query("g8_intersects", "SELECT line_id, count(*) AS n FROM flat_lines, boxes WHERE lx0 <= x1 AND lx1 >= x0 AND ly BETWEEN y0 AND y1 GROUP BY line_id")
 def intersects(t):
-    return Q.lines_in_polygons(t).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"))
+    return J.polygons_per_line(Q.flat_lines(t), Q.boxes(t), 50.0, ["line_id"], ["box_id"])
 
 
 @query("g9_line_in_polygon", "SELECT line_id, box_id, least(lx1, x1) - greatest(lx0, x0) AS length FROM flat_lines, boxes WHERE least(lx1, x1) > greatest(lx0, x0) AND ly BETWEEN y0 AND y1")
 def line_in_polygon(t):
-    p = lambda a: F.struct(F.col(a).alias("x"), F.col("ly").alias("y"))
-    lines = t.flat_lines.select("line_id", F.array(p("lx0"), p("lx1")).alias("line"))
-    met = Q.lines_in_polygons(t).join(lines, "line_id").join(Q.boxes(t), "box_id")
-    parts = met.select("line_id", "box_id", F.explode(X.line_intersection("line", "polygon")).alias("part"))
-    return parts.groupBy("line_id", "box_id").agg(F.round(F.sum(G.planar_length(F.col("part"))), 6).alias("length"))
+    met = J.lengths_in_polygons(Q.flat_lines(t), Q.boxes(t), 50.0, ["line_id"], ["box_id"])
+    return met.select("line_id", "box_id", F.round("length", 6).alias("length"))
 
 
 @query("g15_cell_index", "SELECT cx, cy, count(*) AS n FROM (SELECT unnest(range(CAST(floor(x0 / 50) AS BIGINT), CAST(floor(x1 / 50) AS BIGINT) + 1)) AS cx, y0, y1 FROM boxes), LATERAL (SELECT unnest(range(CAST(floor(y0 / 50) AS BIGINT), CAST(floor(y1 / 50) AS BIGINT) + 1)) AS cy) GROUP BY cx, cy")
