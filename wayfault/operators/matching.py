@@ -1,7 +1,7 @@
 """Map matching: a hidden Markov matcher, and the tables that a match response is made of.
 
-The matcher (Newson and Krumm 2009) finds candidates of each trace point by a grid join in Spark; each trace is then decoded on its own, with the
-part of the network around it, so a task holds one trace and its candidates' surroundings and no task holds the whole network.
+The matcher (Newson and Krumm 2009) finds candidates of each trace point by a grid join in Spark; equal traces are decoded as one.  Traces with the same
+surroundings are decoded in groups of bounded size, each with one copy of that part of the network, so no task holds the whole network and routes are searched once a group.
 
 A response's tables: ``tracepoints`` (``trace_id, idx, matching_idx, waypoint_idx, x, y``; nulls for a point without a match), ``legs``
 (``trace_id, matching_idx, leg_idx, nodes``) and ``matchings`` (``trace_id, matching_idx, confidence``).
@@ -13,16 +13,21 @@ import heapq
 import math
 from collections import defaultdict
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfault.functions import geometry as G
+from wayfault.operators.scratch import cut
+from wayfault.operators.spatial_join import dealt, expanded, shapes
 
 SIGMA, BETA = 5.0, 10.0
 RADIUS = 15.0
 SLACK = 200.0
 METERS_PER_MILE = 1609.34
+#: Candidates that are decoded with one copy of their surroundings.
+AT_ONCE = 20_000
 
 
 # -- candidates and decoding
@@ -51,24 +56,93 @@ def match(points: DataFrame, edges: DataFrame, radius: float = RADIUS, sigma: fl
     """Matched points of every trace (columns ``MATCH``): edge and place, and ``nodes``, the leg from the point before in the same matching.
 
     A trace is split where no candidate can be reached from the one before.  ``reach`` bounds the network that a trace is decoded on: edges
-    with an end within that distance of a candidate's ends.  ``confidence`` is exp(-|ln(matched length / trace length)|) of a matching.
+    that begin in a cell, of that width, within that distance of the box of its points with candidates.  ``confidence`` is exp(-|ln(matched length / trace length)|) of a matching.
     """
-    found = candidates(points, edges, radius)
-    box = found.groupBy("trace_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    lines = points.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x", "y"))).alias("line"))
+    kinds = cut(shapes(lines, ["line"], ["trace_id"], "_traces").select(F.array_min("_traces.trace_id").alias("_kind"), "line", "_traces"))
+    found = candidates(kinds.select(F.col("_kind").alias("trace_id"), F.explode("line").alias("_p")).select("trace_id", "_p.*"), edges, radius)
+    groups = cut(decoding_groups(found, reach))
+    left = found.join(groups.select("trace_id", *GROUP), "trace_id")
+    right = surroundings(groups, edges, reach)
+
+    def decode(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = decoded(left, right, sigma, beta)
+        columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [(n, types[t]) for n, t in (c.split() for c in MATCH.split(", "))]
+    matched = dealt(left, *GROUP).groupBy(*GROUP).cogroup(dealt(right, *GROUP).groupBy(*GROUP)).applyInArrow(decode, MATCH)
+    names = [n for n, _ in fields[1:]]
+    copies = dealt(kinds.select("_kind", "_traces"), "_kind").join(dealt(matched.withColumnRenamed("trace_id", "_kind"), "_kind"), "_kind")
+    return expanded(copies.select(*names, "_traces"), "_traces").select(F.col("trace_id").cast("long").alias("trace_id"), *names)
+
+
+GROUP = ["_gx0", "_gx1", "_gy0", "_gy1", "_part"]
+
+
+def decoding_groups(found: DataFrame, reach: float) -> DataFrame:
+    """``trace_id`` and its group: the range of cells that it is decoded on, and a part, so that no group has many more than ``AT_ONCE`` candidates."""
     width = max(reach, 1.0)
-    cells = box.select("trace_id", F.explode(G.cells_of_box(F.col("x0") - reach, F.col("y0") - reach, F.col("x1") + reach, F.col("y1") + reach, width)).alias("_cell"))
-    located = edges.withColumn("_cell", F.struct(G.cell(F.col("x1"), width).alias("cx"), G.cell(F.col("y1"), width).alias("cy")))
-    length = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
-    around = located.join(cells, "_cell").select(*[F.col(c).alias(c) for c in ("trace_id", "u", "v", "key")], length.alias("length"))
+    sides = [F.min("x") - reach, F.max("x") + reach, F.min("y") - reach, F.max("y") + reach]
+    box = found.groupBy("trace_id").agg(*[G.cell(side, width).alias(c) for side, c in zip(sides, GROUP, strict=False)], F.count(F.lit(1)).alias("_n"))
+    box = cut(box)
+    parts = box.groupBy(*GROUP[:4]).agg(F.ceil(F.sum("_n") / AT_ONCE).alias("_parts"))
+    return box.join(parts, GROUP[:4]).select("trace_id", *GROUP[:4], F.pmod(F.xxhash64("trace_id"), F.col("_parts")).alias("_part"))
 
-    def decode(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in MATCH.split(", ")]
-        return pd.DataFrame(_viterbi(left, right, sigma, beta) if len(left) else [], columns=names)
 
-    # much work on each of few bytes, so the number of tasks is not left to their size
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(n, "trace_id").groupBy("trace_id").cogroup(around.repartition(n, "trace_id").groupBy("trace_id"))
-    return dealt.applyInPandas(decode, MATCH)
+def surroundings(groups: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """The edges that begin in the cells of each group, once a group: its columns, ``u, v, length``."""
+    width = max(reach, 1.0)
+    cells = groups.select(*GROUP).distinct().select(*GROUP, F.explode(F.sequence("_gx0", "_gx1")).alias("_cx")).select("*", F.explode(F.sequence("_gy0", "_gy1")).alias("_cy"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    located = edges.select("u", "v", F.sqrt(dx * dx + dy * dy).alias("length"), G.cell(F.col("x1"), width).alias("_cx"), G.cell(F.col("y1"), width).alias("_cy"))
+    return located.join(cells, ["_cx", "_cy"]).select(*[F.col(c).alias(c) for c in (*GROUP, "u", "v", "length")])
+
+
+class Network:
+    """Streets around a group of traces, and the routes searched on them so far."""
+
+    def __init__(self, u: list[int], v: list[int], length: list[float]):
+        self.best: dict[tuple[int, int], float] = {}
+        for a, b, w in zip(u, v, length, strict=True):
+            self.best[a, b] = min(w, self.best.get((a, b), math.inf))
+        self.out: dict[int, list] = defaultdict(list)
+        for (a, b), w in sorted(self.best.items()):
+            self.out[a].append((b, w))
+        self.searched: dict[int, tuple[float, dict]] = {}
+
+    def reached(self, start: int, limit: float) -> dict[int, tuple[float, int]]:
+        """Nodes within ``limit`` of a node at least, as ``_distances`` has them; those beyond are to be left out by their distance."""
+        far, done = self.searched.get(start, (-math.inf, {}))
+        if far < limit:
+            done = _distances(start, self.out, limit)
+            self.searched[start] = limit, done
+        return done
+
+
+COLUMNS = ("idx", "x", "y", "u", "v", "key", "distance", "t", "length")
+
+
+def decoded(found: pa.Table, around: pa.Table, sigma: float, beta: float) -> list[tuple]:
+    """Rows (``MATCH``) of the traces of a group; ``around``: ``u, v, length``."""
+    if not found.num_rows:
+        return []
+    network = Network(*(around.column(c).to_pylist() for c in ("u", "v", "length")))
+    at = {c: found.column(c).to_numpy() for c in ("trace_id", *COLUMNS)}
+    order = np.lexsort([at[c] for c in ("key", "v", "u", "distance", "idx", "trace_id")])
+    at = {c: a[order] for c, a in at.items()}
+    starts = np.flatnonzero(np.diff(at["trace_id"], prepend=at["trace_id"][0] - 1)).tolist()
+    rows = []
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        steps: list[tuple[int, list[dict]]] = []
+        for values in zip(*(at[c][a:b].tolist() for c in COLUMNS), strict=True):
+            c = dict(zip(COLUMNS, values, strict=True))
+            if not steps or steps[-1][0] != c["idx"]:
+                steps.append((c["idx"], []))
+            steps[-1][1].append(c)
+        rows += _viterbi(int(at["trace_id"][a]), steps, network, sigma, beta)
+    return rows
 
 
 def _distances(start: int, out: dict, limit: float) -> dict[int, tuple[float, int]]:
@@ -92,15 +166,9 @@ def _way(reached: dict[int, tuple[float, int]], start: int, node: int) -> list[i
     return way[::-1]
 
 
-def _viterbi(found: pd.DataFrame, around: pd.DataFrame, sigma: float, beta: float) -> list[tuple]:
-    out: dict[int, list] = defaultdict(list)
-    best: dict[tuple[int, int], float] = {}
-    for u, v, w in around[["u", "v", "length"]].itertuples(index=False):
-        best[u, v] = min(w, best.get((u, v), math.inf))
-    for (u, v), w in sorted(best.items()):
-        out[u].append((v, w))
-    trace = int(found.trace_id.iloc[0])
-    steps = [(int(i), g.sort_values(["distance", "u", "v", "key"]).to_dict("records")) for i, g in found.sort_values("idx").groupby("idx")]
+def _viterbi(trace: int, steps: list[tuple[int, list[dict]]], network: Network, sigma: float, beta: float) -> list[tuple]:
+    """Rows of one trace; ``steps``: each point's candidates, the nearest first."""
+    best = network.best
     rows, start = [], 0
     while start < len(steps):
         emission = lambda c: -(c["distance"] ** 2) / (2 * sigma**2)
@@ -109,7 +177,7 @@ def _viterbi(found: pd.DataFrame, around: pd.DataFrame, sigma: float, beta: floa
         while end < len(steps):
             before, now = steps[end - 1][1], steps[end][1]
             gc = math.hypot(now[0]["x"] - before[0]["x"], now[0]["y"] - before[0]["y"])
-            layer, reached = [], {}
+            layer, limit = [], 2 * gc + SLACK
             for c in now:
                 top = (-math.inf, None, [])
                 for k, p in enumerate(before):
@@ -118,15 +186,14 @@ def _viterbi(found: pd.DataFrame, around: pd.DataFrame, sigma: float, beta: floa
                     if (p["u"], p["v"], p["key"]) == (c["u"], c["v"], c["key"]) and c["t"] >= p["t"]:
                         net, got = (c["t"] - p["t"]) * c["length"], None
                     else:
-                        if p["v"] not in reached:
-                            reached[p["v"]] = _distances(p["v"], out, 2 * gc + SLACK)
-                        got = reached[p["v"]].get(c["u"])
-                        if got is None:
+                        reached = network.reached(p["v"], limit)
+                        got = reached.get(c["u"])
+                        if got is None or got[0] > limit:
                             continue
                         net = (1 - p["t"]) * p["length"] + got[0] + c["t"] * c["length"]
                     score = layers[-1][k][0] - abs(net - gc) / beta
                     if score > top[0]:
-                        top = (score, k, [c["u"], c["v"]] if got is None else [p["u"], *_way(reached[p["v"]], p["v"], c["u"]), c["v"]])
+                        top = (score, k, [c["u"], c["v"]] if got is None else [p["u"], *_way(reached, p["v"], c["u"]), c["v"]])
                 layer.append((top[0] + emission(c), top[1], top[2]))
             if all(x[0] == -math.inf for x in layer):
                 break
