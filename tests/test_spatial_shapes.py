@@ -7,6 +7,8 @@ import pytest
 from wayfault.functions import exact_geometry as X
 from wayfault.functions import overlay as V
 from wayfault.operators import spatial_join as J
+from wayfault.plans import events_queries as E
+from wayfault.plans import registry
 
 LINE = "array<struct<x:double,y:double>>"
 BOX = [(10, 10), (30, 10), (30, 20), (10, 20), (10, 10)]
@@ -49,6 +51,17 @@ def test_near_points(spark):
     assert sorted(map(tuple, kinds.collect())) == sorted(map(tuple, pairs.select("event_id", "road_span_type").distinct().collect()))
 
 
+def test_distances_are_rounded_once_for_equal_places(spark, sf):
+    """Rounding stands below the expansion of points of one place, and gives the rounded distances of all pairs."""
+    lines, _, points = frames(spark)
+    rounded = J.within_distance(lines, points, 4.0, ["line_id"], ["event_id"], digits=2)
+    want = sorted((r.line_id, r.event_id, round(r.distance, 2)) for r in J.within_distance(lines, points, 4.0, ["line_id"], ["event_id"]).collect())
+    assert sorted((r.line_id, r.event_id, r.distance) for r in rounded.collect()) == want
+    plan = E.dwithin(registry.Data(spark, sf))._jdf.queryExecution().executedPlan().toString().splitlines()
+    expanded = next(i for i, row in enumerate(plan) if "Generate explode(_points" in row)
+    assert not any("round(" in row for row in plan[:expanded]) and any("round(" in row for row in plan[expanded:])
+
+
 @pytest.mark.parametrize("boundary", [False, True])
 def test_points_in_polygons(spark, boundary, monkeypatch):
     """Small files may hold large polygons, so nothing is broadcast; arrays of equal shapes stay short."""
