@@ -62,6 +62,13 @@ def test_distances_are_rounded_once_for_equal_places(spark, sf):
     assert not any("round(" in row for row in plan[:expanded]) and any("round(" in row for row in plan[expanded:])
 
 
+def test_boxes_are_not_exchanged(spark, sf):
+    """A line's box follows from its segment, so it is made after the exchange and is not written with it."""
+    plan = E.dwithin(registry.Data(spark, sf))._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchange = next(i for i, row in enumerate(plan) if "Exchange hashpartitioning(_cx" in row)
+    assert any(" AS _x0#" in row for row in plan[:exchange]) and not any(" AS _x0#" in row for row in plan[exchange:])
+
+
 @pytest.mark.parametrize("boundary", [False, True])
 def test_points_in_polygons(spark, boundary, monkeypatch):
     """Small files may hold large polygons, so nothing is broadcast; arrays of equal shapes stay short."""
